@@ -2,38 +2,82 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from passagemill.llm import minhash_dedup
-from passagemill.llm.common import table
+from passagemill.llm import bpe, gif, html_extract, minhash_dedup, quality, token_cache, toxicity, url_reputation
+from passagemill.llm.common import table, text_crc
+from passagemill.llm.oracles import ORACLE_SQL  # noqa: F401
+from passagemill.llm.url_reputation import Rule
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RULES = [Rule("org", "/", True), Rule("example.org", "/es/", False), Rule("example.org", "/en/1", False), Rule("com", "/fr/", True), Rule("com", "/de/", False)]
+
+
+def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of documents stand for the outcomes of the pages with the same number."""
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    return url_reputation.judge(table(spark, sf_dir, "pages").select("page_id", "url"), outcomes, RULES)
+
+
+def _classified(docs: DataFrame, scored: DataFrame, folds: int, fold: int, least: float) -> DataFrame:
+    return scored.select(
+        "doc_id", F.coalesce(text_crc(F.col("doc_id")) % folds == fold, F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted")
+    )
+
+
+def op2_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), text_crc(F.col("doc_id")) % 5 != 0)
+    return _classified(docs, quality.score(docs, model, keep=("doc_id",)), 5, 0, 0.3)
+
+
+def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = gif.frames(gif.store(table(spark, sf_dir, "documents")), keep=("n_bytes",))
+    histogram = F.aggregate(
+        "frames", F.array_repeat(F.lit(0).cast("bigint"), 65), lambda acc, f: F.zip_with(acc, f["histogram"], lambda a, b: a + b)
+    )
+    frames = F.concat_ws(
+        "|", F.size("frames").cast("string"), F.aggregate("frames", F.lit(0), lambda acc, f: acc + f["delay_ms"]).cast("string"), F.concat_ws(",", histogram.cast("array<string>"))
+    )
+    return read.select(
+        "doc_id", "n_bytes", F.octet_length("samples").cast("bigint").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(samples, -64, 64)")).alias("tail_crc32"), F.octet_length("media").cast("bigint").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), frames.alias("feature"),
+    )
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_cache.token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), cfg=minhash_dedup.Config(shingle=4))
 
 
-QUERIES = {"op6_minhash_near_dedup": op6_minhash_near_dedup}
-
-#: Shingles as lists of words, all pairs that share one, and components by recursion.
-OP6_SQL = r"""
-WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
-  FROM documents),
-sets AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS s
-  FROM words),
-reps AS (SELECT min(doc_id) AS rep, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY 2),
-items AS (SELECT rep, len(s) AS n, unnest(s) AS g FROM reps),
-links AS (
-  SELECT a.rep AS x, b.rep AS y FROM items a JOIN items b ON a.g = b.g AND a.rep < b.rep
-  GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
-edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
-reach AS (SELECT rep AS x, rep AS y FROM reps UNION SELECT r.x, e.y FROM reach r JOIN edges e ON e.x = r.y),
-found AS (SELECT x AS rep, min(y) AS component_id FROM reach GROUP BY 1)
-SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(f.component_id, d.doc_id) AS component_id,
-  d.doc_id = coalesce(f.component_id, d.doc_id) AS kept
-FROM sets d LEFT JOIN reps r ON r.s = list_sort(d.s) LEFT JOIN found f ON f.rep = r.rep
-"""
-
-ORACLE_SQL = {"op6_minhash_near_dedup": OP6_SQL}
+def op7_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), text_crc(F.col("doc_id")) % 3 != 1)
+    return _classified(docs, toxicity.score(docs, model, keep=("doc_id",)), 3, 1, 0.7)
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER)
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
+    )
+
+
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_extract.main_text(table(spark, sf_dir, "pages"), keep=("url",))
+    return text.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_reputation, op2_quality_compression, op4_gif_media, op5_token_counts, op6_minhash_near_dedup, op7_toxicity_trees, op8_byte_bpe, op10_html_main_text,
+    )
+}
