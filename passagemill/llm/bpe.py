@@ -149,8 +149,8 @@ def load(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
-    """(id, ids, decoded): ids as little-endian unsigned 32-bit integers; decoded from those ids, or null."""
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, keep_text: bool = False) -> DataFrame:
+    """(id, ids, decoded[, text]): ids as little-endian unsigned 32-bit integers; decoded from those ids, or null."""
 
     def run(batches):
         bpe = load(path)
@@ -159,8 +159,10 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 part = batch.slice(i, 256)
                 ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
                 texts = [bpe.decode(x) for x in ids] if decode else [None] * len(ids)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
+                out = [part.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays([*out, part.column(1)] if keep_text else out, ["id", "ids", "decoded", "text"][: 3 + keep_text])
 
     kind = df.schema[id_col].dataType.simpleString()
-    got = df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, ids binary, decoded string")
+    schema = f"id {kind}, ids binary, decoded string" + ", text string" * keep_text
+    got = df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
     return got.withColumnRenamed("id", id_col)

@@ -1,10 +1,12 @@
-"""Shared plumbing: table access, shared work tables, crc32 folds and skew-safe joins."""
+"""Shared plumbing: shipping the package, table access, shared work tables, crc32 folds and skew-safe joins."""
 
 from __future__ import annotations
 
 import math
+import tempfile
 import uuid
-from collections.abc import Callable
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,25 @@ HOT_SHARE = 1 / 1000
 BROADCAST_KEYS = 2_000_000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once an application, so kernels import it wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent.parent
+    at = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+    with zipfile.ZipFile(at, "w") as out:
+        for f in sorted(package.rglob("*.py")):
+            out.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(at))
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -56,17 +76,6 @@ def text_crc(col: Column) -> Column:
     return F.crc32(F.encode(col.cast("string"), "UTF-8"))
 
 
-def map_texts(df: DataFrame, kernel: Callable, schema: str, columns: list[str]) -> DataFrame:
-    """`kernel(batch) -> RecordBatch` over the named columns only, an Arrow batch at a time."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield kernel(batch)
-
-    return df.select(*columns).mapInArrow(run, schema)
-
-
 def hot_keys(df: DataFrame, key: str, floor: int = 1000) -> list[tuple]:
     """(key, rows) of the keys with at least HOT_SHARE of the rows; never more than 1 / HOT_SHARE of them."""
     total = df.count()

@@ -7,9 +7,10 @@
    posterior probability that its similarity reaches the threshold is below `miss`. Survivors are
    verified on their whole shingle sets.
 3. Pairs a star leaves open are those of one bucket but of different components. Small buckets
-   compare them directly. Members of larger ones are joined exactly by prefix filtering: sets with
-   similarity t share one of their |x| - ceil(t |x|) + 1 rarest shingles, so a passage that
-   thousands of documents share never pairs them.
+   compare them directly. Members of larger ones are banded anew with longer, so more selective,
+   bands. What still crowds a bucket then is joined exactly by prefix filtering: sets with similarity
+   t share one of their |x| - ceil(t |x|) + 1 rarest shingles, so a passage that thousands of
+   documents share never pairs them.
 4. Components by least-label propagation with pointer jumping.
 
 Nulls and edge cases: a null, empty or blank text has an empty set and links with nothing; fewer
@@ -42,6 +43,8 @@ class Config:
     batch: int = 40  # hashes compared before each posterior test
     miss: float = 1e-6  # probability of pruning a pair that reaches the threshold, per test
     small_bucket: int = 32
+    long_bands: int = 410  # for members of crowded buckets
+    long_rows: int = 16
 
 
 def _family(n: int) -> np.ndarray:
@@ -60,11 +63,11 @@ def signature(u: np.ndarray, family: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sigs: np.ndarray, cfg: Config) -> np.ndarray:
+def band_keys(sigs: np.ndarray, bands: int, rows: int) -> np.ndarray:
     rng = np.random.Generator(np.random.PCG64(98))
-    mult = rng.integers(1, 2**63, (cfg.bands, cfg.rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    parts = sigs.reshape(len(sigs), cfg.bands, cfg.rows).astype(np.uint64)
-    return bytewords.mix((parts * mult).sum(axis=2, dtype=np.uint64) + np.arange(cfg.bands, dtype=np.uint64))
+    mult = rng.integers(1, 2**63, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    parts = sigs.reshape(len(sigs), bands, rows).astype(np.uint64)
+    return bytewords.mix((parts * mult).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
 
 
 def least_matches(cfg: Config) -> list[tuple[int, int]]:
@@ -101,7 +104,7 @@ def _sketch(cfg: Config, id_col: str, text_col: str):
         full = np.array(sizes) > 0
         bands, sketch = pa.nulls(len(sizes), pa.list_(pa.int64())), pa.nulls(len(sizes), pa.binary())
         if full.any():
-            keys = band_keys(np.stack(sigs), cfg).view(np.int64)
+            keys = band_keys(np.stack(sigs), cfg.bands, cfg.rows).view(np.int64)
             low = (np.stack(sigs) >> np.uint32(11)).astype(np.uint8)
             at = np.where(full, np.cumsum(full) - 1, -1)
             bands = pa.array([keys[i] if i >= 0 else None for i in at], pa.list_(pa.int64()))
@@ -221,6 +224,43 @@ def prefix_pairs(ws: Workspace, nodes: DataFrame, texts: DataFrame, cfg: Config)
     return x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
+def _long_bands(cfg: Config):
+    """(id, bucket) of the long bands of each text."""
+    family = _family(cfg.long_bands * cfg.long_rows)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                sets = bytewords.shingle_sets(part.column(1), cfg.shingle)
+                keys = band_keys(np.stack([signature(u, family) for u in sets]), cfg.long_bands, cfg.long_rows)
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(keys)), cfg.long_bands)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(keys.ravel().view(np.int64))], ["id", "bucket"])
+
+    return run
+
+
+def cross_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components; buckets are small, so their lists are."""
+    of = members.groupBy("bucket").agg(F.sort_array(F.collect_set(F.struct("id", "component"))).alias("of"))
+    pairs = of.select(F.explode("of").alias("x"), "of").select("x", F.explode(F.expr("filter(of, y -> y.id > x.id and y.component <> x.component)")).alias("y"))
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def crowd_pairs(ws: Workspace, crowd: DataFrame, texts: DataFrame, cfg: Config) -> DataFrame:
+    """Candidate pairs across the components of `crowd` (id, component), by long bands and, beyond them, by prefixes."""
+    own = ws.write(only_keys(texts, crowd.select("id"), "id"), "crowd-texts")
+    keys = ws.write(own.mapInArrow(_long_bands(cfg), "id bigint, bucket bigint").distinct().join(crowd, "id"), "long")
+    mixed = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("pivot"))
+    mixed = ws.write(mixed.where("lo < hi").select("bucket", "members", "pivot"), "long-mixed")
+    members = ws.write(salted_join(keys, mixed, "bucket", chunk=5000), "long-members")
+    pairs = cross_pairs(members.where(F.col("members") <= cfg.small_bucket))
+    rest = ws.write(members.where(F.col("members") > cfg.small_bucket).select("id", "component").distinct(), "long-rest")
+    if rest.limit(1).count():
+        pairs = pairs.union(prefix_pairs(ws, rest, own, cfg)).distinct()
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: Config = Config()) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of `docs`."""
     spark = docs.sparkSession
@@ -259,13 +299,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = left.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     mixed = ws.write(mixed, "mixed")
     left = ws.write(left.join(mixed.hint("merge"), "bucket", "left_semi"), "open-mixed")
-    small = left.where((F.col("members") <= cfg.small_bucket) & (F.col("id") != F.col("pivot")))
-    small = small.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("id", "component"))).alias("of"))
-    cross = small.select(F.explode("of").alias("x"), "of").select("x", F.explode(F.expr("filter(of, y -> y.id > x.id and y.component <> x.component)")).alias("y"))
-    cross = cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    cross = cross_pairs(left.where((F.col("members") <= cfg.small_bucket) & (F.col("id") != F.col("pivot"))))
     crowd = ws.write(left.where(F.col("members") > cfg.small_bucket).select("id", "component").distinct(), "crowd")
     if crowd.limit(1).count():
-        cross = cross.union(prefix_pairs(ws, crowd, texts, cfg)).distinct()
+        cross = cross.union(crowd_pairs(ws, crowd, texts, cfg)).distinct()
     cross = ws.write(cross, "cross")
     if cross.limit(1).count():
         edges = edges.union(verified(ws, cross, sketches, texts, cfg, "cross"))
@@ -281,7 +318,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = slim.join(top, "digest").select("id", "n_shingles", "found").union(
         slim.where("digest is not null").join(top, "digest", "left_anti").join(named.select("digest", "found"), "digest", "left").select("id", "n_shingles", "found")
     ).union(slim.where("digest is null").select("id", "n_shingles", F.col("id").alias("found")))
-    ws.drop("rows", "nodes", "buckets", "members", "open", "open-mixed", "mixed")
+    ws.drop("rows", "nodes", "buckets", "members", "open", "open-mixed", "mixed", "long", "long-members", "crowd-texts", "prefix-sets")
     component = F.when(F.col("id").isNotNull(), F.coalesce("found", "id"))
     return out.select(
         F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),

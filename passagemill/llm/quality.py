@@ -130,18 +130,21 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality
     return fit_rows(rows, totals, cfg)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """Every row of `docs`, with the columns `keep` (else all) and a column `score`: 0 to 1, higher for better text."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] | None = None, out: str = "score") -> DataFrame:
+    """Every row of `docs`, with the columns `keep` (else all) and a column `out`: 0 to 1, higher for better text."""
+    own = list(docs.columns if keep is None else keep)
+    # The text comes first, and is not passed twice where it is kept.
+    sent = [text_col, *(c for c in own if c != text_col)]
+    places, names = [sent.index(c) for c in own], [f"c{i}" for i in range(len(own) + 1)]
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                at = part.schema.get_field_index("text_to_score_")
-                scores = [model.score((t or "").encode()) for t in part.column(at).to_pylist()]
-                own = [j for j in range(part.num_columns) if j != at]
-                yield pa.RecordBatch.from_arrays([*(part.column(j) for j in own), pa.array(scores, pa.float64())], [*(part.schema.names[j] for j in own), "score"])
-
-    own = [c for c in (docs.columns if keep is None else keep) if c != "score"]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
-    return docs.select(*own, F.col(text_col).alias("text_to_score_")).mapInArrow(run, f"{schema}, score double")
+                scores = pa.array([model.score((t or "").encode()) for t in part.column(0).to_pylist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([*(part.column(j) for j in places), scores], names)
+
+    kinds = [docs.schema[c].dataType.simpleString() for c in own]
+    schema = ", ".join(f"{n} {k}" for n, k in zip(names, [*kinds, "double"]))
+    got = docs.select(*(F.col(f"`{c}`").alias(f"s{i}") for i, c in enumerate(sent))).mapInArrow(run, schema)
+    return got.toDF(*own, out)

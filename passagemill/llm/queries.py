@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import bpe, gif, html_extract, minhash_dedup, quality, token_cache, toxicity, url_reputation
+from passagemill.llm import bpe, chat_format, decontaminate, gif, html_extract, minhash_dedup, quality, token_cache, toxicity, url_reputation
 from passagemill.llm.common import table, text_crc
 from passagemill.llm.oracles import ORACLE_SQL  # noqa: F401
 from passagemill.llm.url_reputation import Rule
@@ -33,6 +33,14 @@ def op2_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(docs, quality.score(docs, model, keep=("doc_id",)), 5, 0, 0.3)
 
 
+def op3_chat_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles are learnt from four fifths of the conversations and recovered for all, from texts alone."""
+    turns = table(spark, sf_dir, "conversations")
+    model = chat_format.fit(turns, text_crc(F.col("conv_id")) % 5 != 0)
+    held_out = F.coalesce(text_crc(F.col("conv_id")) % 5 == 0, F.lit(False)).alias("held_out")
+    return chat_format.format_turns(turns, model).select("conv_id", "turn", held_out, "role", "rendered")
+
+
 def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = gif.frames(gif.store(table(spark, sf_dir, "documents")), keep=("n_bytes",))
     histogram = F.aggregate(
@@ -70,6 +78,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "matched", "n_windows", (F.col("matched") / F.col("n_windows")).alias("coverage"), "reparameterised")
+
+
 def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = html_extract.main_text(table(spark, sf_dir, "pages"), keep=("url",))
     return text.withColumn("n_chars", F.length("text").cast("bigint"))
@@ -78,6 +91,7 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_url_reputation, op2_quality_compression, op4_gif_media, op5_token_counts, op6_minhash_near_dedup, op7_toxicity_trees, op8_byte_bpe, op10_html_main_text,
+        op1_url_reputation, op2_quality_compression, op3_chat_transcripts, op4_gif_media, op5_token_counts, op6_minhash_near_dedup, op7_toxicity_trees, op8_byte_bpe,
+        op9_template_decontamination, op10_html_main_text,
     )
 }
