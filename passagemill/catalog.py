@@ -1,4 +1,4 @@
 """Every query of the library with its oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from passagemill.plans.oracles import ORACLE_SQL  # noqa: F401
+from passagemill.plans.queries import QUERIES  # noqa: F401
