@@ -80,11 +80,15 @@ def strength(groups: DataFrame, n: str, k: str, mean: Column) -> DataFrame:
     return groups.where(F.col(n) > 0).agg((1 / rho - 1).alias("s"))
 
 
-def reputation(outcomes: DataFrame, hosts: DataFrame, cfg: Config) -> DataFrame:
-    """(host, n_labelled, bound) for every host; `outcomes` has (host, good) rows, good 0 or 1."""
+def reputation(ws: Workspace, outcomes: DataFrame, hosts: DataFrame, cfg: Config) -> DataFrame:
+    """(host, n_labelled, bound) for every host; `outcomes` has (host, good) rows, good 0 or 1.
+
+    Each level is written, as the next one reads it more than once.
+    """
     seen = outcomes.groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("good").cast("double").alias("k"))
     domain, suffix = domain_suffix(F.col("host"), cfg.two_level)
     h = hosts.join(seen, "host", "left").fillna(0.0, ["n", "k"]).select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "k")
+    h = ws.write(h, "counted")
     top = h.agg(((F.sum("k") + 1) / (F.sum("n") + 2)).alias("m0"))
     top = top.select(F.coalesce("m0", F.lit(0.5)).alias("m0"))
 
@@ -92,11 +96,12 @@ def reputation(outcomes: DataFrame, hosts: DataFrame, cfg: Config) -> DataFrame:
         s = strength(groups, "n", "k", mean)
         return groups.join(F.broadcast(s)).withColumn(name, (F.col("k") + F.col("s") * mean) / (F.col("n") + F.col("s"))).withColumnRenamed("s", f"s_{name}")
 
-    by_suffix = h.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).join(F.broadcast(top))
-    by_suffix = level(by_suffix, F.col("m0"), "m1").select("suffix", "m1")
-    by_domain = h.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).join(by_suffix, "suffix")
-    by_domain = level(by_domain, F.col("m1"), "m2").select("domain", "m2")
-    by_host = level(h.join(by_domain, "domain"), F.col("m2"), "m3")
+    domains = ws.write(h.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
+    suffixes = ws.write(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).join(F.broadcast(top)), "suffixes")
+    by_suffix = ws.write(level(suffixes, F.col("m0"), "m1").select("suffix", "m1"), "by-suffix")
+    domains = ws.write(domains.join(by_suffix, "suffix"), "domains-prior")
+    by_domain = ws.write(level(domains, F.col("m1"), "m2").select("domain", "m2"), "by-domain")
+    by_host = level(ws.write(h.join(by_domain, "domain"), "hosts-prior"), F.col("m2"), "m3")
     a = F.col("k") + F.col("s_m3") * F.col("m2")
     b = F.col("n") - F.col("k") + F.col("s_m3") * (1 - F.col("m2"))
     sd = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
@@ -114,7 +119,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], id_col: str
     rows = ws.write(pages.select(F.col(id_col), host.alias("host"), path.alias("path"), longest_rule(host, path, rules).alias("fit")), "rows")
     good = outcomes.where(F.col("good").isin(0, 1)).groupBy(F.col(id_col)).agg(F.min("good").alias("good"))
     good = rows.select(id_col, "host").dropDuplicates([id_col]).join(good, id_col)
-    known = ws.write(reputation(good, rows.select("host").distinct(), cfg), "hosts")
+    known = ws.write(reputation(ws, good, rows.select("host").distinct(), cfg), "hosts")
     got = rows.join(F.broadcast(known), "host") if known.count() <= BROADCAST_KEYS // 10 else salted_join(rows, known, "host", chunk=50_000)
     by_bound = F.when(F.col("bound") >= cfg.least, "allow").otherwise("block")
     by_rule = F.when(F.col("fit.allow"), "allow").otherwise("block")
