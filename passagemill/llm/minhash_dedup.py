@@ -292,6 +292,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     stars = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     edges = verified(ws, stars, sketches, texts, cfg, "star")
+    # An id with several texts is one node: it ties the groups of its texts together.
+    several = ws.write(ids.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("id"), "several")
+    if several.limit(1).count():
+        own = ids.join(several.hint("merge"), "id", "left_semi").select("id", "digest").distinct().join(groups, "digest").select("id", F.col("rep").alias("b"))
+        least = own.groupBy("id").agg(F.min("b").alias("a"))
+        edges = ws.write(edges.union(own.join(least, "id").select("a", "b")), "tied-edges")
     labels = components(ws, edges, "first")
 
     left = members.where("members > 2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
