@@ -105,7 +105,8 @@ def ranges(rows: DataFrame, counts: DataFrame, bounds: Bounds = Bounds()) -> Dat
     good = r.where(F.col("n").between(1, bounds.ranges))
     twice = good.groupBy("n").count().where("count > 1")
     wanted = rows.sparkSession.range(1, bounds.ranges + 1).select(F.col("id").cast("int").alias("n"))
-    ordered = good.dropDuplicates(["n"]).withColumn("last_hi", F.lag("hi").over(W.orderBy("n")))
+    once = good.withColumn("copy", F.row_number().over(W.partitionBy("n").orderBy("lo", "hi"))).where("copy = 1")
+    ordered = once.withColumn("last_hi", F.lag("hi").over(W.orderBy("n")))
     first, last = ordered.where("n = 1 and lo <> 1"), ordered.where(F.col("n") == bounds.ranges).crossJoin(F.broadcast(counts.agg(F.sum("units").alias("all_units")))).where("hi <> all_units")
     return report(
         typed,
