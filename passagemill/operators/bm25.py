@@ -136,7 +136,7 @@ def weights_table(queries: DataFrame, weights=WEIGHTS, fields=FIELDS) -> DataFra
 def top(scores: DataFrame, k: int, by: str = "score", ties: tuple[str, ...] = ("doc",), digits: int | None = None) -> DataFrame:
     """The k best rows of each query with their rank; ties go by the unique key."""
     value = F.round(F.col(by), digits) if digits is not None else F.col(by)
-    rank = F.row_number().over(W.partitionBy("qid").orderBy(value.desc(), *ties))
+    rank = F.row_number().over(W.partitionBy("qid").orderBy(value.desc(), *ties)).cast("bigint")
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 

@@ -43,7 +43,7 @@ def merge(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
 def stable_rank(value: str, ties: tuple[str, ...] = ("doc",)) -> Column:
     """1-based rank of a query's non-null values, descending; null values have no rank."""
     w = W.partitionBy("qid").orderBy(F.col(value).desc_nulls_last(), *ties)
-    return F.when(F.col(value).isNotNull(), F.row_number().over(w))
+    return F.when(F.col(value).isNotNull(), F.row_number().over(w).cast("bigint"))
 
 
 def rrf(merged: DataFrame, cfg: HybridConfig = HybridConfig()) -> DataFrame:

@@ -45,7 +45,7 @@ def translations(long: DataFrame, key: str = "key", lang: str = "lang", translat
 def missing_translations(keys: DataFrame, long: DataFrame, key: str = "key", translator: str = "translator") -> DataFrame:
     """(translator, key) pairs without a text; the translators are few."""
     wanted = keys.select(key).crossJoin(small(long.select(translator).distinct()))
-    return wanted.join(long.select(key, translator).distinct(), [key, translator], "left_anti")
+    return wanted.join(long.select(key, translator).distinct(), [key, translator], "left_anti").select(translator, key)
 
 
 def searchable(*parts: Column) -> Column:

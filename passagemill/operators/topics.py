@@ -50,7 +50,7 @@ def phrase_in(seq: Column, phrase: Column, max_gap: int = 2, backtrack: bool = F
 
 def capped(rows: DataFrame, cap: int, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """The first `cap` rows of each group: a report's own limit."""
-    return rows.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(name) <= cap)
+    return rows.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("bigint")).where(F.col(name) <= cap)
 
 
 def build_topics(found: DataFrame, anchors: DataFrame, negatives: DataFrame, cap: int = 160) -> DataFrame:

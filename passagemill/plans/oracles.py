@@ -123,7 +123,7 @@ def metric_ctes(run: str, k: int, p: str = "") -> str:
     return f"""
 {p}j AS (SELECT r.qid, r.doc, r.rank, g.grade, (g.grade IS NOT NULL)::INT AS rel FROM {run} r LEFT JOIN (SELECT * FROM grades WHERE grade > 0) g USING (qid, doc) WHERE r.rank <= {k}),
 {p}h AS (SELECT *, sum(rel) OVER (PARTITION BY qid ORDER BY rank) AS hits FROM {p}j),
-{p}a AS (SELECT qid, max(CASE WHEN rank = 1 AND rel = 1 THEN 1.0 ELSE 0.0 END) AS p1, max(rel)::DOUBLE AS hit, min(CASE WHEN rel = 1 THEN rank END) AS fh,
+{p}a AS (SELECT qid, max(CASE WHEN rank = 1 AND rel = 1 THEN 1.0 ELSE 0.0 END)::DOUBLE AS p1, max(rel)::DOUBLE AS hit, min(CASE WHEN rel = 1 THEN rank END) AS fh,
   sum(CASE WHEN rel = 1 THEN hits::DOUBLE / rank ELSE 0 END) AS aps, sum(CASE WHEN rel = 1 THEN (pow(2, grade) - 1) / log2(rank + 1) ELSE 0 END) AS dcg, sum(rel) AS found FROM {p}h GROUP BY 1),
 {p}o AS (SELECT qid, grade, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, doc) AS i FROM grades WHERE grade > 0),
 {p}i AS (SELECT qid, count(*) AS relevant, sum(CASE WHEN i <= {k} THEN (pow(2, grade) - 1) / log2(i + 1) ELSE 0 END) AS idcg FROM {p}o GROUP BY 1),
