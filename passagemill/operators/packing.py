@@ -95,3 +95,51 @@ def half_matrix(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 def check_matrix(rows: DataFrame, dim: int) -> DataFrame:
     """Rows whose half-precision bytes are not 2 * dim long."""
     return rows.where(F.length("bytes") != 2 * dim)
+
+
+# --- packed rows and wrapped chunks ------------------------------------------------------------------
+
+
+def pack_rows(passages: DataFrame, en: Column, ur: Column, transliteration: bool = True) -> DataFrame:
+    """Rows of a mobile pack, under short names: key, parts, range, texts, chosen translations with their translators, search text.
+
+    `en` and `ur` are structs (translator, text) as `choose_translation` gives them.
+    """
+    from passagemill.functions.text import pack_text
+
+    search = pack_text(F.col("key"), F.col("name"), F.col("text"), en["text"], ur["text"], F.coalesce("transliteration", F.lit("")))
+    short = [
+        F.col("key").alias("k"), F.coalesce(F.col("major").cast("int"), F.lit(0)).alias("s"), F.coalesce(F.col("minor").cast("int"), F.lit(0)).alias("a"),
+        F.coalesce(F.col("range").cast("int"), F.lit(0)).alias("j"), F.coalesce("text", F.lit("")).alias("ar"), F.coalesce(en["text"], F.lit("")).alias("en"),
+        F.coalesce(ur["text"], F.lit("")).alias("ur"), search.alias("st"), en["translator"].alias("et"), ur["translator"].alias("ut"),
+    ]
+    return passages.select(*short, *([F.col("transliteration").alias("tr")] if transliteration else []))
+
+
+def translation_seed(asked: int, matrix_sha: str | None) -> int:
+    """The seed asked for; 0 means one from the matrix hash, else 1337."""
+    import zlib
+
+    return asked or (zlib.crc32(matrix_sha.encode()) if matrix_sha else 1337)
+
+
+def wrapped_chunks(rows: DataFrame, file: str, order: str, size: str, wrapper: int, limit: int = LIMIT) -> DataFrame:
+    """`chunk_ids` for chunks that repeat `wrapper` bytes of other keys; a wrapper over the limit raises."""
+    if wrapper > limit:
+        raise ValueError("the wrapper alone exceeds the limit")
+    return chunk_ids(rows, file, order, size, limit, overhead=wrapper + 2)
+
+
+def keyed_chunks(rows: DataFrame, file: str, order: str, key: str, json: str, limit: int = LIMIT) -> DataFrame:
+    """(file, chunk, value): objects of key -> value pairs in order, packed by the bytes of their pairs."""
+    sized = rows.withColumn("_pair", F.concat(F.to_json(F.array(key)).substr(F.lit(2), F.length(F.to_json(F.array(key))) - 2), F.lit(":"), F.col(json)))
+    sized = sized.withColumn("_size", F.octet_length("_pair").cast("bigint"))
+    got = sized.join(chunk_ids(sized, file, order, "_size", limit), [file, order])
+    pairs = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col("_pair").alias("p")))), lambda e: e["p"])
+    return got.groupBy(file, "chunk").agg(F.concat(F.lit("{"), F.concat_ws(",", pairs), F.lit("}")).alias("value"))
+
+
+def line_chunks(lines: DataFrame, file: str, order: str, line: str, limit: int = LIMIT) -> DataFrame:
+    """(file, order, chunk) of NDJSON lines: no array brackets, one newline each, blank lines dropped."""
+    kept = lines.where(F.trim(line) != "").withColumn("_size", (F.octet_length(line) + 1).cast("bigint"))
+    return chunk_ids(kept, file, order, "_size", limit, overhead=0, comma=0)

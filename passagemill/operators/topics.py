@@ -108,3 +108,37 @@ def templates(topics: DataFrame, groups: DataFrame) -> DataFrame:
     keys = F.sort_array(F.collect_set(F.struct("major", "minor")))
     by_group = groups.groupBy("topic", "group").agg(keys.alias("keys"))
     return by_group.join(topics.select("topic").distinct(), "topic", "left_semi").groupBy("topic").agg(F.sort_array(F.collect_list(F.struct("group", "keys"))).alias("sections"))
+
+
+def compile_topics(postings: DataFrame, triggers: DataFrame, negatives: DataFrame, kinds: DataFrame, phrases: DataFrame | None = None, narrow: tuple[str, ...] = ("ar", "tr")) -> DataFrame:
+    """(topic, doc) of topics, entities and stories: entities and stories match only in the narrow languages.
+
+    Positive triggers come variant-expanded, negative ones as they are; `phrases` adds (topic, lang, doc) matches.
+    """
+    wide = triggers.join(small(kinds), "topic").where((F.col("kind") == "topic") | F.col("lang").isin(*narrow))
+    found = matches(postings, wide)
+    if phrases is not None:
+        more = phrases.join(small(kinds), "topic").where((F.col("kind") == "topic") | F.col("lang").isin(*narrow))
+        found = found.union(more.select("topic", "doc")).distinct()
+    return without_negatives(found, matches(postings, negatives))
+
+
+def fill_groups(groups: DataFrame, anchors: DataFrame, cap: int = 3) -> DataFrame:
+    """(topic, group, major, minor): each group's own keys up to the cap; an empty group borrows its topic's anchors."""
+    own = capped(groups.where("major is not null"), cap, ["topic", "group"], [F.col("major"), F.col("minor")]).select("topic", "group", "major", "minor")
+    empty = groups.select("topic", "group").distinct().join(own, ["topic", "group"], "left_anti")
+    lent = capped(empty.join(anchors, "topic"), cap, ["topic", "group"], [F.col("major"), F.col("minor")])
+    return own.unionByName(lent.select("topic", "group", "major", "minor"))
+
+
+def prune_phrases(phrases: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Phrases (topic, lang, phrase) that some passage (lang, seq) of their language holds."""
+    hits = sequences.join(small(phrases), "lang").where(phrase_in(F.col("seq"), F.col("phrase")))
+    return hits.select("topic", "lang", "phrase").distinct()
+
+
+def rule_variants(names: DataFrame) -> DataFrame:
+    """(canonical, variant) by spelling rules: doubled vowels, th/z/s, q/k and dh/z changes, hyphens and apostrophes."""
+    c = F.col("canonical")
+    rules = [F.replace(c, F.lit(a), F.lit(b)) for a, b in (("aa", "a"), ("ee", "i"), ("oo", "u"), ("q", "k"), ("dh", "z"), ("-", " "), ("'", ""))]
+    return names.select("canonical", F.explode(F.array(*rules)).alias("variant")).where("variant <> canonical").distinct()

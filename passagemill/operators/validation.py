@@ -146,6 +146,39 @@ def variants(rows: DataFrame, most: int = 12) -> DataFrame:
     )
 
 
+def templates(rows: DataFrame) -> DataFrame:
+    """(template, section, key) lists: every section has keys, each once; a section without keys has a null key."""
+    n = rows.groupBy("template", "section").agg(F.count("key").alias("n"))
+    path = F.concat_ws("/", "template", "section")
+    return report(
+        issue(n.where("n = 0"), "error", "E_TEMPLATE_SECTION_EMPTY", F.lit("no keys"), path),
+        issue(rows.where("key is not null").groupBy("template", "section", "key").count().where("count > 1"), "error", "E_TEMPLATE_DUP", F.col("key"), path),
+    )
+
+
+def compiled_topics(ids: DataFrame, keys: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Unique topic ids; keys (topic, place, major, minor) in numeric order and known to the corpus."""
+    before = F.lag(F.struct("major", "minor")).over(W.partitionBy("topic").orderBy("place"))
+    wrong = keys.withColumn("before", before).where(F.col("before") >= F.struct("major", "minor"))
+    return report(
+        issue(ids.groupBy("topic").count().where("count > 1"), "error", "E_TOPIC_DUP", F.col("count"), F.col("topic")),
+        issue(wrong, "error", "E_TOPIC_ORDER", F.concat_ws(":", "major", "minor"), F.col("topic")),
+        issue(keys.join(corpus.select("major", "minor").distinct(), ["major", "minor"], "left_anti"), "error", "E_TOPIC_UNKNOWN", F.concat_ws(":", "major", "minor"), F.col("topic")),
+    )
+
+
+def pack_integrity(rows: DataFrame, index: DataFrame, matrix_bytes: Column | int, dim: int, listed: int) -> DataFrame:
+    """A pack's line count, matrix size and key alignment: `rows` (row, key), `index` (row, key)."""
+    n = rows.agg(F.count(F.lit(1)).alias("n"))
+    both = rows.select("row", F.col("key").alias("a")).join(index.select("row", F.col("key").alias("b")), "row", "full_outer")
+    size = F.lit(matrix_bytes) if isinstance(matrix_bytes, int) else matrix_bytes
+    return report(
+        issue(n.where(F.col("n") != listed), "error", "E_PACK_LINES", F.col("n"), F.lit("rows")),
+        issue(n.where(size != F.col("n") * dim * 2), "error", "E_PACK_MATRIX_BYTES", size, F.lit("matrix")),
+        issue(both.where("not (a <=> b)"), "error", "E_PACK_ALIGNMENT", F.concat_ws(" vs ", F.coalesce("a", F.lit("none")), F.coalesce("b", F.lit("none"))), F.col("row")),
+    )
+
+
 def root_keys(spark, path: str) -> DataFrame:
     """Issues of a metadata file's root: unreadable, not JSON, not an object, or without its two lists."""
     rule = lambda code, why: spark.createDataFrame([("error", code, why, path)], ", ".join(f"{c} string" for c in ISSUE))

@@ -141,3 +141,34 @@ def test_validation(spark):
 def test_alias_targets(spark):
     t = spark.createDataFrame([("x", "1:2-4, 3, 5-6, 2:7,nope")], "alias string, target string")
     assert [(r["ord"], r["major"], r["minor"]) for r in references.expand_targets(t).orderBy("ord", "major", "minor").collect()] == [(0, 1, 2), (0, 1, 3), (0, 1, 4), (1, 3, 1), (2, 5, 1), (2, 6, 1), (3, 2, 7)]
+
+
+def test_wrapped_and_keyed_chunks(spark):
+    df = spark.createDataFrame([("f", i, f'"k{i}"', "[1]") for i in range(4)], "file string, at bigint, key string, j string").withColumn("key", F.regexp_replace("key", '"', ""))
+    got = rows(packing.keyed_chunks(df, "file", "at", "key", "j", 20).select("chunk", "value"))
+    assert got == [(0, '{"k0":[1],"k1":[1]}'), (1, '{"k2":[1],"k3":[1]}')]
+    lines = spark.createDataFrame([("f", 0, "abc"), ("f", 1, " "), ("f", 2, "abc"), ("f", 3, "abc")], "file string, at bigint, line string")
+    assert rows(packing.line_chunks(lines, "file", "at", "line", 8).select("at", "chunk")) == [(0, 0), (2, 0), (3, 1)]
+    assert packing.translation_seed(0, None) == 1337 and packing.translation_seed(5, "x") == 5
+
+
+def test_pack_rules(spark):
+    t = spark.createDataFrame([("t", "a", "1:1"), ("t", "a", "1:1"), ("t", "b", None)], "template string, section string, key string")
+    assert {r["code"] for r in validation.templates(t).collect()} == {"E_TEMPLATE_SECTION_EMPTY", "E_TEMPLATE_DUP"}
+    r, i = (spark.createDataFrame([(0, "1:1"), (1, k)], "row bigint, key string") for k in ("1:2", "1:3"))
+    assert {x["code"] for x in validation.pack_integrity(r, i, 16, 4, 2).collect()} == {"E_PACK_ALIGNMENT"}
+    keys = spark.createDataFrame([("t", 1, 1, 2), ("t", 2, 1, 1), ("t", 3, 9, 9)], "topic string, place int, major int, minor int")
+    corpus = spark.createDataFrame([(1, 1), (1, 2)], "major int, minor int")
+    assert {x["code"] for x in validation.compiled_topics(keys.select("topic").distinct(), keys, corpus).collect()} == {"E_TOPIC_ORDER", "E_TOPIC_UNKNOWN"}
+
+
+def test_compile_and_fill(spark):
+    post = spark.createDataFrame([("en", 1, "light"), ("ar", 2, "نور"), ("en", 3, "light"), ("en", 3, "dark")], "lang string, doc int, token string")
+    trig = spark.createDataFrame([("light", "en", "light"), ("light", "ar", "نور"), ("person", "en", "light"), ("person", "ar", "نور")], "topic string, lang string, token string")
+    kinds = spark.createDataFrame([("light", "topic"), ("person", "entity")], "topic string, kind string")
+    neg = spark.createDataFrame([("light", "en", "dark")], "topic string, lang string, token string")
+    assert rows(topics.compile_topics(post, trig, neg, kinds)) == [("light", 1), ("light", 2), ("person", 2)]
+    groups = spark.createDataFrame([("t", "g", 1, 1), ("t", "empty", None, None)], "topic string, group string, major int, minor int")
+    anchors = spark.createDataFrame([("t", 7, 7)], "topic string, major int, minor int")
+    assert rows(topics.fill_groups(groups, anchors)) == [("t", "empty", 7, 7), ("t", "g", 1, 1)]
+    assert ("siraat", "sirat") in rows(topics.rule_variants(spark.createDataFrame([("siraat",)], "canonical string")))
