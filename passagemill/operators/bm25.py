@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from passagemill.functions.values import over_max
-from passagemill.operators.sizes import small
+from passagemill.operators.sizes import is_small, small
 
 # Weights of the fields (arabic, english, urdu, mix) by the query's scripts.
 WEIGHTS = {"arabic": (1.0, 0.25, 0.75, 0.85), "latin": (0.25, 0.65, 0.20, 0.90), "mixed": (1.0, 0.65, 0.75, 1.0)}
@@ -86,8 +86,10 @@ def index(docs: DataFrame, id_col: str, fields: dict[str, Column], cfg: Bm25Conf
 
 def score(queries: DataFrame, ix: Index, cfg: Bm25Config = Bm25Config()) -> DataFrame:
     """(qid, field, doc, score) for (qid, field, token) rows, one row for each occurrence of a token."""
-    terms = small(queries.groupBy("qid", "field", "token").agg(F.count(F.lit(1)).alias("times")))
-    weighted = small(ix.idf.join(terms, ["field", "token"]).select("qid", "field", "token", "times", "idf"))
+    terms = queries.groupBy("qid", "field", "token").agg(F.count(F.lit(1)).alias("times"))
+    # A term has one idf row at most, so the weighted terms are as few as the terms.
+    hint = F.broadcast if is_small(terms) else lambda df: df
+    weighted = hint(ix.idf.join(hint(terms), ["field", "token"]).select("qid", "field", "token", "times", "idf"))
     hits = ix.tf.join(weighted, ["field", "token"]).join(ix.doclen, ["field", "doc"]).join(F.broadcast(ix.stats), "field")
     f, dl = F.col("f"), F.col("dl")
     part = F.col("times") * F.col("idf") * f * (cfg.k1 + 1) / (f + cfg.k1 * (1 - cfg.b + cfg.b * dl / F.col("avgdl")))

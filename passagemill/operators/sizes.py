@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 MOST_ROWS = 1_000_000
 
 
+def is_small(df: DataFrame, most: int = MOST_ROWS) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
 def small(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     """`df` with a broadcast hint if it has at most `most` rows, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if is_small(df, most) else df

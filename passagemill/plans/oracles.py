@@ -184,7 +184,7 @@ bs AS (SELECT qid, doc, round(CASE WHEN max(score) OVER (PARTITION BY qid) > 0 T
 cd AS ({top('SELECT * FROM bs', 200, 'base')}),
 qs AS (SELECT item_id AS qid, {norm('text')} AS qn, list_distinct({terms('text')}) AS qt FROM benchmark),
 ds AS (SELECT doc_id AS doc, {norm('text')} AS dn, list_distinct({terms('text')}) AS dt FROM documents),
-rr AS (SELECT qid, doc, round(base + 0.18 * (CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, dt))::DOUBLE / len(qt) ELSE 0 END) + CASE WHEN length(qn) >= 3 AND contains(dn, qn) THEN 0.2 ELSE 0 END, 4) AS score
+rr AS (SELECT qid, doc, round(base + 0.18::DOUBLE * (CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, dt))::DOUBLE / len(qt) ELSE 0 END) + CASE WHEN length(qn) >= 3 AND contains(dn, qn) THEN 0.2::DOUBLE ELSE 0 END, 6) AS score
   FROM cd JOIN qs USING (qid) JOIN ds USING (doc) WHERE base > 0) {top('SELECT * FROM rr', 10)}""",
     "phrase_source_lookup": f"SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains({norm('d.text')}, {norm('b.text')})",
     "occurrence_count": f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest({terms('text')}) AS token FROM documents) WHERE token IN {words(I.COUNTED)} GROUP BY 1",

@@ -141,7 +141,7 @@ def bm25_rerank_boosts(spark, sf_dir):
     scores = bm25.score(terms, _index(spark, sf_dir)).withColumn("base", F.round(V.over_max(F.col("score"), "qid"), 6))
     candidates = bm25.top(scores, bm25.Bm25Config.top_candidates, "base").select("qid", "doc", "base")
     d = docs.select(F.col("doc_id").alias("doc"), _norm("text").alias("norm"), T.latin_terms(F.col("text")).alias("tokens"))
-    return bm25.top(rounded(bm25.rerank(candidates, q, d), 4, "score"), 10).select("qid", "doc", "score", "rank")
+    return bm25.top(rounded(bm25.rerank(candidates, q, d), 6, "score"), 10).select("qid", "doc", "score", "rank")
 
 
 def phrase_source_lookup(spark, sf_dir):
