@@ -7,10 +7,9 @@
    posterior probability that its similarity reaches the threshold is below `miss`. Survivors are
    verified on their whole shingle sets.
 3. Pairs a star leaves open are those of one bucket but of different components. Small buckets
-   compare them directly. Members of larger ones are banded anew with longer, so more selective,
-   bands. What still crowds a bucket then is joined exactly by prefix filtering: sets with similarity
-   t share one of their |x| - ceil(t |x|) + 1 rarest shingles, so a passage that thousands of
-   documents share never pairs them.
+   list them. In crowded ones they are compared inside the tasks that hold the bucket, block by
+   block, on longer signatures; only pairs that survive the posterior test leave a task, each in the
+   first band that its two texts share.
 4. Components by least-label propagation with pointer jumping.
 
 Nulls and edge cases: a null, empty or blank text has an empty set and links with nothing; fewer
@@ -27,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from passagemill.llm import bytewords
@@ -43,8 +41,9 @@ class Config:
     batch: int = 40  # hashes compared before each posterior test
     miss: float = 1e-6  # probability of pruning a pair that reaches the threshold, per test
     small_bucket: int = 32
-    long_bands: int = 410  # for members of crowded buckets
-    long_rows: int = 16
+    long: int = 1024  # hashes of the signatures that crowded buckets compare
+    long_batch: int = 64
+    block: int = 500  # members of a crowded bucket that are compared with as many in one task
 
 
 def _family(n: int) -> np.ndarray:
@@ -70,15 +69,16 @@ def band_keys(sigs: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return bytewords.mix((parts * mult).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
 
 
-def least_matches(cfg: Config) -> list[tuple[int, int]]:
+def least_matches(cfg: Config, n: int | None = None, batch: int | None = None) -> list[tuple[int, int]]:
     """(hashes compared, least matches that survive), from Beta(matches + 1, rest + 1) above the threshold.
 
     P(similarity >= t | k of m match) is the binomial tail P(Bin(m + 1, t) <= k).
     """
     from math import exp, lgamma, log
 
-    t, n, out = cfg.percent / 100, cfg.bands * cfg.rows, []
-    for m in range(cfg.batch, n + 1, cfg.batch):
+    n, batch = n or cfg.bands * cfg.rows, batch or cfg.batch
+    t, out = cfg.percent / 100, []
+    for m in range(batch, n + 1, batch):
         tail, k = 0.0, 0
         while k <= m:
             tail += exp(lgamma(m + 2) - lgamma(k + 1) - lgamma(m + 2 - k) + k * log(t) + (m + 1 - k) * log(1 - t)) if t < 1 else 0.0
@@ -190,75 +190,90 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def _explode_sets(cfg: Config):
-    """(id, set size, shingle) for every shingle of each text."""
+def _long_sketch(cfg: Config):
+    """(id, n, long): set size and longer signature, a byte a hash, of each text."""
+    family = _family(cfg.bands * cfg.rows + cfg.long)[cfg.bands * cfg.rows :]
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
             sets = list(bytewords.shingle_sets(batch.column(1), cfg.shingle))
-            size = np.array([len(u) for u in sets])
-            at = np.repeat(np.arange(len(sets)), size)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at)), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets).view(np.int64))],
-                ["id", "n", "shingle"],
-            )
+            long = [(signature(u, family) >> np.uint32(11)).astype(np.uint8).tobytes() for u in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(u) for u in sets], pa.int64()), pa.array(long, pa.binary())], ["id", "n", "long"])
 
     return run
 
 
-def prefix_pairs(ws: Workspace, nodes: DataFrame, texts: DataFrame, cfg: Config) -> DataFrame:
-    """Every pair of `nodes` (id, component) that may reach the threshold across components, by rarest-first prefixes."""
-    own = only_keys(texts, nodes.select("id"), "id")
-    sets = ws.write(own.mapInArrow(_explode_sets(cfg), "id bigint, n bigint, shingle bigint").distinct(), "prefix-sets")
-    df = ws.write(sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")), "prefix-df")
-    ranked = salted_join(sets, df, "shingle", chunk=20_000)
-    order = F.row_number().over(W.partitionBy("id", "n").orderBy("df", "shingle"))
-    prefix = ranked.withColumn("k", order).where(f"df > 1 and k <= n - ceil({cfg.percent} * n / 100.0D - 1e-9) + 1")
-    prefix = ws.write(prefix.join(nodes, "id").select("shingle", "id", "n", "component"), "prefix-postings")
-    spread = prefix.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
-    prefix = ws.write(prefix.join(spread, "shingle", "left_semi"), "prefix-spread")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    near = F.expr(f"x.shingle = y.shingle and x.id < y.id and x.component <> y.component and 100 * least(x.n, y.n) >= {cfg.percent} * greatest(x.n, y.n)")
-    return x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+def cross_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components; buckets are small, so their lists are."""
+    of = members.groupBy("bucket").agg(F.sort_array(F.collect_set(F.struct("id", "component"))).alias("of"))
+    pairs = of.select(F.explode("of").alias("x"), "of").select("x", F.explode(F.expr("filter(of, y -> y.id > x.id and y.component <> x.component)")).alias("y"))
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def _long_bands(cfg: Config):
-    """(id, bucket) of the long bands of each text."""
-    family = _family(cfg.long_bands * cfg.long_rows)
+def _compare(cfg: Config):
+    """Surviving pairs (a, b) of groups (bucket, i, j): members of block i against those of block j."""
+    tests = least_matches(cfg, cfg.long, cfg.long_batch)
+
+    def survivors(g: pa.Table):
+        bucket, i, j = (g[c][0].as_py() for c in ("bucket", "i", "j"))
+        ids, comp, n, block = (g[c].to_numpy() for c in ("id", "component", "n", "own"))
+        long = np.frombuffer(b"".join(g["long"].to_pylist()), np.uint8).reshape(len(ids), cfg.long)
+        bands = np.array(g["bands"].to_pylist(), np.int64)
+        band = int(np.flatnonzero(bands[0] == bucket)[0])
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for first in range(0, len(left), 100):
+            rows = left[first : first + 100]
+            near = np.minimum(n[rows][:, None], n[right]) * 100 >= cfg.percent * np.maximum(n[rows][:, None], n[right])
+            open_ = near & (comp[rows][:, None] != comp[right]) & ((ids[rows][:, None] < ids[right]) | (i != j))
+            x, y = np.nonzero(open_)
+            a, b = rows[x], right[y]
+            alive, found, done = np.arange(len(a)), np.zeros(len(a), np.int32), 0
+            for m, least in tests:
+                found[alive] += (long[a[alive], done:m] == long[b[alive], done:m]).sum(axis=1, dtype=np.int32)
+                alive, done = alive[found[alive] >= least], m
+            a, b = a[alive], b[alive]
+            # A pair that meets in an earlier band is compared there.
+            new = ~(bands[a, :band] == bands[b, :band]).any(axis=1)
+            yield np.minimum(ids[a], ids[b])[new], np.maximum(ids[a], ids[b])[new]
+
+    def emit(part: pa.Table):
+        keys = [part[c].to_numpy() for c in ("bucket", "i", "j")]
+        cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        edges = [0, *cut.tolist(), part.num_rows]
+        for lo, hi in zip(edges, edges[1:]):
+            for a, b in survivors(part.slice(lo, hi - lo)):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches):
+        held = None
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                sets = bytewords.shingle_sets(part.column(1), cfg.shingle)
-                keys = band_keys(np.stack([signature(u, family) for u in sets]), cfg.long_bands, cfg.long_rows)
-                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(keys)), cfg.long_bands)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(keys.ravel().view(np.int64))], ["id", "bucket"])
+            got = pa.table(batch.columns, batch.schema.names)
+            held = got if held is None else pa.concat_tables([held, got])
+            keys = [held[c].to_numpy() for c in ("bucket", "i", "j")]
+            other = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))
+            n = int(other[-1]) + 1 if len(other) else 0  # the last group may go on in the next batch
+            if n:
+                yield from emit(held.slice(0, n))
+                held = held.slice(n).combine_chunks()
+        if held is not None and held.num_rows:
+            yield from emit(held)
 
     return run
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components; buckets are small, so their lists are."""
-    of = members.groupBy("bucket").agg(F.sort_array(F.collect_set(F.struct("id", "component"))).alias("of"))
-    pairs = of.select(F.explode("of").alias("x"), "of").select("x", F.explode(F.expr("filter(of, y -> y.id > x.id and y.component <> x.component)")).alias("y"))
-    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-
-
-def crowd_pairs(ws: Workspace, crowd: DataFrame, texts: DataFrame, cfg: Config) -> DataFrame:
-    """Candidate pairs across the components of `crowd` (id, component), by long bands and, beyond them, by prefixes."""
-    own = ws.write(only_keys(texts, crowd.select("id"), "id"), "crowd-texts")
-    keys = ws.write(own.mapInArrow(_long_bands(cfg), "id bigint, bucket bigint").distinct().join(crowd, "id"), "long")
-    mixed = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("pivot"))
-    mixed = ws.write(mixed.where("lo < hi").select("bucket", "members", "pivot"), "long-mixed")
-    members = ws.write(salted_join(keys, mixed, "bucket", chunk=5000), "long-members")
-    pairs = cross_pairs(members.where(F.col("members") <= cfg.small_bucket))
-    rest = ws.write(members.where(F.col("members") > cfg.small_bucket).select("id", "component").distinct(), "long-rest")
-    if rest.limit(1).count():
-        pairs = pairs.union(prefix_pairs(ws, rest, own, cfg)).distinct()
-    return pairs
+def crowd_pairs(ws: Workspace, crowded: DataFrame, nodes: DataFrame, texts: DataFrame, cfg: Config) -> DataFrame:
+    """Candidate pairs across components of crowded buckets, from their members (bucket, id, component, members)."""
+    ids = ws.write(crowded.select("id").distinct(), "crowd-ids")
+    long = only_keys(texts, ids, "id").mapInArrow(_long_sketch(cfg), "id bigint, n bigint, long binary")
+    long = ws.write(long.join(nodes.select("id", "bands"), "id"), "crowd-long")
+    blocks = F.ceil(F.col("members") / cfg.block).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = crowded.select("bucket", "id", "component", own.alias("own"), blocks.alias("blocks")).select("bucket", "id", "component", "own", others)
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component", "own")
+    ready = dealt.join(long, "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return ready.select("bucket", "i", "j", "id", "component", "own", "n", "long", "bands").mapInArrow(_compare(cfg), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: Config = Config()) -> DataFrame:
@@ -306,9 +321,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = ws.write(mixed, "mixed")
     left = ws.write(left.join(mixed.hint("merge"), "bucket", "left_semi"), "open-mixed")
     cross = cross_pairs(left.where((F.col("members") <= cfg.small_bucket) & (F.col("id") != F.col("pivot"))))
-    crowd = ws.write(left.where(F.col("members") > cfg.small_bucket).select("id", "component").distinct(), "crowd")
+    crowd = ws.write(left.where(F.col("members") > cfg.small_bucket).select("bucket", "id", "component", "members").distinct(), "crowd")
     if crowd.limit(1).count():
-        cross = cross.union(crowd_pairs(ws, crowd, texts, cfg)).distinct()
+        cross = cross.union(crowd_pairs(ws, crowd, nodes, texts, cfg)).distinct()
     cross = ws.write(cross, "cross")
     if cross.limit(1).count():
         edges = edges.union(verified(ws, cross, sketches, texts, cfg, "cross"))
@@ -324,7 +339,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = slim.join(top, "digest").select("id", "n_shingles", "found").union(
         slim.where("digest is not null").join(top, "digest", "left_anti").join(named.select("digest", "found"), "digest", "left").select("id", "n_shingles", "found")
     ).union(slim.where("digest is null").select("id", "n_shingles", F.col("id").alias("found")))
-    ws.drop("rows", "nodes", "buckets", "members", "open", "open-mixed", "mixed", "long", "long-members", "crowd-texts", "prefix-sets")
+    ws.drop("rows", "nodes", "buckets", "members", "open", "open-mixed", "mixed", "crowd", "crowd-long")
     component = F.when(F.col("id").isNotNull(), F.coalesce("found", "id"))
     return out.select(
         F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),

@@ -74,9 +74,9 @@ def test_shingle_sets():
     assert len(np.intersect1d(a, b)) == 1
 
 
-@pytest.mark.parametrize("cfg", [minhash_dedup.Config(shingle=4), minhash_dedup.Config(shingle=4, bands=40, rows=3, small_bucket=2, long_bands=40, long_rows=4)])
+@pytest.mark.parametrize("cfg", [minhash_dedup.Config(shingle=4), minhash_dedup.Config(shingle=4, bands=40, rows=3, small_bucket=2, block=7)])
 def test_near_duplicates(spark, cfg):
-    """The second settings send nearly all through the long bands and the prefix join."""
+    """The second settings send nearly all through the comparison of crowded buckets, in blocks."""
     rng = random.Random(4)
     texts = ["", None, " \n", "one", "one", "one two three", "a b c d", "a b c d e", "A B c D"]
     for n, words, edits in ((12, 60, 4), (30, 80, 14), (10, 12, 2), (8, 300, 30)):
