@@ -7,14 +7,17 @@ item to the text: so copies are caught, and so are questions with other numbers
 texts that merely share a mould with clashing values are not. A document is contaminated by an item when
 it holds at least `share` of the item's windows.
 
+An item that has windows with fewer than `least` plain words, or no window, is also matched by the windows of
+its raw words, which are folded but have no slots: so items made of names or numbers, and short ones, are found
+as they stand.
+
 A number starts with a digit or is a number word; a name is a capitalised word inside a sentence; a unit
 is a word of the list right after a number.
 
 Nulls and edge cases: a null or empty text matches nothing; an item with fewer words than a window is one
-window of its own length, and one with fewer than `least` plain words is left out; rows with a null id
-come back with it; repeated rows are reported once each; empty tables give an empty result. Only the named
-columns are read. The items' windows go to every task, in blocks of at most `block` windows: a larger
-benchmark takes more passes over the texts.
+window of its own length; one without any word (signs only) matches nothing; rows with a null id come back with it; repeated rows are reported once each; empty tables give an empty result. Only the named
+columns are read. The items' windows go to every task, in blocks of at most `block` windows: of each
+kind: a larger benchmark takes more passes over the texts.
 """
 
 from __future__ import annotations
@@ -65,6 +68,16 @@ def _among(table: np.ndarray, x: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
 
 
+@dataclass
+class Raw:
+    """The folded words of a block of texts as they stand."""
+
+    words: np.ndarray
+    rows: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+
 @dataclass
 class Canonical:
     """Canonical words of a block of texts; a slot's span covers its whole run."""
@@ -74,13 +87,15 @@ class Canonical:
     rows: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
+    raw: Raw
 
 
 def canonical(buf: np.ndarray, off: np.ndarray) -> Canonical:
     starts, ends, rows = bytewords.spans(buf, off, _sep)
     words = bytewords.hashes(buf, starts, ends)
+    raw = Raw(words, rows, starts, ends)
     if not len(words):
-        return Canonical(words, np.zeros(0, np.int8), rows, starts, ends)
+        return Canonical(words, np.zeros(0, np.int8), rows, starts, ends, raw)
     head = buf[starts]
     same_row = np.concatenate([[False], rows[1:] == rows[:-1]])
     stops = np.concatenate([[0], np.cumsum(_stop[buf])])
@@ -100,7 +115,7 @@ def canonical(buf: np.ndarray, off: np.ndarray) -> Canonical:
     run[1:] = same_row[1:] & (kinds[1:] == kinds[:-1]) & (kinds[1:] > 0) & (kinds[1:] != UNIT)
     first = np.flatnonzero(~run)
     last = np.concatenate([first[1:], [len(words)]]) - 1
-    return Canonical(words[first], kinds[first], rows[first], starts[first], ends[last])
+    return Canonical(words[first], kinds[first], rows[first], starts[first], ends[last], raw)
 
 
 def windows(c: Canonical, k: int, least: int):
@@ -127,8 +142,17 @@ def slot_values(c: Canonical, buf: bytes, at: int, k: int) -> tuple[str, ...]:
     return tuple(buf[c.starts[i] : c.ends[i]].decode("utf-8", "replace").lower() for i in range(at, at + k) if c.kinds[i])
 
 
-def index(items: list[tuple[int, str]], cfg: Config) -> Index:
-    rows, lengths = [], set()
+def _sorted(rows: list[tuple], lengths: set[int]) -> Index:
+    rows.sort(key=lambda r: (r[0], r[1]))
+    near = np.zeros(1 << 20, bool)
+    hashes = np.array([r[0] for r in rows], np.uint64)
+    near[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+    return Index(sorted(lengths), hashes, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), [r[3] for r in rows], near)
+
+
+def index(items: list[tuple[int, str]], cfg: Config) -> tuple[Index, Index]:
+    """Of the templates, and of the raw words of the items that templates do not cover."""
+    rows, lengths, raw_rows, raw_lengths = [], set(), [], set()
     for item, text in items:
         data = text.encode()
         buf = np.frombuffer(data, np.uint8)
@@ -136,16 +160,38 @@ def index(items: list[tuple[int, str]], cfg: Config) -> Index:
         k = min(cfg.window, len(c.words))
         if not k:
             continue
-        hashes, _, first = windows(c, k, min(cfg.least, k))
-        if k < cfg.least:
-            continue
-        lengths.add(k)
-        rows += [(h, item, len(hashes), slot_values(c, data, f, k)) for h, f in zip(hashes.tolist(), first.tolist())]
-    rows.sort(key=lambda r: (r[0], r[1]))
-    near = np.zeros(1 << 20, bool)
-    hashes = np.array([r[0] for r in rows], np.uint64)
-    near[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-    return Index(sorted(lengths), hashes, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), [r[3] for r in rows], near)
+        hashes, _, first = windows(c, k, cfg.least)
+        if len(hashes):
+            lengths.add(k)
+            rows += [(h, item, len(hashes), slot_values(c, data, f, k)) for h, f in zip(hashes.tolist(), first.tolist())]
+        if len(hashes) < len(c.words) - k + 1:
+            k = min(cfg.window, len(c.raw.words))
+            hashes, _, _ = bytewords.windows(c.raw.words, c.raw.rows, k)
+            raw_lengths.add(k)
+            raw_rows += [(h, item, len(hashes), ()) for h in hashes.tolist()]
+    return _sorted(rows, lengths), _sorted(raw_rows, raw_lengths)
+
+
+def lookup(ix: Index, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in `hashes`, place in the index) of every match."""
+    maybe = np.flatnonzero(ix.near[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
+    lo, hi = np.searchsorted(ix.hashes, hashes[maybe], "left"), np.searchsorted(ix.hashes, hashes[maybe], "right")
+    n = hi - lo
+    return np.repeat(maybe, n), np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+def raw_matches(ix: Index, raw: Raw, cfg: Config) -> dict[tuple[int, int], tuple[int, int, int, int]]:
+    """(row, item) -> (matched, windows, first byte, end) where the raw windows reach the share; a window counts once."""
+    found = {}
+    for k in ix.lengths:
+        hashes, rows, first = bytewords.windows(raw.words, raw.rows, k)
+        w, j = lookup(ix, hashes)
+        _, once = np.unique(rows[w] * len(ix.hashes) + j, return_index=True)
+        w, j = w[once], j[once]
+        for row, item, size, lo, hi in zip(rows[w].tolist(), ix.item[j].tolist(), ix.size[j].tolist(), raw.starts[first[w]].tolist(), raw.ends[first[w] + k - 1].tolist()):
+            n, _, a, b = found.get((row, item), (0, 0, lo, hi))
+            found[row, item] = n + 1, size, min(a, lo), max(b, hi)
+    return {key: v for key, v in found.items() if v[0] >= max(1, cfg.share * v[1])}
 
 
 def consistent(pairs: list[tuple[tuple[str, ...], tuple[str, ...]]]) -> tuple[int, bool]:
@@ -163,7 +209,7 @@ def consistent(pairs: list[tuple[tuple[str, ...], tuple[str, ...]]]) -> tuple[in
     return kept, changed
 
 
-def _match(ix: Index, cfg: Config):
+def _match(ix: Index, raw_ix: Index, cfg: Config):
     def run(batches):
         for batch in batches:
             ids, out = batch.column(0), []
@@ -171,24 +217,22 @@ def _match(ix: Index, cfg: Config):
                 c, found = canonical(buf, off), {}
                 data = None
                 for k in ix.lengths:
-                    hashes, rows, first = windows(c, k, min(cfg.least, k))
-                    maybe = np.flatnonzero(ix.near[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
-                    lo, hi = np.searchsorted(ix.hashes, hashes[maybe], "left"), np.searchsorted(ix.hashes, hashes[maybe], "right")
-                    for m in np.flatnonzero(hi > lo):
+                    hashes, rows, first = windows(c, k, cfg.least)
+                    for w, j in zip(*(x.tolist() for x in lookup(ix, hashes))):
                         data = data or buf.tobytes()
-                        w = maybe[m]
-                        got = slot_values(c, data, first[w], k)
-                        for j in range(lo[m], hi[m]):
-                            span = int(c.starts[first[w]]), int(c.ends[first[w] + k - 1])
-                            found.setdefault((int(rows[w]), int(ix.item[j])), []).append((j, ix.slots[j], got, span))
+                        span = int(c.starts[first[w]]), int(c.ends[first[w] + k - 1])
+                        found.setdefault((int(rows[w]), int(ix.item[j])), []).append((j, ix.slots[j], slot_values(c, data, first[w], k), span))
+                as_is = raw_matches(raw_ix, c.raw, cfg)
                 for (row, item), hits in found.items():
                     hits.sort(key=lambda h: h[3])
                     once = list({h[0]: h for h in reversed(hits)}.values())[::-1]  # an item's window counts once
                     kept, changed = consistent([(h[1], h[2]) for h in once])
                     size = int(ix.size[once[0][0]])
                     if kept >= max(1, cfg.share * size):
+                        as_is.pop((row, item), None)
                         base = int(off[row])
                         out.append((ids[first_row + row].as_py(), item, kept, size, changed, min(h[3][0] for h in once) - base, max(h[3][1] for h in once) - base))
+                out += [(ids[first_row + row].as_py(), item, n, size, False, lo - int(off[row]), hi - int(off[row])) for (row, item), (n, size, lo, hi) in as_is.items()]
             columns = list(zip(*out)) if out else [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, kinds)], ["id", "item", "matched", "n_windows", "reparameterised", "first_byte", "end_byte"])
@@ -200,14 +244,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id, item, matched, n_windows, reparameterised, first_byte, end_byte) of every contaminated (document, item)."""
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"), F.octet_length(item_text).alias("n"))
     items = items.where("item is not null").distinct()
-    parts = int(items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // (4 * cfg.block)) + 1  # a window takes 4 bytes of text at least
+    parts = int(items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // (2 * cfg.block)) + 1  # a word takes 2 bytes of text at least
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     schema = "id bigint, item bigint, matched bigint, n_windows bigint, reparameterised boolean, first_byte bigint, end_byte bigint"
     found = None
     for p in range(parts):
         own = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == p).select("item", "text").collect()
-        ix = index(sorted((r[0], r[1]) for r in own), cfg)
-        got = source.mapInArrow(_match(ix, cfg), schema)
+        ix, raw_ix = index(sorted((r[0], r[1]) for r in own), cfg)
+        got = source.mapInArrow(_match(ix, raw_ix, cfg), schema)
         found = got if found is None else found.union(got)
     return found.withColumnsRenamed({"id": id_col, "item": item_col})
 

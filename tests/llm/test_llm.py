@@ -359,6 +359,18 @@ def test_decontamination(spark, text, hit, changed):
     assert decontaminate.clean(d, b).count() == (0 if hit else 3)
 
 
+def test_items_without_templates(spark):
+    names = "Anna Bob Carol Dave Eve Frank Grace Heidi Ivan Judy"
+    items = ["What is 12 times 7?", "Compute 3 + 4 * 5.", names, "Paris", "Is 3 km 4 kg 5 m 6 g 7 cm 8 mm the speed of a train that goes on and on"]
+    b = spark.createDataFrame(list(enumerate(items)) + [(9, "+ - *"), (8, "What is 13 times 7?")], "item_id bigint, text string")
+    d = spark.createDataFrame([(i, f"Before, {t} After") for i, t in enumerate(items)] + [(7, "What is 12 of 7? Compute 3 and 4, 5; Anna, Carol + - *")], DOC)
+    got = decontaminate.contaminated(d, b).collect()
+    assert {(r["doc_id"], r["item_id"], r["reparameterised"]) for r in got} == {(i, i, False) for i in range(len(items))}
+    assert [r[0] for r in decontaminate.clean(d, b).select("doc_id").collect()] == [7]
+    part = spark.createDataFrame([(1, items[4][:50])], DOC)  # windows of numbers and units, for the most part
+    assert decontaminate.contaminated(part, b).count() == 1
+
+
 def test_slots_must_agree():
     assert decontaminate.consistent([(("3", "5"), ("4", "6")), (("5",), ("6",))]) == (2, True)
     assert decontaminate.consistent([(("3", "5"), ("4", "6")), (("5",), ("7",))]) == (1, True)
