@@ -14,15 +14,21 @@ as they stand.
 A number starts with a digit or is a number word; a name is a capitalised word inside a sentence; a unit
 is a word of the list right after a number.
 
+Places of a text where an item's windows match are judged apart, so a copy counts although the text uses
+the item's words elsewhere with other values.
+
 Nulls and edge cases: a null or empty text matches nothing; an item with fewer words than a window is one
-window of its own length; one without any word (signs only) matches nothing; rows with a null id come back with it; repeated rows are reported once each; empty tables give an empty result. Only the named
-columns are read. The items' windows go to every task, in blocks of at most `block` windows: of each
-kind: a larger benchmark takes more passes over the texts.
+window of its own length; one without any word (signs only) matches nothing; rows with a null id come back
+with it; repeated rows are reported once each; empty tables give an empty result. Only the named columns are
+read. The items' windows go to every task, in blocks of at most `block` windows of each kind: a larger
+benchmark takes more passes over the texts.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -135,6 +141,7 @@ class Index:
     item: np.ndarray
     size: np.ndarray  # windows of the item
     slots: list[tuple[str, ...]]
+    at: np.ndarray  # first word in the item
     near: np.ndarray  # low bits of the hashes
 
 
@@ -147,7 +154,7 @@ def _sorted(rows: list[tuple], lengths: set[int]) -> Index:
     near = np.zeros(1 << 20, bool)
     hashes = np.array([r[0] for r in rows], np.uint64)
     near[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-    return Index(sorted(lengths), hashes, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), [r[3] for r in rows], near)
+    return Index(sorted(lengths), hashes, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), [r[3] for r in rows], np.array([r[4] for r in rows], np.int64), near)
 
 
 def index(items: list[tuple[int, str]], cfg: Config) -> tuple[Index, Index]:
@@ -163,12 +170,12 @@ def index(items: list[tuple[int, str]], cfg: Config) -> tuple[Index, Index]:
         hashes, _, first = windows(c, k, cfg.least)
         if len(hashes):
             lengths.add(k)
-            rows += [(h, item, len(hashes), slot_values(c, data, f, k)) for h, f in zip(hashes.tolist(), first.tolist())]
+            rows += [(h, item, len(hashes), slot_values(c, data, f, k), f) for h, f in zip(hashes.tolist(), first.tolist())]
         if len(hashes) < len(c.words) - k + 1:
             k = min(cfg.window, len(c.raw.words))
-            hashes, _, _ = bytewords.windows(c.raw.words, c.raw.rows, k)
+            hashes, _, first = bytewords.windows(c.raw.words, c.raw.rows, k)
             raw_lengths.add(k)
-            raw_rows += [(h, item, len(hashes), ()) for h in hashes.tolist()]
+            raw_rows += [(h, item, len(hashes), (), f) for h, f in zip(hashes.tolist(), first.tolist())]
     return _sorted(rows, lengths), _sorted(raw_rows, raw_lengths)
 
 
@@ -194,19 +201,99 @@ def raw_matches(ix: Index, raw: Raw, cfg: Config) -> dict[tuple[int, int], tuple
     return {key: v for key, v in found.items() if v[0] >= max(1, cfg.share * v[1])}
 
 
+def bind(there: dict, back: dict, item: tuple[str, ...], text: tuple[str, ...]) -> bool:
+    """Binds the slots of a window to their values in the text, unless that is not one to one."""
+    new = list(zip(item, text))
+    inner = dict(new)
+    if len(item) != len(text) or not all(there.get(a, b) == b and back.get(b, a) == a and inner[a] == b for a, b in new) or len(set(inner.values())) != len(inner):
+        return False
+    there.update(new)
+    back.update((b, a) for a, b in new)
+    return True
+
+
 def consistent(pairs: list[tuple[tuple[str, ...], tuple[str, ...]]]) -> tuple[int, bool]:
     """How many windows, in order, keep the slots one to one; whether any of them has another value."""
-    there, back, kept, changed = {}, {}, 0, False
-    for item, text in pairs:
-        new = list(zip(item, text))
-        if len(item) == len(text) and all(there.get(a, b) == b and back.get(b, a) == a for a, b in new):
-            inner = dict(new)
-            if len({b for b in inner.values()}) == len(inner) and all(inner[a] == b for a, b in new):
-                there.update(new)
-                back.update((b, a) for a, b in new)
-                kept += 1
-                changed |= item != text
-    return kept, changed
+    there, back = {}, {}
+    kept = [item != text for item, text in pairs if bind(there, back, item, text)]
+    return len(kept), any(kept)
+
+
+class Hit(NamedTuple):
+    """A window of an item in a text; its diagonal is its first word in the text less that in the item."""
+
+    window: int
+    item: tuple[str, ...]
+    text: tuple[str, ...]
+    start: int
+    end: int
+    diagonal: int
+
+
+def _outwards(hits: list[Hit], diagonal: int):
+    """Hits of one window, in text order, from the nearest diagonal on."""
+    hi = bisect_left(hits, diagonal, key=lambda h: h.diagonal)
+    lo = hi - 1
+    while lo >= 0 or hi < len(hits):
+        if hi == len(hits) or lo >= 0 and diagonal - hits[lo].diagonal <= hits[hi].diagonal - diagonal:
+            yield hits[lo]
+            lo -= 1
+        else:
+            yield hits[hi]
+            hi += 1
+
+
+def chain(hits: list[Hit], least: float = 1) -> list[Hit]:
+    """The largest found set of hits, one a window, that keep the slots one to one; empty where it cannot reach `least`.
+
+    Each diagonal starts sets: from its first hit, and from each that no set before it has taken. A set then
+    takes in what agrees with it elsewhere, nearest first, so a copy with words put in or left out is one.
+    """
+    hits = sorted(hits, key=lambda h: (h.start, h.window))
+    lists, whole, diagonals = {}, {}, {}
+    for h in hits:
+        if (h.window, h.text) not in whole:
+            for key in {(h.window,), *((h.window, i, v) for i, v in enumerate(h.text))}:
+                lists.setdefault(key, []).append(h)
+        whole.setdefault((h.window, h.text), h)
+        diagonals.setdefault(h.diagonal, []).append(h)
+    all_windows = sorted({h.window for h in hits})
+    if len(all_windows) < least:
+        return []
+    alike = {tuple((h.window, h.text) for h in d): d for d in reversed(diagonals.values())}.values()
+    best = []
+
+    def grow(first: list[Hit], diagonal: int) -> list[Hit]:
+        there, back, kept = {}, {}, {}
+        for h in first:
+            if h.window not in kept and bind(there, back, h.item, h.text):
+                kept[h.window] = h
+        for w in all_windows:
+            if w in kept:
+                continue
+            item = lists[w,][0].item
+            value = tuple(there.get(a) for a in item)
+            if None not in value:
+                found = [whole[w, value]] if (w, value) in whole else []
+            else:
+                bound = next(((w, i, v) for i, v in enumerate(value) if v is not None), (w,))
+                found = _outwards(lists.get(bound, []), diagonal)
+            got = next((h for h in found if bind(there, back, h.item, h.text)), None)
+            if got:
+                kept[w] = got
+        return list(kept.values())
+
+    rank = lambda kept: (len(kept), -sum(h.item != h.text for h in kept))
+    for d in sorted(alike, key=rank, reverse=True):
+        pending = d
+        while pending and len(best) < len(all_windows):
+            kept = grow([pending[0], *d], d[0].diagonal)
+            best = max(best, kept, key=rank)
+            taken = {h.window for h in kept if h.diagonal == d[0].diagonal}
+            pending = [h for h in pending[1:] if h.window not in taken]
+    if len(best) < len(all_windows):
+        best = max(best, grow(hits, hits[0].diagonal), key=rank)
+    return best if len(best) >= least else []
 
 
 def _match(ix: Index, raw_ix: Index, cfg: Config):
@@ -220,18 +307,17 @@ def _match(ix: Index, raw_ix: Index, cfg: Config):
                     hashes, rows, first = windows(c, k, cfg.least)
                     for w, j in zip(*(x.tolist() for x in lookup(ix, hashes))):
                         data = data or buf.tobytes()
-                        span = int(c.starts[first[w]]), int(c.ends[first[w] + k - 1])
-                        found.setdefault((int(rows[w]), int(ix.item[j])), []).append((j, ix.slots[j], slot_values(c, data, first[w], k), span))
+                        hit = Hit(j, ix.slots[j], slot_values(c, data, first[w], k), int(c.starts[first[w]]), int(c.ends[first[w] + k - 1]), int(first[w] - ix.at[j]))
+                        found.setdefault((int(rows[w]), int(ix.item[j])), []).append(hit)
                 as_is = raw_matches(raw_ix, c.raw, cfg)
                 for (row, item), hits in found.items():
-                    hits.sort(key=lambda h: h[3])
-                    once = list({h[0]: h for h in reversed(hits)}.values())[::-1]  # an item's window counts once
-                    kept, changed = consistent([(h[1], h[2]) for h in once])
-                    size = int(ix.size[once[0][0]])
-                    if kept >= max(1, cfg.share * size):
+                    size = int(ix.size[hits[0].window])
+                    kept = chain(hits, max(1, cfg.share * size))
+                    if kept:
                         as_is.pop((row, item), None)
                         base = int(off[row])
-                        out.append((ids[first_row + row].as_py(), item, kept, size, changed, min(h[3][0] for h in once) - base, max(h[3][1] for h in once) - base))
+                        changed = any(h.item != h.text for h in kept)
+                        out.append((ids[first_row + row].as_py(), item, len(kept), size, changed, min(h.start for h in kept) - base, max(h.end for h in kept) - base))
                 out += [(ids[first_row + row].as_py(), item, n, size, False, lo - int(off[row]), hi - int(off[row])) for (row, item), (n, size, lo, hi) in as_is.items()]
             columns = list(zip(*out)) if out else [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]

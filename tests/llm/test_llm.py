@@ -377,6 +377,18 @@ def test_slots_must_agree():
     assert decontaminate.consistent([(("3", "5"), ("4", "4"))]) == (0, False)
 
 
+def test_copy_after_other_values(spark):
+    item = "The bakery in our village sold exactly 12 loaves of dark bread before noon and then it closed early today"
+    stem = "The bakery in our village sold exactly 48 loaves and nothing else. "
+    b = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    d = [(1, stem + item), (2, stem * 3000 + item), (3, stem), (4, "".join(stem.replace("48", str(n)) for n in range(100, 3000)) + item.replace("closed", "later closed"))]
+    got = {r["doc_id"]: r for r in decontaminate.contaminated(spark.createDataFrame(d, DOC), b).collect()}
+    assert set(got) == {1, 2, 4} and got[1]["matched"] == got[1]["n_windows"] == 13
+    assert (got[1]["reparameterised"], got[1]["first_byte"], got[1]["end_byte"]) == (False, len(stem), len(stem + item))
+    hit = lambda w, item, text, at: decontaminate.Hit(w, item, text, at, at + 1, at - w)
+    assert len(decontaminate.chain([hit(0, ("3",), ("4",), 0), hit(1, ("3",), ("3",), 1), hit(2, ("3",), ("3",), 2)])) == 2
+
+
 @needs_data
 def test_benchmark_passages(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
