@@ -7,12 +7,10 @@ item to the text: so copies are caught, and so are questions with other numbers
 texts that merely share a mould with clashing values are not. A document is contaminated by an item when
 it holds at least `share` of the item's windows.
 
-An item that has windows with fewer than `least` plain words, or no window, is also matched by the windows of
-its raw words, which are folded but have no slots: so items made of names or numbers, and short ones, are found
-as they stand.
-
-A number starts with a digit or is a number word; a name is a capitalised word inside a sentence; a unit
-is a word of the list right after a number.
+Items are also matched by the windows of their raw words, case-folded and without slots, as copies in other
+case have other names or none. What counts is how many of the item's windows such windows cover; for an item
+that has windows with fewer than `least` plain words, or no window, the raw windows count themselves, so items
+made of names or numbers, and short ones, are found as they stand.
 
 Places of a text where an item's windows match are judged apart, so a copy counts although the text uses
 the item's words elsewhere with other values.
@@ -76,7 +74,7 @@ def _among(table: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Raw:
-    """The folded words of a block of texts as they stand."""
+    """The case-folded words of a block of texts as they stand."""
 
     words: np.ndarray
     rows: np.ndarray
@@ -94,14 +92,30 @@ class Canonical:
     starts: np.ndarray
     ends: np.ndarray
     raw: Raw
+    first: np.ndarray  # raw word
+    last: np.ndarray
+
+
+def fold(words: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hashes with those of words with other than ASCII characters replaced by their full case folding's."""
+    wide = np.concatenate([[0], np.cumsum(buf > 127)])
+    other = np.flatnonzero(wide[ends] > wide[starts])
+    if not len(other):
+        return words
+    _, first, place = np.unique(words[other], return_index=True, return_inverse=True)
+    folded = [buf[a:b].tobytes().decode("utf-8", "replace").casefold().encode() for a, b in zip(starts[other[first]].tolist(), ends[other[first]].tolist())]
+    off = np.cumsum([0, *map(len, folded)])
+    words = words.copy()
+    words[other] = bytewords.hashes(np.frombuffer(b"".join(folded), np.uint8), off[:-1], off[1:])[place]
+    return words
 
 
 def canonical(buf: np.ndarray, off: np.ndarray) -> Canonical:
     starts, ends, rows = bytewords.spans(buf, off, _sep)
     words = bytewords.hashes(buf, starts, ends)
-    raw = Raw(words, rows, starts, ends)
+    raw = Raw(fold(words, buf, starts, ends), rows, starts, ends)
     if not len(words):
-        return Canonical(words, np.zeros(0, np.int8), rows, starts, ends, raw)
+        return Canonical(words, np.zeros(0, np.int8), rows, starts, ends, raw, rows, rows)
     head = buf[starts]
     same_row = np.concatenate([[False], rows[1:] == rows[:-1]])
     stops = np.concatenate([[0], np.cumsum(_stop[buf])])
@@ -121,7 +135,7 @@ def canonical(buf: np.ndarray, off: np.ndarray) -> Canonical:
     run[1:] = same_row[1:] & (kinds[1:] == kinds[:-1]) & (kinds[1:] > 0) & (kinds[1:] != UNIT)
     first = np.flatnonzero(~run)
     last = np.concatenate([first[1:], [len(words)]]) - 1
-    return Canonical(words[first], kinds[first], rows[first], starts[first], ends[last], raw)
+    return Canonical(words[first], kinds[first], rows[first], starts[first], ends[last], raw, first, last)
 
 
 def windows(c: Canonical, k: int, least: int):
@@ -157,9 +171,18 @@ def _sorted(rows: list[tuple], lengths: set[int]) -> Index:
     return Index(sorted(lengths), hashes, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), [r[3] for r in rows], np.array([r[4] for r in rows], np.int64), near)
 
 
-def index(items: list[tuple[int, str]], cfg: Config) -> tuple[Index, Index]:
-    """Of the templates, and of the raw words of the items that templates do not cover."""
-    rows, lengths, raw_rows, raw_lengths = [], set(), [], set()
+@dataclass
+class RawIndex:
+    """Raw windows of the items, with the place of each item in place of its number, and what counts of it."""
+
+    index: Index
+    items: list[int]
+    windows: list[list[tuple[int, int]]]  # from and to which raw window each of the item's windows is covered
+
+
+def index(items: list[tuple[int, str]], cfg: Config) -> tuple[Index, RawIndex]:
+    """Of the templates, and of the raw words."""
+    rows, lengths, raw_rows, raw_lengths, own, counted = [], set(), [], set(), [], []
     for item, text in items:
         data = text.encode()
         buf = np.frombuffer(data, np.uint8)
@@ -171,12 +194,16 @@ def index(items: list[tuple[int, str]], cfg: Config) -> tuple[Index, Index]:
         if len(hashes):
             lengths.add(k)
             rows += [(h, item, len(hashes), slot_values(c, data, f, k), f) for h, f in zip(hashes.tolist(), first.tolist())]
-        if len(hashes) < len(c.words) - k + 1:
-            k = min(cfg.window, len(c.raw.words))
-            hashes, _, first = bytewords.windows(c.raw.words, c.raw.rows, k)
-            raw_lengths.add(k)
-            raw_rows += [(h, item, len(hashes), (), f) for h, f in zip(hashes.tolist(), first.tolist())]
-    return _sorted(rows, lengths), _sorted(raw_rows, raw_lengths)
+        n = min(cfg.window, len(c.raw.words))
+        raw_hashes, _, raw_first = bytewords.windows(c.raw.words, c.raw.rows, n)
+        if len(hashes) == len(c.words) - k + 1:
+            counted.append([(int(c.first[f]), int(c.last[f + k - 1]) + 2 - n) for f in first])
+        else:
+            counted.append([(f, f + 1) for f in range(len(raw_hashes))])
+        raw_lengths.add(n)
+        raw_rows += [(h, len(own), len(counted[-1]), (), f) for h, f in zip(raw_hashes.tolist(), raw_first.tolist())]
+        own.append(item)
+    return _sorted(rows, lengths), RawIndex(_sorted(raw_rows, raw_lengths), own, counted)
 
 
 def lookup(ix: Index, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,18 +214,27 @@ def lookup(ix: Index, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(maybe, n), np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
-def raw_matches(ix: Index, raw: Raw, cfg: Config) -> dict[tuple[int, int], tuple[int, int, int, int]]:
-    """(row, item) -> (matched, windows, first byte, end) where the raw windows reach the share; a window counts once."""
-    found = {}
+def raw_matches(raw_ix: RawIndex, raw: Raw, cfg: Config, done: set[tuple[int, int]]) -> dict[tuple[int, int], tuple[int, int, int, int]]:
+    """(row, item) -> (matched, windows, first byte, end) where raw windows cover the share of an item; those of `done` are passed over."""
+    ix, found = raw_ix.index, {}
     for k in ix.lengths:
         hashes, rows, first = bytewords.windows(raw.words, raw.rows, k)
         w, j = lookup(ix, hashes)
         _, once = np.unique(rows[w] * len(ix.hashes) + j, return_index=True)
         w, j = w[once], j[once]
-        for row, item, size, lo, hi in zip(rows[w].tolist(), ix.item[j].tolist(), ix.size[j].tolist(), raw.starts[first[w]].tolist(), raw.ends[first[w] + k - 1].tolist()):
-            n, _, a, b = found.get((row, item), (0, 0, lo, hi))
-            found[row, item] = n + 1, size, min(a, lo), max(b, hi)
-    return {key: v for key, v in found.items() if v[0] >= max(1, cfg.share * v[1])}
+        for row, own, at, lo, hi in zip(rows[w].tolist(), ix.item[j].tolist(), ix.at[j].tolist(), raw.starts[first[w]].tolist(), raw.ends[first[w] + k - 1].tolist()):
+            if (row, raw_ix.items[own]) not in done:
+                found.setdefault((row, own), {})[at] = lo, hi
+    out = {}
+    for (row, own), hits in found.items():
+        size = len(raw_ix.windows[own])
+        covered = [(a, b) for a, b in raw_ix.windows[own] if all(x in hits for x in range(a, b))]
+        if len(covered) >= max(1, cfg.share * size):
+            spans = [hits[x] for a, b in covered for x in range(a, b)]
+            new = len(covered), size, min(x[0] for x in spans), max(x[1] for x in spans)
+            key = row, raw_ix.items[own]
+            out[key] = max(out.get(key, new), new)  # an item may have several texts
+    return out
 
 
 def bind(there: dict, back: dict, item: tuple[str, ...], text: tuple[str, ...]) -> bool:
@@ -296,7 +332,7 @@ def chain(hits: list[Hit], least: float = 1) -> list[Hit]:
     return best if len(best) >= least else []
 
 
-def _match(ix: Index, raw_ix: Index, cfg: Config):
+def _match(ix: Index, raw_ix: RawIndex, cfg: Config):
     def run(batches):
         for batch in batches:
             ids, out = batch.column(0), []
@@ -309,16 +345,16 @@ def _match(ix: Index, raw_ix: Index, cfg: Config):
                         data = data or buf.tobytes()
                         hit = Hit(j, ix.slots[j], slot_values(c, data, first[w], k), int(c.starts[first[w]]), int(c.ends[first[w] + k - 1]), int(first[w] - ix.at[j]))
                         found.setdefault((int(rows[w]), int(ix.item[j])), []).append(hit)
-                as_is = raw_matches(raw_ix, c.raw, cfg)
+                done = set()
                 for (row, item), hits in found.items():
                     size = int(ix.size[hits[0].window])
                     kept = chain(hits, max(1, cfg.share * size))
                     if kept:
-                        as_is.pop((row, item), None)
+                        done.add((row, item))
                         base = int(off[row])
                         changed = any(h.item != h.text for h in kept)
                         out.append((ids[first_row + row].as_py(), item, len(kept), size, changed, min(h.start for h in kept) - base, max(h.end for h in kept) - base))
-                out += [(ids[first_row + row].as_py(), item, n, size, False, lo - int(off[row]), hi - int(off[row])) for (row, item), (n, size, lo, hi) in as_is.items()]
+                out += [(ids[first_row + row].as_py(), item, n, size, False, lo - int(off[row]), hi - int(off[row])) for (row, item), (n, size, lo, hi) in raw_matches(raw_ix, c.raw, cfg, done).items()]
             columns = list(zip(*out)) if out else [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, kinds)], ["id", "item", "matched", "n_windows", "reparameterised", "first_byte", "end_byte"])

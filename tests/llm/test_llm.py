@@ -389,6 +389,14 @@ def test_copy_after_other_values(spark):
     assert len(decontaminate.chain([hit(0, ("3",), ("4",), 0), hit(1, ("3",), ("3",), 1), hit(2, ("3",), ("3",), 2)])) == 2
 
 
+def test_copies_in_other_case(spark):
+    german = "Als Frau Müller am Abend über die Straße ging, sah Ärztin Anna Weiß den alten Öhi mit 3 Hunden und 12 Katzen am Ufer"
+    b = spark.createDataFrame([(1, ITEM), (2, german)], "item_id bigint, text string")
+    copies = [f(t) for t in (ITEM, german) for f in (str.lower, str.upper, str.title)]
+    d = spark.createDataFrame([(i, f"Before, {t} After") for i, t in enumerate(copies)] + [(9, ITEM.replace("train", "boat").upper())], DOC)
+    assert {(r["doc_id"], r["item_id"], r["reparameterised"]) for r in decontaminate.contaminated(d, b).collect()} == {(i, 1 + i // 3, False) for i in range(6)}
+
+
 @needs_data
 def test_benchmark_passages(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
