@@ -145,17 +145,20 @@ def bm25_rerank_boosts(spark, sf_dir):
 
 
 def phrase_source_lookup(spark, sf_dir):
-    """Documents that contain a benchmark passage: an equi-join on each passage's first words, then the exact test."""
+    """Documents that contain a benchmark passage: an equi-join on each passage's inner words, then the exact test."""
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    items = table(spark, sf_dir, "benchmark").select("item_id", norm("text").alias("p")).withColumn("k", F.least(F.lit(6), F.size(F.split("p", " ")) - 1))
-    items = items.withColumn("anchor", F.concat_ws(" ", F.slice(F.split("p", " "), 1, F.col("k")))).where("k > 0")
-    lens = items.select("k").distinct()
-    d = docs_of(spark, sf_dir).select("doc_id", norm("text").alias("n")).withColumn("w", F.split("n", " ")).crossJoin(F.broadcast(lens)).where(F.size("w") >= F.col("k"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", norm("text").alias("p")).withColumn("k", F.least(F.lit(5), F.size(F.split("p", " ")) - 2))
+    # A passage may start and end inside longer words, so the anchor has neither its first word nor its last.
+    anchored = items.where("k > 0").withColumn("anchor", F.concat_ws(" ", F.slice(F.split("p", " "), 2, F.col("k"))))
+    lens = anchored.select("k").distinct()
+    docs = docs_of(spark, sf_dir).select("doc_id", norm("text").alias("n"))
+    d = docs.withColumn("w", F.split("n", " ")).crossJoin(F.broadcast(lens)).where(F.size("w") >= F.col("k"))
     starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.concat_ws(" ", F.slice("w", i, F.col("k")))))
     grams = d.select("doc_id", "n", "k", F.explode(starts).alias("anchor"))
-    # The first word of a passage may be the end of a longer word, so the anchor leaves the passage's last word open only.
-    hits = grams.join(small(items), ["anchor", "k"]).where(F.contains(F.col("n"), F.col("p")))
-    return hits.select("doc_id", "item_id").distinct()
+    hits = grams.join(small(anchored), ["anchor", "k"]).where(F.contains(F.col("n"), F.col("p")))
+    # Passages of one or two words have no inner ones, and are sought in all documents.
+    short = docs.join(small(items.where("k <= 0")), F.contains(F.col("n"), F.col("p")))
+    return hits.select("doc_id", "item_id").union(short.select("doc_id", "item_id")).distinct()
 
 
 def occurrence_count(spark, sf_dir):

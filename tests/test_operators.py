@@ -172,3 +172,20 @@ def test_compile_and_fill(spark):
     anchors = spark.createDataFrame([("t", 7, 7)], "topic string, major int, minor int")
     assert rows(topics.fill_groups(groups, anchors)) == [("t", "empty", 7, 7), ("t", "g", 1, 1)]
     assert ("siraat", "sirat") in rows(topics.rule_variants(spark.createDataFrame([("siraat",)], "canonical string")))
+
+
+def test_phrase_source_lookup_inside_words(spark, tmp_path):
+    import duckdb
+
+    from passagemill import catalog
+
+    passages = ["the red fox ran far", "grey", "two words", "one of three", "A  b c d e f g h i", None]
+    texts = ['he said "the red fox ran far" twice', "(the red fox ran farther", "greyish", "atwo wordsmith", "-one of threes", "(a b\nc d e f g h in", "the red fox ran", "", None, "none of  three words"]
+    spark.createDataFrame(list(enumerate(passages)), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = set(con.sql(catalog.ORACLE_SQL["phrase_source_lookup"]).fetchall())
+    assert want == {(0, 0), (1, 0), (2, 1), (3, 2), (4, 3), (5, 4), (9, 3)}
+    assert {tuple(r) for r in catalog.QUERIES["phrase_source_lookup"](spark, str(tmp_path)).collect()} == want
