@@ -1,22 +1,28 @@
 """Main-text extraction from HTML.
 
-The standard library's parser streams events; block boundaries cut the page into lines, each with its
-text, tags and chain of containers. Every line gets its text-to-tag ratio; the ratios are smoothed by
-a Gaussian, and a threshold between the two clusters of smoothed ratios selects content lines. The
-selected lines vote, by characters, for the container that holds the content region, and every line
-of that region outside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments is kept, in page order.
-
-Nulls and edge cases: null or empty HTML gives an empty text, as does a page without main text; broken
-and cut-off markup is read as far as it goes; pages are read whole; character references are decoded;
-repeated rows give repeated results; an empty table gives an empty result. Only the named columns are read.
+The standard library's parser streams events; block boundaries cut the page into lines. A line's ratio is the
+logarithm of its letters and digits over its tags, where those in links, and in menus, headers, footers, sidebars,
+notices, adverts, forms and reader comments, count for nothing. Ratios are smoothed by a Gaussian, within runs of
+lines that stand in such parts or outside them, and a threshold between the two clusters of smoothed ratios selects
+lines; a ratio of 0 is always among the values. Regions are the articles of a page, all together, and outside them the
+largest containers in which every line counts, else the containers that hold the lines. A region is content when
+selected lines hold enough of its characters, or more than any other region's. All lines of content regions are kept in page order, with the headings right before them, but for those
+in the parts named above.
+
+Nulls and edge cases: null or empty HTML gives an empty text, as does a page without selected lines; broken
+and cut-off markup is read as far as it goes; pages are read whole, in time that grows with their length alone;
+character references are decoded; ties: of regions with equally many selected characters the first counts as the
+largest; repeated rows give repeated results; an empty table gives an empty result. Only the named columns are read,
+and other columns may have any name.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass, field
+from bisect import bisect_right
+from collections import defaultdict
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -29,11 +35,11 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option optgroup p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
+#: Elements whose text is no text of the page.
+UNSEEN = frozenset("head title script style noscript template iframe object svg canvas math audio video button select textarea input option datalist map".split())
 #: Elements whose text is never main text.
-DROPPED = frozenset(
-    "head title script style noscript template iframe object svg canvas math audio video nav aside footer form search menu dialog button select textarea "
-    "input option datalist map".split()
-)
+DROPPED = UNSEEN | frozenset("nav aside footer form search menu dialog".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of a class or an id that mark a part outside the main text.
 OUTSIDE = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot adbox sponsor sponsored sponsors promo promoted promotion banner sidebar sidebars rail "
@@ -49,8 +55,12 @@ CLOSES_P = BLOCK - {"body", "html", "head", "title", "option", "optgroup", "capt
 #: An open element of the key is closed by a start tag of its values.
 SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 SCOPE = frozenset("html body table td th ul ol dl div section article main".split())
-REGION = frozenset("html body div section td center blockquote".split())
+BOUNDARY = frozenset("table article main body".split())
+REGION = frozenset("html body div section main article td center".split())
+#: Region number of the articles of a page; other containers have their own.
+ARTICLES = -1
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+OTHER = re.compile(r"[\W_]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -58,48 +68,53 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Line:
     text: str
     tags: int
-    link_chars: int
-    chain: tuple[int, ...]  # containers, outermost first
+    counted: int  # letters and digits outside links and outside marked parts
+    marked: bool  # in a menu, an advert or the like
+    heading: bool
+    region: int
 
 
 @dataclass
 class Open:
     tag: str
-    drops: bool
-    container: int | None
+    hides: bool
+    marks: bool
+    region: bool
 
 
 @dataclass(frozen=True)
 class Config:
     sigma: float = 1.0
     radius: int = 2
-    share: float = 0.9  # of the selected characters that the content region holds
-
-
-@dataclass
-class Page:
-    lines: list[Line] = field(default_factory=list)
-    kind: dict[int, str] = field(default_factory=dict)  # container -> tag
+    share: float = 0.3  # of a region's characters that selected lines hold
 
 
 class Events(HTMLParser):
-    """Lines of a page, from parser events; text inside dropped elements never becomes a line."""
+    """Lines of a page, from parser events; text that a page does not show never becomes a line."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.page, self.open, self.dropping, self.chain = Page(), [], 0, ()
+        self.lines: list[Line] = []
+        self.open: list[Open] = []
+        self.places: dict[str, list[int]] = defaultdict(list)  # tag -> places of its open elements
+        self.blocks: list[int] = []  # places of open block elements
+        self.scopes: list[int] = []
+        self.forms: list[Open] = []  # open ones that mark
+        self.regions, self.parents = [0], [0]  # of a container, the number of the one around it; 0 of body
+        self.hiding = self.marking = self.within = self.headings = 0
         self.parts, self.tags, self.link, self.links = [], 0, 0, 0
 
     def flush(self):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.page.lines.append(Line(text, self.tags, self.links, self.chain))
+                counted = 0 if self.marking else max(0, len(OTHER.sub("", text)) - self.links)
+                self.lines.append(Line(text, self.tags, counted, self.marking > 0, self.headings > 0, self.regions[-1]))
                 self.tags = self.links = 0
             self.parts = []
 
     def is_outside(self, tag: str, attrs: list) -> bool:
-        within = any(o.tag in ("article", "main") for o in self.open)
+        within = self.within > 0
         if tag in DROPPED:
             return True
         if tag == "header":
@@ -125,30 +140,64 @@ class Events(HTMLParser):
                         return True
         return False
 
+    def push(self, tag: str, hides: bool, marks: bool):
+        at, cur = len(self.open), self.regions[-1]
+        region = tag in REGION
+        if region:
+            if tag == "article" or cur == ARTICLES:
+                cur = ARTICLES
+            elif tag not in ("html", "body"):
+                self.parents.append(cur)
+                cur = len(self.parents) - 1
+            self.regions.append(cur)
+        self.open.append(Open(tag, hides, marks, region))
+        self.places[tag].append(at)
+        if tag in BLOCK:
+            self.blocks.append(at)
+        if tag in SCOPE:
+            self.scopes.append(at)
+        if tag == "form" and marks:
+            self.forms.append(self.open[-1])
+        self.hiding += hides
+        self.marking += marks
+        self.within += tag in ("article", "main")
+        self.headings += tag in HEADINGS
+
     def pop(self):
         o = self.open.pop()
-        self.dropping -= o.drops
-        if o.container is not None:
-            self.chain = self.chain[:-1]
-
-    def close_until(self, tags, stop) -> None:
-        """Close the nearest open element of `tags`, and all in it, unless one of `stop` stands between."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].tag in tags:
-                while len(self.open) > i:
-                    self.pop()
-                return
-            if self.open[i].tag in stop:
-                return
+        self.places[o.tag].pop()
+        if o.tag in BLOCK:
+            self.blocks.pop()
+        if o.tag in SCOPE:
+            self.scopes.pop()
+        if o.region:
+            self.regions.pop()
+        if self.forms and self.forms[-1] is o:
+            self.forms.pop()
+        self.hiding -= o.hides
+        self.marking -= o.marks
+        self.within -= o.tag in ("article", "main")
+        self.headings -= o.tag in HEADINGS
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element of `tags`, -1 without one."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def close_until(self, tag: str, stop: int) -> None:
+        """Close the innermost open `tag`, and all in it, unless the place `stop` lies between."""
+        at = self.last((tag,))
+        if at >= 0 and at > stop:
+            while len(self.open) > at:
+                self.pop()
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.flush()
             if tag in CLOSES_P:
-                self.close_until(("p",), SCOPE)
+                self.close_until("p", self.scopes[-1] if self.scopes else -1)
             for old, by in SIBLING.items():
-                if tag in by:
-                    self.close_until((old,), SCOPE - {"td", "th"} - {old} if old in ("tr", "td", "th") else SCOPE)
+                if tag in by and self.places.get(old):
+                    self.close_until(old, self.last(SCOPE - {"td", "th"} - {old}) if old in ("tr", "td", "th") else self.scopes[-1] if self.scopes else -1)
             if tag in ("article", "main"):
                 self.lift_forms()
         elif tag == "br":
@@ -158,27 +207,23 @@ class Events(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        container = None
-        if tag in BLOCK:
-            container = len(self.page.kind)
-            self.page.kind[container] = tag
-            self.chain += (container,)
-        drops = self.is_outside(tag, attrs)
-        if drops and not self.dropping and tag not in BLOCK:
+        outside = self.is_outside(tag, attrs)
+        # An inline part inside a block is cut out of its line; a block is a line of its own that counts for nothing.
+        hides = outside and (tag in UNSEEN or tag not in BLOCK)
+        if hides and not self.hiding and tag not in BLOCK:
             self.parts.append(" ")
-        self.open.append(Open(tag, drops, container))
-        self.dropping += drops
+        self.push(tag, hides, outside and not hides)
 
     def lift_forms(self):
-        """A form around the main text wraps the page; it drops nothing."""
-        for o in self.open:
-            if o.tag == "form" and o.drops:
-                o.drops = False
-                self.dropping -= 1
+        """A form around the main text wraps the page; it marks nothing."""
+        for o in self.forms:
+            o.marks = False
+            self.marking -= 1
+        self.forms = []
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag in ("svg", "math") | DROPPED:
+        if tag not in VOID and tag in DROPPED:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
@@ -187,72 +232,118 @@ class Events(HTMLParser):
             self.flush()
         if tag == "a" and self.link:
             self.link -= 1
-        if tag in VOID:
+        if tag in VOID or not self.places.get(tag):
             return
-        stop = () if tag in ("html", "body", "article", "main", "div", "section", "table") else ("table", "article", "main", "body") if tag in BLOCK else BLOCK
-        self.close_until((tag,), stop)
+        if tag in ("html", "body", "article", "main", "div", "section", "table"):
+            stop = -1
+        elif tag in BLOCK:
+            stop = self.last(BOUNDARY)
+        else:
+            stop = self.blocks[-1] if self.blocks else -1
+        self.close_until(tag, stop)
 
     def handle_data(self, data):
-        if not self.dropping:
+        if not self.hiding:
             self.parts.append(data)
             if self.link:
-                self.links += len(data)
-
-
-def smoothed(values: list[float], cfg: Config) -> list[float]:
-    kernel = [math.exp(-(d * d) / (2 * cfg.sigma**2)) for d in range(-cfg.radius, cfg.radius + 1)]
-    out = []
-    for i in range(len(values)):
-        near = [(k, values[j]) for k, j in zip(kernel, range(i - cfg.radius, i + cfg.radius + 1)) if 0 <= j < len(values)]
-        out.append(sum(k * v for k, v in near) / sum(k for k, _ in near))
+                self.links += len(OTHER.sub("", data))
+
+
+def smoothed(lines: list[Line], cfg: Config) -> list[float]:
+    """Gaussian means of the lines' ratios; a mean never reaches over the edge of a marked part."""
+    kernel = [math.exp(-(d * d) / (2 * cfg.sigma**2)) for d in range(cfg.radius + 1)]
+    raw, out, n = [math.log1p(x.counted / max(1, x.tags)) for x in lines], [], len(lines)
+    for i, line in enumerate(lines):
+        total, weight = raw[i], 1.0
+        for step in (-1, 1):
+            j = i
+            for d in range(1, cfg.radius + 1):
+                j += step
+                if not 0 <= j < n or lines[j].marked != line.marked:
+                    break
+                total += kernel[d] * raw[j]
+                weight += kernel[d]
+        out.append(total / weight)
     return out
 
 
 def threshold(values: list[float]) -> float:
     """The midpoint of the two cluster means, by 2-means on the line."""
-    low, high = min(values), max(values)
+    ordered = sorted(values)
+    sums = [0.0]
+    for v in ordered:
+        sums.append(sums[-1] + v)
+    low, high, n = ordered[0], ordered[-1], len(ordered)
     for _ in range(50):
-        mid = (low + high) / 2
-        below, above = [v for v in values if v <= mid], [v for v in values if v > mid]
-        if not above:
-            return mid
-        new = sum(below) / len(below), sum(above) / len(above)
+        at = bisect_right(ordered, (low + high) / 2)
+        if not 0 < at < n:
+            break
+        new = sums[at] / at, (sums[n] - sums[at]) / (n - at)
         if new == (low, high):
             break
         low, high = new
     return (low + high) / 2
 
 
-def main_lines(page: Page, cfg: Config = Config()) -> list[Line]:
-    lines = page.lines
-    if not lines:
-        return []
-    ratio = smoothed([(len(x.text) - x.link_chars) / max(1, x.tags) for x in lines], cfg)
-    edge = threshold(ratio)
-    chosen = [x for x, r in zip(lines, ratio) if r >= edge] or lines
-    votes: dict[int, int] = {}
-    for x in chosen:
-        for c in x.chain:
-            votes[c] = votes.get(c, 0) + len(x.text)
-    total = sum(len(x.text) for x in chosen)
-    marked = [c for c in votes if page.kind[c] in ("article", "main")]
-    if marked:
-        # The outermost article of most selected text; a main element only where it has no article.
-        inner = [c for c in marked if page.kind[c] == "article"] or marked
-        region = max(inner, key=lambda c: (votes[c], -c))
-    else:
-        # The innermost container that holds nearly all of it, and more than a single line where any does.
-        holds = {c: sum(c in x.chain for x in lines) for c in votes if page.kind[c] in REGION and votes[c] >= cfg.share * total}
-        region = max((c for c in holds if holds[c] > 1), default=max(holds, default=None))
-    return lines if region is None else [x for x in lines if region in x.chain]
-
-
-def extract(html: str | None, cfg: Config = Config()) -> str:
+def select(lines: list[Line], cfg: Config = Config()) -> list[bool]:
+    """Which lines are in the cluster of high smoothed ratios; one that counts for nothing is not lifted by its neighbours."""
+    ratio = smoothed(lines, cfg)
+    edge = threshold([0.0, *ratio])
+    return [x.counted > 0 and r >= edge for x, r in zip(lines, ratio)]
+
+
+def content_regions(lines: list[Line], selected: list[bool], cfg: Config = Config()) -> set[int]:
+    own, chosen = defaultdict(int), defaultdict(int)
+    for x, s in zip(lines, selected):
+        own[x.region] += len(x.text) * (not x.marked)
+        chosen[x.region] += len(x.text) * s
+    most = max(chosen.values(), default=0)
+    if not most:
+        return set()
+    return {r for r, n in chosen.items() if n and n >= cfg.share * own[r]} | {next(r for r, n in chosen.items() if n == most)}
+
+
+def main_lines(lines: list[Line], cfg: Config = Config(), choose=select) -> list[Line]:
+    """The lines of the content regions; `choose` selects lines."""
+    selected = choose(lines, cfg)
+    regions, out, after = content_regions(lines, selected, cfg), [], False
+    for x, s in zip(reversed(lines), reversed(selected)):
+        if x.marked and not s:
+            after = False
+            continue
+        # A heading belongs to the region that it stands right before.
+        after = x.region in regions or x.heading and after
+        if after:
+            out.append(x)
+    return out[::-1]
+
+
+def lines_of(html: str | None) -> list[Line]:
     events = Events()
     events.feed(html or "")
     events.close()
     events.flush()
-    return "\n".join(x.text for x in main_lines(events.page, cfg))
+    # A container is part of the one around it where every line in that one counts.
+    parents = events.parents
+    whole = [r > 0 for r in range(len(parents))]
+    for x in events.lines:
+        if not x.counted and x.region != ARTICLES:
+            whole[x.region] = False
+    for r in range(len(parents) - 1, 0, -1):
+        if not whole[r]:
+            whole[parents[r]] = False
+    top = list(range(len(parents)))
+    for r in range(1, len(parents)):
+        if whole[parents[r]]:
+            top[r] = top[parents[r]]
+    for x in events.lines:
+        if x.region != ARTICLES:
+            x.region = top[x.region]
+    return events.lines
+
+
+def extract(html: str | None, cfg: Config = Config()) -> str:
+    return "\n".join(x.text for x in main_lines(lines_of(html), cfg))
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = (), cfg: Config = Config()) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -425,15 +426,78 @@ def test_html_frame(spark):
     assert len(got) == 4 and [r["text"] for r in got].count("") == 2 and got[0].asDict().keys() == {"page_id", "url", "text"}
 
 
+def page_of(rng):
+    """A page and the lines of its main text, known from how it was made; most pages have no article element."""
+    word = lambda: "".join(rng.choice("abcdeéß") for _ in range(rng.randrange(2, 9)))
+    say = lambda least, most: " ".join(word() for _ in range(rng.randrange(least, most)))
+    links = lambda: "<div>" + "".join(f"<a href=x>{say(1, 4)}</a> " for _ in range(rng.randrange(3, 12))) + "</div>"
+    content, made = [], ""
+    for _ in range(rng.choice((1, 1, 2, 3))):
+        title, body = say(2, 8), [say(1, 5) if rng.random() < 0.2 else say(12, 90) for _ in range(rng.randrange(2, 9))]
+        body[rng.randrange(len(body))] = say(40, 90)
+        box = rng.choice(("div", "section", "article"))
+        wrap = rng.choice(("<p>{}</p>", "<p>{}", "<div>{}</div>", "<p><b>{}</b></p>"))
+        made += f"<h2>{title}</h2><{box}>" + "".join(wrap.format(x.replace("é", "&eacute;")) for x in body) + f"</{box}>" + (links() if rng.random() < 0.5 else "")
+        content += [title, *body]
+    marked = f'<div class="{rng.choice(("ad", "sidebar-left", "cookieNotice"))}"><p>{say(30, 60)}</p></div>'
+    comments = f'<section id=comments><article class="comment"><p>{say(40, 80)}</p></article></section>'
+    return f"<html><head><title>{say(3, 5)}</title></head><body><nav>{links()}</nav>{links()}{marked}{made}{comments}{links()}<footer>{say(9, 20)}</footer></body></html>", content
+
+
+def test_html_pages_without_articles():
+    """Pages made of known parts; link lists without any mark are told from text by their ratios alone."""
+    rng, needs_clusters = random.Random(8), 0
+    for _ in range(300):
+        page, content = page_of(rng)
+        assert html_extract.extract(page) == "\n".join(content)
+        lines = html_extract.lines_of(page)
+        needs_clusters += [x.text for x in html_extract.main_lines(lines, choose=lambda rows, _: [True] * len(rows))] != content
+    assert needs_clusters == 300
+
+
+def test_html_selection_is_brute_force():
+    """Smoothing by a matrix over each run, and the clusters by trying what 2-means does on plain lists."""
+    rng, cfg = random.Random(3), html_extract.Config()
+    for _ in range(60):
+        lines = html_extract.lines_of(page_of(rng)[0])
+        raw = np.array([np.log1p(x.counted / max(1, x.tags)) for x in lines])
+        at, run = np.arange(len(lines)), np.cumsum([i > 0 and lines[i].marked != lines[i - 1].marked for i in range(len(lines))])
+        near = np.abs(at[:, None] - at)
+        kernel = np.exp(-(near**2) / (2 * cfg.sigma**2)) * (near <= cfg.radius) * (run[:, None] == run)
+        smooth = kernel @ raw / kernel.sum(axis=1)
+        low, high = 0.0, smooth.max()
+        for _ in range(50):
+            is_high = smooth > (low + high) / 2
+            low, high = smooth[~is_high].sum() / (1 + (~is_high).sum()), smooth[is_high].mean()
+        assert html_extract.select(lines) == [bool(x > 0 and r >= (low + high) / 2) for x, r in zip(raw, smooth)]
+
+
+def test_html_feed_and_lead():
+    text = "some long text of the page with many words in it and more of them here"
+    assert html_extract.extract(f"<main><article>{text}</article><div class=ad>{text}</div><article>{text} two</article></main>") == f"{text}\n{text} two"
+    assert html_extract.extract(f"<body><h1>T</h1><div><p>{text}<p>{text * 30}</div></body>") == f"T\n{text}\n{text * 30}"
+
+
+@pytest.mark.parametrize("tags", ["<div>", "<b>", "<p>", "<li>", "<table><tr><td>", "<article>", "<b><p>", "<form>"])
+def test_html_deep_markup(tags):
+    start = time.process_time()
+    assert html_extract.extract(tags * (1_000_000 // len(tags)) + "x" + "</b>" * 1000).endswith("x" if tags != "<form>" else "")
+    assert time.process_time() - start < 10
+
+
 @needs_data
-def test_html_articles(spark):
+def test_html_query(spark):
+    """The driver's pages less the parts that their markup names, block by block, without a cut at the article."""
     import html
     import re
 
-    for r in queries.op10_html_main_text(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
-        article = r["html"].split("<article>")[1].split("</article>")[0].replace("<br>", " ")
-        blocks = (" ".join(html.unescape(re.sub("<[^>]+>", "", b)).split()) for b in re.split("</?p>|</?h1>", article))
+    rows = queries.op10_html_main_text(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect()
+    for r in rows:
+        page = re.sub(r"(?s)<head>.*?</head>|<nav>.*?</nav>|<footer>.*?</footer>|<!--.*?-->|<div class=\"ad\">.*?</div>", "\n", r["html"])
+        blocks = (" ".join(html.unescape(re.sub("<[^>]+>", "", b)).split()) for b in re.split("(?i)</?(?:p|h1|article|body|html)\\b[^>]*>", page.replace("<br>", " ")))
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+        everything = html_extract.main_lines(html_extract.lines_of(r["html"]), choose=lambda rows, _: [True] * len(rows))
+        assert "\n".join(x.text for x in everything) != r["text"]
 
 
 # --- queries and pipeline --------------------------------------------------------------------------
