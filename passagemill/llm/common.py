@@ -8,6 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,18 +42,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where the session names none."""
+    """The shared folder that the session names; a folder of our own only in a local session that names none."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there
     got = spark.sparkContext._jsc.sc().getCheckpointDir()
     if got.isDefined():
         return got.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "/tmp/checkpoints/passagemill"
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
+_roots: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes every table that calls of this process still hold; results that were not written yet are lost."""
+    for root in list(_roots):
+        _delete(spark, root)
+        _roots.discard(root)
+
+
 class Workspace:
     """Tables written to the shared folder to cut lineage; lost executors lose none of them."""
 
@@ -61,14 +80,36 @@ class Workspace:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
+        _roots.add(self.root)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f"{self.root}/{name}")
+
+
+def groups(batches, keys: list[str]):
+    """Tables of the rows of each key, from batches sorted by it; keys are integers without nulls."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.table(batch.columns, batch.schema.names)
+        columns = [t[k].to_numpy() for k in keys]
+        cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        edges = [0, *cut.tolist(), t.num_rows]
+        if held and tuple(c[0] for c in columns) != last:
+            yield pa.concat_tables(held)
+            held = []
+        for lo, hi in zip(edges[:-2], edges[1:-1]):
+            held.append(t.slice(lo, hi - lo))
+            yield pa.concat_tables(held)
+            held = []
+        held.append(t.slice(edges[-2]))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.concat_tables(held)
 
 
 def text_crc(col: Column) -> Column:
@@ -106,7 +147,7 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     return dealt.join(copied, [key, "_salt"], how).drop("_salt")
 
 
-def only_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of `df` whose key is in `keys` (distinct, written); broadcast below BROADCAST_KEYS, else shuffled."""
+def only_keys(df: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """Rows of `df` whose key is in `keys` (distinct, written), or with left_anti is not; broadcast below BROADCAST_KEYS, else shuffled."""
     small = keys.count() <= BROADCAST_KEYS
-    return df.join(F.broadcast(keys) if small else keys.hint("merge"), key, "left_semi")
+    return df.join(F.broadcast(keys) if small else keys.hint("merge"), key, how)

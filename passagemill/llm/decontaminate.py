@@ -15,11 +15,16 @@ made of names or numbers, and short ones, are found as they stand.
 Places of a text where an item's windows match are judged apart, so a copy counts although the text uses
 the item's words elsewhere with other values.
 
+The texts are read once, whatever the size of the benchmark: of their windows only those leave a task that a Bloom
+filter of the items' windows lets through, and these are joined with the items' windows by hash, in Spark. The filter
+has at most `filter_bits` bits, so it is all of the benchmark that goes to every task; with more windows than some
+millions it lets more through, and the join still decides.
+
 Nulls and edge cases: a null or empty text matches nothing; an item with fewer words than a window is one
-window of its own length; one without any word (signs only) matches nothing; rows with a null id come back
-with it; repeated rows are reported once each; empty tables give an empty result. Only the named columns are
-read. The items' windows go to every task, in blocks of at most `block` windows of each kind: a larger
-benchmark takes more passes over the texts.
+window of its own length; one without any word (signs only) matches nothing, and neither does one with a null id;
+an item id with several texts is found where one of them is; rows with a null id come back with it; repeated rows are
+reported once each; of equally covered texts of an item the one found unchanged is reported; empty tables give an empty
+result. Only the named columns are read; extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.llm import bytewords
-from passagemill.llm.common import Workspace
+from passagemill.llm.common import Workspace, groups, only_keys, salted_join
 
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
 UNITS = (
@@ -58,7 +63,8 @@ class Config:
     window: int = 8
     least: int = 4  # plain words that a window needs
     share: float = 0.5  # of an item's windows
-    block: int = 1_000_000
+    filter_bits: int = 1 << 25  # most bits of the filter
+    broadcast_windows: int = 100_000  # up to so many windows of items are broadcast to the join
 
 
 def _table(words: list[str]) -> np.ndarray:
@@ -98,7 +104,7 @@ class Canonical:
 
 def fold(words: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The hashes with those of words with other than ASCII characters replaced by their full case folding's."""
-    wide = np.concatenate([[0], np.cumsum(buf > 127)])
+    wide = np.concatenate([[0], np.cumsum(buf > 127, dtype=np.int32)])
     other = np.flatnonzero(wide[ends] > wide[starts])
     if not len(other):
         return words
@@ -118,7 +124,7 @@ def canonical(buf: np.ndarray, off: np.ndarray) -> Canonical:
         return Canonical(words, np.zeros(0, np.int8), rows, starts, ends, raw, rows, rows)
     head = buf[starts]
     same_row = np.concatenate([[False], rows[1:] == rows[:-1]])
-    stops = np.concatenate([[0], np.cumsum(_stop[buf])])
+    stops = np.concatenate([[0], np.cumsum(_stop[buf], dtype=np.int32)])
     inside = same_row.copy()
     inside[1:] &= stops[starts[1:]] == stops[ends[:-1]]
     second = buf[np.minimum(starts + 1, len(buf) - 1)]
@@ -146,95 +152,117 @@ def windows(c: Canonical, k: int, least: int):
     return hashes[ok], rows[ok], first[ok]
 
 
-@dataclass
-class Index:
-    """Windows of the items, sorted by hash."""
+def slot_values(c: Canonical, buf: bytes, at: int, k: int) -> tuple[str, ...]:
+    return tuple(buf[c.starts[i] : c.ends[i]].decode("utf-8", "replace").lower() for i in range(at, at + k) if c.kinds[i])
 
-    lengths: list[int]
-    hashes: np.ndarray
-    item: np.ndarray
-    size: np.ndarray  # windows of the item
-    slots: list[tuple[str, ...]]
-    at: np.ndarray  # first word in the item
-    near: np.ndarray  # low bits of the hashes
 
+TEMPLATE, RAW = 0, 1
 
-def slot_values(c: Canonical, buf: bytes, at: int, k: int) -> tuple[str, ...]:
-    return tuple(buf[c.starts[i] : c.ends[i]].decode("utf-8", "replace").lower() for i in range(at, at + k) if c.kinds[i])
 
+def keyed(hashes: np.ndarray, kind: int, k: int) -> np.ndarray:
+    """Window hashes that differ by kind and length too, as signed integers."""
+    return bytewords.mix(hashes ^ np.uint64(0x9E3779B97F4A7C15 * (kind * 64 + k + 1) % 2**64)).view(np.int64)
 
-def _sorted(rows: list[tuple], lengths: set[int]) -> Index:
-    rows.sort(key=lambda r: (r[0], r[1]))
-    near = np.zeros(1 << 20, bool)
-    hashes = np.array([r[0] for r in rows], np.uint64)
-    near[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-    return Index(sorted(lengths), hashes, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), [r[3] for r in rows], np.array([r[4] for r in rows], np.int64), near)
 
+ITEM_WINDOWS = "hash bigint, kind int, k int, own bigint, item bigint, at int, size int, slots array<string>, covers array<struct<w:int,need:int>>"
 
-@dataclass
-class RawIndex:
-    """Raw windows of the items, with the place of each item in place of its number, and what counts of it."""
-
-    index: Index
-    items: list[int]
-    windows: list[list[tuple[int, int]]]  # from and to which raw window each of the item's windows is covered
-
-
-def index(items: list[tuple[int, str]], cfg: Config) -> tuple[Index, RawIndex]:
-    """Of the templates, and of the raw words."""
-    rows, lengths, raw_rows, raw_lengths, own, counted = [], set(), [], set(), [], []
-    for item, text in items:
-        data = text.encode()
-        buf = np.frombuffer(data, np.uint8)
-        c = canonical(buf, np.array([0, len(buf)]))
-        k = min(cfg.window, len(c.words))
-        if not k:
-            continue
-        hashes, _, first = windows(c, k, cfg.least)
-        if len(hashes):
-            lengths.add(k)
-            rows += [(h, item, len(hashes), slot_values(c, data, f, k), f) for h, f in zip(hashes.tolist(), first.tolist())]
-        n = min(cfg.window, len(c.raw.words))
-        raw_hashes, _, raw_first = bytewords.windows(c.raw.words, c.raw.rows, n)
-        if len(hashes) == len(c.words) - k + 1:
-            counted.append([(int(c.first[f]), int(c.last[f + k - 1]) + 2 - n) for f in first])
-        else:
-            counted.append([(f, f + 1) for f in range(len(raw_hashes))])
-        raw_lengths.add(n)
-        raw_rows += [(h, len(own), len(counted[-1]), (), f) for h, f in zip(raw_hashes.tolist(), raw_first.tolist())]
-        own.append(item)
-    return _sorted(rows, lengths), RawIndex(_sorted(raw_rows, raw_lengths), own, counted)
-
-
-def lookup(ix: Index, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in `hashes`, place in the index) of every match."""
-    maybe = np.flatnonzero(ix.near[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
-    lo, hi = np.searchsorted(ix.hashes, hashes[maybe], "left"), np.searchsorted(ix.hashes, hashes[maybe], "right")
-    n = hi - lo
-    return np.repeat(maybe, n), np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-
-
-def raw_matches(raw_ix: RawIndex, raw: Raw, cfg: Config, done: set[tuple[int, int]]) -> dict[tuple[int, int], tuple[int, int, int, int]]:
-    """(row, item) -> (matched, windows, first byte, end) where raw windows cover the share of an item; those of `done` are passed over."""
-    ix, found = raw_ix.index, {}
-    for k in ix.lengths:
-        hashes, rows, first = bytewords.windows(raw.words, raw.rows, k)
-        w, j = lookup(ix, hashes)
-        _, once = np.unique(rows[w] * len(ix.hashes) + j, return_index=True)
-        w, j = w[once], j[once]
-        for row, own, at, lo, hi in zip(rows[w].tolist(), ix.item[j].tolist(), ix.at[j].tolist(), raw.starts[first[w]].tolist(), raw.ends[first[w] + k - 1].tolist()):
-            if (row, raw_ix.items[own]) not in done:
-                found.setdefault((row, own), {})[at] = lo, hi
-    out = {}
-    for (row, own), hits in found.items():
-        size = len(raw_ix.windows[own])
-        covered = [(a, b) for a, b in raw_ix.windows[own] if all(x in hits for x in range(a, b))]
-        if len(covered) >= max(1, cfg.share * size):
-            spans = [hits[x] for a, b in covered for x in range(a, b)]
-            new = len(covered), size, min(x[0] for x in spans), max(x[1] for x in spans)
-            key = row, raw_ix.items[own]
-            out[key] = max(out.get(key, new), new)  # an item may have several texts
-    return out
+
+def item_windows(own: int, item: int, text: str, cfg: Config):
+    """Rows of ITEM_WINDOWS of one text of an item: its template windows, and its raw windows.
+
+    `size` is how many windows count; a raw window covers some of these, each of which needs so many raw ones.
+    """
+    data = text.encode()
+    buf = np.frombuffer(data, np.uint8)
+    c = canonical(buf, np.array([0, len(buf)]))
+    k = min(cfg.window, len(c.words))
+    if not k:
+        return
+    hashes, _, first = windows(c, k, cfg.least)
+    for h, f in zip(keyed(hashes, TEMPLATE, k).tolist(), first.tolist()):
+        yield h, TEMPLATE, k, own, item, f, len(hashes), slot_values(c, data, f, k), ()
+    n = min(cfg.window, len(c.raw.words))
+    raw_hashes, _, raw_first = bytewords.windows(c.raw.words, c.raw.rows, n)
+    if len(hashes) == len(c.words) - k + 1:
+        counted = [(int(c.first[f]), int(c.last[f + k - 1]) + 2 - n) for f in first]
+    else:
+        counted = [(f, f + 1) for f in range(len(raw_hashes))]
+    covers: dict[int, list[tuple[int, int]]] = {}
+    for w, (a, b) in enumerate(counted):
+        for x in range(a, b):
+            covers.setdefault(x, []).append((w, b - a))
+    for h, f in zip(keyed(raw_hashes, RAW, n).tolist(), raw_first.tolist()):
+        yield h, RAW, n, own, item, f, len(counted), (), covers.get(f, ())
+
+
+def _index(cfg: Config):
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.struct([("w", pa.int32()), ("need", pa.int32())]))]
+    names = [x.split()[0] for x in ITEM_WINDOWS.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for own, item, text in zip(*(x.to_pylist() for x in batch.columns)):
+                rows = list(item_windows(own, item, text, cfg))
+                if rows:
+                    rows = [(*r[:7], list(r[7]), [{"w": w, "need": n} for w, n in r[8]]) for r in rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
+
+    return run
+
+
+def bloom(ix: DataFrame, n: int, cfg: Config) -> np.ndarray:
+    """A filter of the hashes with two places each, as bytes of eight bits; its words are gathered in Spark."""
+    bits = 1 << 16
+    while bits < min(64 * n, cfg.filter_bits):
+        bits *= 2
+    places = F.explode(F.array(F.col("hash").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("hash", 32).bitwiseAND(F.lit(bits - 1))))
+    at = ix.select(places.alias("p")).select(F.shiftright("p", 5).alias("word"), F.expr("shiftleft(1L, cast(p & 31 as int))").alias("bit"))
+    got = at.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 32, np.uint32)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
+    return out.view(np.uint8)
+
+
+def passing(flt: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of the hashes that the filter lets through."""
+    mask = np.uint64(8 * len(flt) - 1)
+    u, at = hashes.view(np.uint64), np.arange(len(hashes))
+    for shift in (0, 32):
+        p = ((u[at] >> np.uint64(shift)) & mask).astype(np.int64)
+        at = at[(flt[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0]
+    return at
+
+
+def _scan(cfg: Config, lengths: list[tuple[int, int]], flt: np.ndarray):
+    """(row, id, hash, first, start, end, slots) of the texts' windows that pass the filter, from (row, id, text)."""
+
+    def run(batches):
+        for batch in batches:
+            for first_row, buf, off in bytewords.blocks(batch.column(2)):
+                c, data, out = canonical(buf, off), None, []
+                for kind, k in lengths:
+                    words = c if kind == TEMPLATE else c.raw
+                    hashes, rows, first = windows(c, k, cfg.least) if kind == TEMPLATE else bytewords.windows(c.raw.words, c.raw.rows, k)
+                    hashes = keyed(hashes, kind, k)
+                    hit = passing(flt, hashes)
+                    if not len(hit):
+                        continue
+                    rows, first = rows[hit], first[hit]
+                    slots = [[]] * len(hit)
+                    if kind == TEMPLATE:
+                        data = data or buf.tobytes()
+                        slots = [list(slot_values(c, data, f, k)) for f in first.tolist()]
+                    base = off[rows]
+                    place = first - np.searchsorted(words.rows, rows)
+                    out.append((first_row + rows, hashes[hit], place, words.starts[first] - base, words.ends[first + k - 1] - base, slots))
+                if out:
+                    at, *numbers = (np.concatenate(x) for x in list(zip(*out))[:5])
+                    slots = pa.array([x for o in out for x in o[5]], pa.list_(pa.string()))
+                    at = pa.array(at)
+                    columns = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x.astype(np.int64)) for x in numbers), slots]
+                    yield pa.RecordBatch.from_arrays(columns, ["row", "id", "hash", "first", "start", "end", "slots"])
+
+    return run
 
 
 def bind(there: dict, back: dict, item: tuple[str, ...], text: tuple[str, ...]) -> bool:
@@ -332,50 +360,72 @@ def chain(hits: list[Hit], least: float = 1) -> list[Hit]:
     return best if len(best) >= least else []
 
 
-def _match(ix: Index, raw_ix: RawIndex, cfg: Config):
+def raw_cover(hits: list[dict], cfg: Config) -> tuple[int, int, bool, int, int] | None:
+    """(matched, windows, False, first byte, end) where raw windows cover the share of an item's windows."""
+    once: dict[int, dict] = {}
+    for h in sorted(hits, key=lambda h: h["start"]):
+        once.setdefault(h["at"], h)
+    met: dict[int, int] = {}
+    for h in once.values():
+        for x in h["covers"]:
+            met[x["w"]] = met.get(x["w"], 0) + 1
+    size = hits[0]["size"]
+    covered = {x["w"] for h in once.values() for x in h["covers"] if met[x["w"]] == x["need"]}
+    if len(covered) < max(1, cfg.share * size):
+        return None
+    used = [h for h in once.values() if any(x["w"] in covered for x in h["covers"])]
+    return len(covered), size, False, min(h["start"] for h in used), max(h["end"] for h in used)
+
+
+def verdict(hits: list[dict], cfg: Config) -> tuple[int, int, bool, int, int] | None:
+    """(matched, windows, reparameterised, first byte, end) of one text of an item in one text, from its joined windows."""
+    own = [h for h in hits if h["kind"] == TEMPLATE]
+    if own:
+        size = own[0]["size"]
+        kept = chain([Hit(h["at"], tuple(h["item_slots"]), tuple(h["slots"]), h["start"], h["end"], h["first"] - h["at"]) for h in own], max(1, cfg.share * size))
+        if kept:
+            return len(kept), size, any(h.item != h.text for h in kept), min(h.start for h in kept), max(h.end for h in kept)
+    raw = [h for h in hits if h["kind"] == RAW]
+    return raw_cover(raw, cfg) if raw else None
+
+
+def _judge(cfg: Config):
+    names = ["id", "item", "matched", "n_windows", "reparameterised", "first_byte", "end_byte"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+
     def run(batches):
-        for batch in batches:
-            ids, out = batch.column(0), []
-            for first_row, buf, off in bytewords.blocks(batch.column(1)):
-                c, found = canonical(buf, off), {}
-                data = None
-                for k in ix.lengths:
-                    hashes, rows, first = windows(c, k, cfg.least)
-                    for w, j in zip(*(x.tolist() for x in lookup(ix, hashes))):
-                        data = data or buf.tobytes()
-                        hit = Hit(j, ix.slots[j], slot_values(c, data, first[w], k), int(c.starts[first[w]]), int(c.ends[first[w] + k - 1]), int(first[w] - ix.at[j]))
-                        found.setdefault((int(rows[w]), int(ix.item[j])), []).append(hit)
-                done = set()
-                for (row, item), hits in found.items():
-                    size = int(ix.size[hits[0].window])
-                    kept = chain(hits, max(1, cfg.share * size))
-                    if kept:
-                        done.add((row, item))
-                        base = int(off[row])
-                        changed = any(h.item != h.text for h in kept)
-                        out.append((ids[first_row + row].as_py(), item, len(kept), size, changed, min(h.start for h in kept) - base, max(h.end for h in kept) - base))
-                out += [(ids[first_row + row].as_py(), item, n, size, False, lo - int(off[row]), hi - int(off[row])) for (row, item), (n, size, lo, hi) in raw_matches(raw_ix, c.raw, cfg, done).items()]
-            columns = list(zip(*out)) if out else [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, kinds)], ["id", "item", "matched", "n_windows", "reparameterised", "first_byte", "end_byte"])
+        for g in groups(batches, ["row", "item"]):
+            by: dict[int, list[dict]] = {}
+            for h in g.drop_columns(["id"]).to_pylist():
+                by.setdefault(h["own"], []).append(h)
+            found = [x for _, hits in sorted(by.items()) if (x := verdict(hits, cfg))]
+            if found:
+                best = max(found, key=lambda x: (x[0] / x[1], not x[2], x[1], -x[3]))
+                yield pa.RecordBatch.from_arrays([g["id"].slice(0, 1).combine_chunks(), *(pa.array([x], t) for x, t in zip((g["item"][0].as_py(), *best), kinds))], names)
 
     return run
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cfg: Config = Config()) -> DataFrame:
     """(id, item, matched, n_windows, reparameterised, first_byte, end_byte) of every contaminated (document, item)."""
-    items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"), F.octet_length(item_text).alias("n"))
-    items = items.where("item is not null").distinct()
-    parts = int(items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // (2 * cfg.block)) + 1  # a word takes 2 bytes of text at least
-    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    schema = "id bigint, item bigint, matched bigint, n_windows bigint, reparameterised boolean, first_byte bigint, end_byte bigint"
-    found = None
-    for p in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == p).select("item", "text").collect()
-        ix, raw_ix = index(sorted((r[0], r[1]) for r in own), cfg)
-        got = source.mapInArrow(_match(ix, raw_ix, cfg), schema)
-        found = got if found is None else found.union(got)
-    return found.withColumnsRenamed({"id": id_col, "item": item_col})
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    ws = Workspace(spark, "contamination")
+    items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null").distinct()
+    items = ws.write(items.withColumn("own", F.monotonically_increasing_id()), "items")
+    ix = ws.write(items.select("own", "item", "text").mapInArrow(_index(cfg), ITEM_WINDOWS), "windows")
+    lengths = sorted((r["kind"], r["k"]) for r in ix.select("kind", "k").distinct().collect())  # 2 * cfg.window at most
+    schema = f"id {kind}, item bigint, matched bigint, n_windows bigint, reparameterised boolean, first_byte bigint, end_byte bigint"
+    if not lengths:
+        return spark.createDataFrame([], schema).withColumnsRenamed({"id": id_col, "item": item_col})
+    n = ix.count()
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # Row numbers are fixed by writing what passes the filter.
+    hits = ws.write(source.mapInArrow(_scan(cfg, lengths, bloom(ix, n, cfg)), f"row bigint, id {kind}, hash bigint, first bigint, start bigint, end bigint, slots array<string>"), "hits")
+    right = ix.select("hash", "kind", "own", "item", "at", "size", F.col("slots").alias("item_slots"), "covers")
+    met = hits.join(F.broadcast(right), "hash") if n <= cfg.broadcast_windows else salted_join(hits, right, "hash")
+    dealt = met.repartition("row", "item").sortWithinPartitions("row", "item")
+    columns = ["row", "id", "kind", "own", "item", "at", "size", "item_slots", "covers", "first", "start", "end", "slots"]
+    return dealt.select(*columns).mapInArrow(_judge(cfg), schema).withColumnsRenamed({"id": id_col, "item": item_col})
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -384,14 +434,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **optio
     Rows with a null id are numbered, and judged each by itself.
     """
     ws = Workspace(docs.sparkSession, "decontaminate")
-    hits = ws.write(contaminated(docs.where(F.col(id_col).isNotNull()), benchmark, id_col, **options).select(id_col).distinct(), "hits")
-    kept = docs.where(F.col(id_col).isNotNull()).join(hits, id_col, "left_anti").select(*docs.columns)
+    named = docs.where(F.col(id_col).isNotNull())
+    hits = ws.write(contaminated(named, benchmark, id_col, **options).select(id_col).distinct(), "hits")
+    kept = only_keys(named, hits, id_col, "left_anti").select(*docs.columns)
     unnamed = docs.where(F.col(id_col).isNull())
     if not unnamed.limit(1).count():
         return kept
-    number = "_row_number"
-    while number in docs.columns:
+    number, taken = "_row_number", {c.lower() for c in docs.columns}
+    while number in taken:
         number += "_"
     unnamed = ws.write(unnamed.withColumn(number, F.monotonically_increasing_id()), "unnamed")
     hits = ws.write(contaminated(unnamed, benchmark, number, **options).select(number).distinct(), "unnamed-hits")
-    return kept.unionByName(unnamed.join(hits, number, "left_anti").select(*docs.columns))
+    return kept.unionByName(only_keys(unnamed, hits, number, "left_anti").select(*docs.columns))

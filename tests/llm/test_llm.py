@@ -398,13 +398,93 @@ def test_copies_in_other_case(spark):
     assert {(r["doc_id"], r["item_id"], r["reparameterised"]) for r in decontaminate.contaminated(d, b).collect()} == {(i, 1 + i // 3, False) for i in range(6)}
 
 
+def brute_match(item, text, cfg=decontaminate.Config()):
+    """Whether some binding of slots, one to one, lets the share of an item's template windows be found in a text; plain lists, all bindings."""
+    import itertools
+
+    def words(t):
+        data = t.encode()
+        c = decontaminate.canonical(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        out = []
+        for i in range(len(c.words)):
+            raw = data[c.starts[i] : c.ends[i]].decode().lower()
+            out.append((int(c.kinds[i]), raw if c.kinds[i] else raw))
+        return out
+
+    def wins(ws, k):
+        for i in range(len(ws) - k + 1):
+            w = ws[i : i + k]
+            if sum(kind == 0 for kind, _ in w) >= cfg.least:
+                yield tuple(x if kind == 0 else kind for kind, x in w), tuple(x for kind, x in w if kind)
+
+    a, b = words(item), words(text)
+    k = min(cfg.window, len(a))
+    own, there = list(wins(a, k)), {}
+    for mould, slots in wins(b, k):
+        there.setdefault(mould, set()).add(slots)
+    names = sorted({x for _, slots in own for x in slots})
+    values = sorted({x for vs in there.values() for v in vs for x in v})
+    best = None
+    for choice in itertools.permutations([*values, *[None] * len(names)], len(names)) if len(names) <= 3 else ():
+        bound = dict(zip(names, choice))
+        n = sum(tuple(bound[x] for x in slots) in there.get(mould, ()) for mould, slots in own)
+        best = max(best or (0, False), (n, all(bound[x] == x for _, slots in own for x in slots if bound[x] is not None)))
+    return best is not None and len(own) and best[0] >= max(1, cfg.share * len(own))
+
+
+def test_templates_are_brute_force(spark):
+    """Planted re-parameterised items, mixtures of values and broken copies, judged by trying all bindings."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(4, 9)))
+    items = []
+    for _ in range(6):
+        w = [word() for _ in range(rng.randrange(14, 24))]
+        for at in rng.sample(range(3, len(w)), 2):
+            w[at] = str(rng.randrange(10, 99))
+        items.append(w)
+    docs = []
+    for _ in range(60):
+        w, parts = rng.choice(items), []
+        for _ in range(rng.randrange(1, 4)):
+            own = [str(rng.randrange(10, 99)) if x.isdigit() and rng.random() < 0.6 else x for x in w]
+            lo = rng.randrange(0, len(own) // 2) if rng.random() < 0.5 else 0
+            hi = rng.randrange(len(own) // 2, len(own)) if rng.random() < 0.5 else len(own)
+            if rng.random() < 0.3:
+                own[rng.randrange(len(own))] = word()
+            parts += [*own[lo:hi], word()]
+        docs.append(" ".join(parts))
+    cfg = decontaminate.Config(window=6)
+    got = decontaminate.contaminated(
+        spark.createDataFrame(list(enumerate(docs)), DOC), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string"), cfg=cfg
+    )
+    want = {(d, i) for d, text in enumerate(docs) for i, w in enumerate(items) if brute_match(" ".join(w), text, cfg)}
+    assert 10 < len(want) < 60 and {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
+def test_item_with_several_texts(spark):
+    other = "Nobody in the whole town could say how the old clock on the tower had come to stop that night"
+    b = spark.createDataFrame([(1, ITEM), (1, other), (1, other), (2, other)], "item_id bigint, text string")
+    d = spark.createDataFrame([(1, other), (2, ITEM), (3, " ".join(ITEM.split()[:9]) + " x " + " ".join(other.split()[:10]))], DOC)
+    got = sorted((r["doc_id"], r["item_id"], r["matched"] == r["n_windows"]) for r in decontaminate.contaminated(d, b).collect())
+    assert got == [(1, 1, True), (1, 2, True), (2, 1, True)]
+
+
+def test_contamination_of_long_and_empty(spark):
+    b = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
+    d = spark.createDataFrame([(1, "plain words of a long text " * 80_000 + ITEM), (2, "x" * 3_000_000)], DOC)
+    assert [r["doc_id"] for r in decontaminate.contaminated(d, b).collect()] == [1]
+    assert decontaminate.contaminated(d.limit(0), b).count() == decontaminate.contaminated(d, b.limit(0)).count() == 0
+    assert decontaminate.clean(d.limit(0), b).count() == 0 and decontaminate.clean(d.withColumnRenamed("doc_id", "Doc").withColumn("_ROW_NUMBER", F.lit(1)), b, "Doc").count() == 1
+
+
 @needs_data
 def test_benchmark_passages(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r["doc_id"], r["item_id"]) for r in queries.op9_template_decontamination(spark, SF).collect()}
     passages = items.collect()
     assert got == {(d["doc_id"], i["item_id"]) for d in docs.collect() for i in passages if i["text"] in d["text"]}
-    assert {tuple(r) for r in decontaminate.contaminated(docs, items, cfg=decontaminate.Config(block=500)).select("doc_id", "item_id").collect()} == got
+    tight = decontaminate.Config(filter_bits=1 << 10, broadcast_windows=0)  # the filter lets all through, and the join is by shuffle
+    assert {tuple(r) for r in decontaminate.contaminated(docs, items, cfg=tight).select("doc_id", "item_id").collect()} == got
 
 
 PAGE = """<html><body class="has-sidebar"><header><h1>Site</h1></header><div class="cookie-notice">We use cookies</div><div id=content><div class=sidebar>x y z</div>
