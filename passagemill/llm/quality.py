@@ -3,24 +3,27 @@
 Two zstandard dictionaries are trained, on blocks of good and of bad labelled text. A text is cut into
 blocks, each is compressed under both, and the difference of the compressed sizes over the larger one,
 with how well the text compresses at all and its length, becomes a score by logistic calibration.
-Calibration sees each training row under dictionaries built without it.
+Calibration sees each training row, whole, under dictionaries built without its fold of the texts; block and
+dictionary sizes, the level and the terms were picked by such folds among training rows alone.
 
-Nulls and edge cases: a null text scores as an empty one; ids may be null; texts are scored whole;
-equal texts get equal scores; labels other than 0 and 1 are ignored. Without rows of both classes the
+Nulls and edge cases: a null text scores as an empty one; ids may be null; texts are fitted on and scored whole,
+the dictionaries on blocks drawn from anywhere in them; ties: equal texts get equal scores and fall into one fold;
+repeated training rows count once; labels other than 0 and 1 are ignored; extra columns may have any name. Without rows of both classes the
 score is the share of label 1 among the training rows, or 0.5 without any. An empty table gives an
 empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
 
-import random
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from passagemill.llm import labelled
@@ -30,10 +33,10 @@ from passagemill.llm.common import Workspace
 @dataclass(frozen=True)
 class Config:
     per_class: int = 2500  # labelled rows of each class that are fitted on
-    fit_bytes: int = 8192  # of each of those texts; scoring always reads whole texts
     block: int = 1024
     dictionary: int = 110_000
-    dictionary_blocks: int = 12_000
+    folds: int = 4
+    dictionary_blocks: int = 3_000  # of each class and fold of those rows, that a dictionary is built from
     level: int = 3
     ridge: float = 1e-3
 
@@ -82,29 +85,8 @@ def dictionary(blocks: list[bytes], cfg: Config) -> bytes:
         return b"".join(blocks)[-cfg.dictionary :]
 
 
-def fit_rows(rows: list[tuple[int, bytes]], totals: list[int], cfg: Config = Config()) -> Model:
-    """A model from (label, text) rows; `totals` are the sizes of the classes that they were drawn from."""
-    prior = totals[1] / sum(totals) if sum(totals) else 0.5
-    rows = sorted(rows)
-    if len({y for y, _ in rows}) < 2:
-        return Model(b"", b"", (), cfg.block, cfg.level, prior)
-
-    def build(part) -> tuple[bytes, bytes]:
-        out = []
-        for y in (1, 0):
-            blocks = [t[i : i + cfg.block] for label, t in part if label == y for i in range(0, len(t), cfg.block)]
-            random.Random(5).shuffle(blocks)
-            out.append(dictionary(blocks[: cfg.dictionary_blocks], cfg))
-        return out[0], out[1]
-
-    x, y = [], []
-    for fold in (0, 1):
-        rest = rows[1 - fold :: 2]
-        good, bad = build(rest if len({label for label, _ in rest}) == 2 else rows)
-        part = Model(good, bad, (0.0,), cfg.block, cfg.level, prior)
-        x += [part.features(t) for _, t in rows[fold::2]]
-        y += [label for label, _ in rows[fold::2]]
-    x, y = np.array(x), np.array(y, float)
+def calibrate(x: np.ndarray, y: np.ndarray, totals: list[int], cfg: Config) -> tuple[float, ...]:
+    """Logistic weights of the features, each class weighed to its size in `totals`."""
     share = np.array([totals[c] / max(1, (y == c).sum()) for c in (0, 1)])
     w = share[y.astype(int)]
     w *= len(w) / w.sum()
@@ -116,18 +98,69 @@ def fit_rows(rows: list[tuple[int, bytes]], totals: list[int], cfg: Config = Con
         beta += step
         if np.abs(step).max() < 1e-8:
             break
-    good, bad = build(rows)
-    return Model(good, bad, tuple(map(float, beta)), cfg.block, cfg.level, prior)
+    return tuple(map(float, beta))
+
+
+def _blocks(cfg: Config):
+    """(label, fold, h, block) of every block of (label, fold, text), with a hash to draw by."""
+
+    def run(batches):
+        for batch in batches:
+            for label, fold, text in zip(*(c.to_pylist() for c in batch.columns)):
+                data = text.encode()
+                parts = [data[i : i + cfg.block] for i in range(0, len(data), cfg.block)]
+                drawn = [xxhash.xxh3_64_intdigest(part, seed=i) >> 1 for i, part in enumerate(parts)]
+                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([label] * len(parts), [fold] * len(parts), drawn, parts), kinds)], ["label", "fold", "h", "block"])
+
+    return run
+
+
+def _features(models: list[Model]):
+    def run(batches):
+        for batch in batches:
+            folds = batch.column(1).to_pylist()
+            x = [models[f].features(t.encode()) for f, t in zip(folds, batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", cfg: Config = Config()) -> Model:
-    """`train` selects the rows of `labels` that may be learnt from."""
+    """`train` selects the rows of `labels` that may be learnt from.
+
+    Texts stay on the executors: what comes to the driver are blocks, 2 * cfg.folds * cfg.dictionary_blocks at most, and a
+    row of features for each of the 2 * cfg.per_class rows of the sample.
+    """
     ws = Workspace(docs.sparkSession, "quality")
     chosen, totals = labelled.sample(ws, labels, label, train, (cfg.per_class, cfg.per_class), id_col)
-    got = labelled.texts(chosen, docs, id_col, text_col).select("label", F.substring(F.encode("text", "UTF-8"), 1, cfg.fit_bytes).alias("text"))
-    rows = [(r[0], bytes(r[1])) for r in got.distinct().collect()]
-    ws.drop("labelled", "sample")
-    return fit_rows(rows, totals, cfg)
+    prior = totals[1] / sum(totals) if sum(totals) else 0.5
+    fold = F.pmod(F.xxhash64("text"), F.lit(cfg.folds)).cast("int").alias("fold")
+    rows = ws.write(labelled.texts(chosen, docs, id_col, text_col).select("label", fold, "text").distinct(), "texts")
+    if rows.select("label").distinct().count() < 2:
+        ws.drop("labelled", "sample", "texts")
+        return Model(b"", b"", (), cfg.block, cfg.level, prior)
+    blocks = rows.mapInArrow(_blocks(cfg), "label int, fold int, h bigint, block binary")
+    rank = F.row_number().over(W.partitionBy("label", "fold").orderBy("h", "block"))
+    drawn = blocks.withColumn("rank", rank).where(F.col("rank") <= cfg.dictionary_blocks).drop("rank").toArrow()
+    of: dict[tuple[int, int], list] = {}
+    for y, f, h, part in sorted(zip(*(drawn[c].to_pylist() for c in ("label", "fold", "h", "block"))), key=lambda r: (r[2], r[3])):
+        of.setdefault((y, f), []).append((h, part))
+
+    def build(folds: tuple[int, ...]) -> tuple[bytes, bytes]:
+        return tuple(dictionary([part for _, part in sorted(x for f in folds for x in of.get((y, f), []))], cfg) for y in (1, 0))
+
+    # Rows of a fold are seen under dictionaries of the others, where those have both classes.
+    every, parts = tuple(range(cfg.folds)), []
+    for f in every:
+        rest = tuple(g for g in every if g != f)
+        rest = rest if all(any(of.get((y, g)) for g in rest) for y in (0, 1)) else every
+        parts.append(Model(*build(rest), (0.0,), cfg.block, cfg.level, prior))
+    got = rows.select("label", "fold", "text").mapInArrow(_features(parts), "label int, x array<double>").toArrow()
+    seen = sorted(zip(got["label"].to_pylist(), got["x"].to_pylist()))
+    weights = calibrate(np.array([x for _, x in seen]), np.array([y for y, _ in seen], float), totals, cfg)
+    ws.drop("labelled", "sample", "texts")
+    return Model(*build(every), weights, cfg.block, cfg.level, prior)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] | None = None, out: str = "score") -> DataFrame:
