@@ -6,8 +6,11 @@ signs are read as letters, and rates of capitals, exclamation, punctuation, mask
 tokens. Features of a training row never use lexicon entries learnt from its own part, and calibration
 uses out-of-part predictions.
 
-Nulls and edge cases: a null text scores as an empty one; ids may be null; texts are scored whole;
-equal texts get equal scores; labels other than 0 and 1 are ignored. Without rows of both classes the
+The learnt lexicon has every word that passes its tests; as it comes from a bounded sample of rows, so does its size.
+
+Nulls and edge cases: a null text scores as an empty one; ids may be null; texts are fitted on and scored whole;
+ties: equal texts get equal scores; repeated training rows count once; labels other than 0 and 1 are ignored; extra
+columns may have any name. Without rows of both classes the
 score is the share of label 1, or 0 without any training row. An empty table gives an empty result.
 Only the named columns are read.
 """
@@ -50,7 +53,6 @@ NEAR = 3
 @dataclass(frozen=True)
 class Config:
     per_class: tuple[int, int] = (8000, 4000)  # labelled rows that are fitted on: clean, toxic
-    lexicon: int = 5000  # learnt entries
     parts: int = 4
     rounds: int = 80
     depth: int = 3
@@ -100,15 +102,15 @@ def features(column: pa.Array, seed: np.ndarray, second: np.ndarray, learnt: Lex
             ok[ok] &= is_second[j[ok]] & (rows[j[ok]] == rows[where[ok]])
             near[where[ok]] = True
         s2, e2, r2 = bytewords.spans(buf, off, LEET_SEP)
-        odd = np.zeros(len(buf) + 1, np.int64)
+        odd = np.zeros(len(buf) + 1, np.int32)
         np.cumsum(_digit[buf] | (buf == 64) | (buf == 36), out=odd[1:])
-        letters = np.zeros(len(buf) + 1, np.int64)
+        letters = np.zeros(len(buf) + 1, np.int32)
         np.cumsum(_letter[buf], out=letters[1:])
         mixed = (odd[e2] > odd[s2]) & (letters[e2] > letters[s2])
         read = bytewords.hashes(buf, s2[mixed], e2[mixed], LEET)
         hidden = (within(seed, read) >= 0) | (within(learnt.words, read) >= 0)
         size = np.maximum(1, np.diff(off)).astype(float)
-        rate = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[off]) / size
+        rate = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])[off]) / size
         upper = (buf >= 65) & (buf <= 90)
         out.append(np.stack([
             count(rows, is_seed) / total, count(rows, is_learnt) / total, np.log1p(count(rows, is_seed)), np.log1p(count(rows, is_learnt)),
@@ -257,9 +259,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic",
     cells = [F.count(F.when((F.col("part") == p) & (F.col("label") == y), 1)).alias(f"n{p}_{y}") for p in range(cfg.parts) for y in (0, 1)]
     counts = seen.groupBy("word").agg(*cells)
     t, c = (sum(F.col(f"n{p}_{y}") for p in range(cfg.parts)) for y in (1, 0))
-    counts = counts.where((t >= 2) & (t / toxic.sum() > 4 * c / clean.sum())).orderBy(t.desc(), "word").limit(cfg.lexicon).collect()
-    words = np.array([r["word"] for r in counts], np.int64).view(np.uint64)
-    counts = np.array([[[r[f"n{p}_{y}"] for y in (0, 1)] for p in range(cfg.parts)] for r in counts], float).reshape(len(words), cfg.parts, 2)
+    counts = counts.where((t >= 2) & (t / toxic.sum() > 4 * c / clean.sum())).orderBy("word").toArrow()
+    words = counts["word"].to_numpy().view(np.uint64)
+    counts = np.array([counts[f"n{p}_{y}"].to_numpy() for p in range(cfg.parts) for y in (0, 1)], float).T.reshape(len(words), cfg.parts, 2)
     own = [learn(counts, words, toxic, clean, p, cfg) for p in range(cfg.parts)]
 
     def run(batches):
