@@ -36,7 +36,7 @@ fits AS (
   SELECT n.host, n.path, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.allow, length(r.h || r.p)) AS allow
   FROM names n JOIN rules r ON (n.host = r.h OR ends_with(n.host, '.' || r.h)) AND starts_with(n.path, r.p) GROUP BY 1, 2),
 good AS (SELECT doc_id AS page_id, min(quality) AS good FROM labels WHERE quality IN (0, 1) GROUP BY 1),
-seen AS (SELECT host, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS k FROM (SELECT DISTINCT ON (page_id) page_id, host FROM rows) JOIN good USING (page_id) GROUP BY 1),
+seen AS (SELECT host, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS k FROM (SELECT page_id, min(host) AS host FROM rows GROUP BY 1) JOIN good USING (page_id) GROUP BY 1),
 two AS (
   SELECT DISTINCT host, array_to_string(string_split(host, '.')[-2:], '.') AS last2, array_to_string(string_split(host, '.')[-3:], '.') AS last3, string_split(host, '.')[-1] AS last1 FROM rows),
 named AS (

@@ -1,15 +1,17 @@
 """URL rules and Empirical-Bayes host reputation, in DataFrame functions only.
 
-A rule names a host with all its subdomains and a path prefix; the longest fitting rule decides. Other
-pages are judged by reputation: labelled page outcomes are counted by host, and every level's share of
+A rule names a host with all its subdomains and a path prefix; the longest fitting rule decides. Rules meet the
+distinct hosts by a hash join on the hosts' suffixes, so the plan does not grow with them, and a page tries only those
+of its host. Other pages are judged by reputation: labelled page outcomes are counted by host, and every level's share of
 good pages is shrunk to the level above it (suffix to all pages, registered domain to suffix, host to
 domain) by a beta-binomial prior whose strength comes from the method of moments. A page is allowed
 when the lower posterior bound of its host reaches the threshold.
 
-Nulls and edge cases: a null url, or one without "://", has an empty host and path, fits no rule and is
-judged by the prior of all pages; null labels count as none; a page that is labelled or listed more
-than once counts once for its outcome, with its least label; repeated pages come back repeated; with
-no labels at all the prior is uniform; an empty table gives an empty result. Other columns are not read.
+Nulls and edge cases: a null url, or one without "://", has an empty host and path; the empty host is judged like any
+other, by the outcomes of its own pages; null labels count as none; a page that is labelled more than once counts once,
+with its least label, and one listed with several hosts counts for the least of them; ties: of equally long rules the
+least by name decides, and block before allow; repeated pages come back repeated; with no labels at all the prior is
+uniform; an empty table gives an empty result; very long urls are read whole. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -47,19 +49,15 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return F.when(has, host).otherwise(""), F.when(has, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)).otherwise("")
 
 
-def longest_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
-    """The fitting rule (name, allow) with the longest name, or null."""
-    if not rules:
-        return F.lit(None).cast("struct<name:string,allow:boolean>")
-    ordered = sorted(rules, key=lambda r: (-len(r.host + r.path), r.host + r.path, r.allow))
-    fits = [
-        F.when(
-            ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path),
-            F.struct(F.lit(r.host + r.path).alias("name"), F.lit(r.allow).alias("allow")),
-        )
-        for r in ordered
-    ]
-    return F.coalesce(*fits)
+def rules_of_hosts(hosts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(host, rules): the rules that fit a host, the longest first, as structs (size, name, allow, path)."""
+    spark = hosts.sparkSession
+    listed = spark.createDataFrame([(r.host, r.host + r.path, r.allow, r.path) for r in rules], "suffix string, name string, allow boolean, path string")
+    parts = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    met = hosts.select("host", F.explode(suffixes).alias("suffix")).join(F.broadcast(listed) if len(rules) <= BROADCAST_KEYS // 10 else listed, "suffix")
+    one = F.struct((-F.length("name")).alias("size"), "name", "allow", "path")
+    return met.groupBy("host").agg(F.sort_array(F.collect_list(one)).alias("rules"))
 
 
 def domain_suffix(host: Column, two_level: tuple[str, ...]) -> tuple[Column, Column]:
@@ -75,11 +73,15 @@ def strength(groups: DataFrame, n: str, k: str, mean: Column) -> DataFrame:
     """
     p, v = F.col(k) / F.col(n), mean * (1 - mean)
     spread, base = F.sum(F.col(n) * (p - mean) * (p - mean)), F.sum(v)
-    rho = (spread - base) / F.sum(v * (F.col(n) - 1))
+    rho = (spread - base) / F.nullif(F.sum(v * (F.col(n) - 1)), F.lit(0.0))
     rho = F.least(F.greatest(F.coalesce(rho, F.lit(0.01)), F.lit(0.001)), F.lit(0.9))
     return groups.where(F.col(n) > 0).agg((1 / rho - 1).alias("s"))
 
 
+#: Tables that `reputation` writes.
+LEVELS = ("counted", "domains", "suffixes", "by-suffix", "domains-prior", "by-domain", "hosts-prior")
+
+
 def reputation(ws: Workspace, outcomes: DataFrame, hosts: DataFrame, cfg: Config) -> DataFrame:
     """(host, n_labelled, bound) for every host; `outcomes` has (host, good) rows, good 0 or 1.
 
@@ -116,11 +118,17 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], id_col: str
     """
     ws = Workspace(pages.sparkSession, "url")
     host, path = host_path(F.col(url_col))
-    rows = ws.write(pages.select(F.col(id_col), host.alias("host"), path.alias("path"), longest_rule(host, path, rules).alias("fit")), "rows")
+    rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     good = outcomes.where(F.col("good").isin(0, 1)).groupBy(F.col(id_col)).agg(F.min("good").alias("good"))
-    good = rows.select(id_col, "host").dropDuplicates([id_col]).join(good, id_col)
-    known = ws.write(reputation(ws, good, rows.select("host").distinct(), cfg), "hosts")
-    got = rows.join(F.broadcast(known), "host") if known.count() <= BROADCAST_KEYS // 10 else salted_join(rows, known, "host", chunk=50_000)
+    good = rows.groupBy(id_col).agg(F.min("host").alias("host")).join(good, id_col)
+    hosts = ws.write(rows.select("host").distinct(), "hosts")
+    known = reputation(ws, good, hosts, cfg).join(rules_of_hosts(hosts, rules), "host", "left")
+    known = ws.write(known, "known")
+    small = known.count() <= BROADCAST_KEYS // 10 and len(rules) <= BROADCAST_KEYS // 10
+    got = rows.join(F.broadcast(known), "host") if small else salted_join(ws.write(rows, "rows"), known, "host", chunk=50_000)
+    ws.drop("hosts", *LEVELS)
+    fit = F.try_element_at(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(1))
+    got = got.withColumn("fit", fit)
     by_bound = F.when(F.col("bound") >= cfg.least, "allow").otherwise("block")
     by_rule = F.when(F.col("fit.allow"), "allow").otherwise("block")
     return got.select(
