@@ -5,9 +5,10 @@ ranks over a doubly linked list; queue entries that a later merge has made stale
 they are popped. Decoding concatenates the vocabulary strings. Results equal the tokenizers
 library's, special strings inside a text included.
 
-Nulls and edge cases: a null or empty text has no ids and decodes to an empty text; texts are encoded
-whole; repeated rows give repeated results; an empty table gives an empty result. Only the id and
-text columns are read.
+Nulls and edge cases: a null or empty text has no ids and decodes to an empty text; ids may be null; texts are
+encoded whole; ties: of equal merge ranks the leftmost pair goes first, and of special strings that start at one
+place the longest; repeated rows give repeated results; an empty table gives an empty result; a file of another scheme
+raises. Only the id and text columns are read; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space other than the space itself, as the pattern's \s has it.
 OTHER_SPACE = "\t\n\r\x0b\x0c\x85\xa0                　"
-#: Entries of each of the two generations of a worker's word memory.
-MEMORY = 150_000
+#: Entries of each of the two generations of a worker's word memory, and characters of the longest key that it holds.
+MEMORY, LONGEST = 150_000, 64
 
 
 def printable_bytes() -> dict[str, int]:
@@ -55,6 +56,8 @@ class Memory(dict):
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
+        if len(key) > LONGEST:
+            return self.make(key)
         got = self.old.get(key)
         if got is None:
             got = self.make(key)
@@ -65,10 +68,22 @@ class Memory(dict):
         return got
 
 
+def is_plain_byte_level(spec: dict) -> bool:
+    """Whether a tokenizer file's scheme is the one that `ByteBPE` has."""
+    pre = spec.get("pre_tokenizer") or {}
+    return (
+        spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        and not spec.get("normalizer") and not spec["model"].get("ignore_merges") and not spec["model"].get("dropout")
+        and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens") or [])
+    )
+
+
 class ByteBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if not is_plain_byte_level(spec):
+            raise ValueError(f"{path} is no plain byte-level BPE file")
         vocab, byte = spec["model"]["vocab"], printable_bytes()
         self.byte_id = [0] * 256
         self.strings: list[bytes] = [b""] * (max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1)
@@ -76,11 +91,12 @@ class ByteBPE:
             self.strings[i] = bytes(byte[c] for c in word) if all(c in byte for c in word) else word.encode()
         for c, b in byte.items():
             self.byte_id[b] = vocab[c]
-        #: (left << 17 | right) -> rank << 17 | merged
+        #: (left << shift | right) -> rank << shift | merged; ids take `shift` bits.
+        self.shift = shift = len(self.strings).bit_length()
         self.pairs = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.pairs.setdefault(vocab[a] << 17 | vocab[b], rank << 17 | vocab[a + b])
+            self.pairs.setdefault(vocab[a] << shift | vocab[b], rank << shift | vocab[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for word, i in self.special.items():
             self.strings[i] = word.encode()
@@ -92,26 +108,27 @@ class ByteBPE:
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
         ids = [self.byte_id[b] for b in data]
-        n, get = len(ids), self.pairs.get
+        n, get, shift = len(ids), self.pairs.get, self.shift
+        mask = (1 << shift) - 1
         if n < 2:
             return ids
-        heap = [v << 40 | i for i in range(n - 1) if (v := get(ids[i] << 17 | ids[i + 1])) is not None]
+        heap = [v << 40 | i for i in range(n - 1) if (v := get(ids[i] << shift | ids[i + 1])) is not None]
         heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
             entry = heappop(heap)
             i, v = entry & 0xFFFFFFFFFF, entry >> 40
             j = after[i]
-            if j >= n or ids[i] < 0 or get(ids[i] << 17 | ids[j]) != v:
+            if j >= n or ids[i] < 0 or get(ids[i] << shift | ids[j]) != v:
                 continue  # stale
-            ids[i], ids[j] = v & 0x1FFFF, -1
+            ids[i], ids[j] = v & mask, -1
             j = after[i] = after[j]
             if j < n:
                 before[j] = i
-                if (v := get(ids[i] << 17 | ids[j])) is not None:
+                if (v := get(ids[i] << shift | ids[j])) is not None:
                     heappush(heap, v << 40 | i)
             j = before[i]
-            if j >= 0 and (v := get(ids[j] << 17 | ids[i])) is not None:
+            if j >= 0 and (v := get(ids[j] << shift | ids[i])) is not None:
                 heappush(heap, v << 40 | j)
         return [x for x in ids if x >= 0]
 
