@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.llm import bpe, chat_format, decontaminate, gif, html_extract, minhash_dedup, quality, token_cache, toxicity, url_reputation
-from passagemill.llm.common import table, text_crc
+from passagemill.llm.common import Workspace, table, text_crc
 from passagemill.llm.oracles import ORACLE_SQL  # noqa: F401
 from passagemill.llm.url_reputation import Rule
 
@@ -57,7 +57,10 @@ def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_cache.token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
+    """The English documents fill a store, and all documents then meet it: stored digests are joined, the others encoded."""
+    docs, store = table(spark, sf_dir, "documents"), f"{Workspace(spark, 'token-store').root}/counts"
+    token_cache.token_counts(docs.where("lang = 'en'"), TOKENIZER, store)
+    counts = token_cache.token_counts(docs, TOKENIZER, store)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 

@@ -1,13 +1,13 @@
 """Token counts through a digest cache.
 
 Content is normalised (null to empty) and digested, and the digest of the tokenizer file is its
-version. Stored counts are joined by (version, digest); only the distinct contents without one are
-encoded, and their counts are appended to the store.
+version. Stored counts are joined by (version, digest), of the store only the digests of this call's texts are
+taken on; the distinct contents without a count are encoded, each once, and their counts are appended to the store.
 
 Nulls and edge cases: a null text counts as an empty one, with 0 tokens; a null id is kept; repeated
-rows come back repeated and are encoded once; an empty table gives an empty result and appends
-nothing. Columns other than the id and the text are not read. Two runs that append the same digest
-do no harm, as reads take one count a digest.
+rows, with or without an id, come back repeated and are encoded once; texts are encoded whole; ties: of several stored
+counts of a digest the largest is taken, and they are equal unless a store was written by other means; an empty table
+gives an empty result and appends nothing. Columns other than the id and the text are not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.bpe import Memory, load, words_of
-from passagemill.llm.common import Workspace, only_keys, salted_join
+from passagemill.llm.bpe import Memory, is_plain_byte_level, load, words_of
+from passagemill.llm.common import BROADCAST_KEYS, Workspace, only_keys, salted_join
 
 STORE = "version string, digest string, n_tokens bigint"
 
@@ -33,6 +33,11 @@ def version(path: str) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
+def _spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
 class Counter:
     """Counts a text's tokens as the tokenizers or the sentencepiece library does, as the file's suffix says.
 
@@ -47,7 +52,7 @@ class Counter:
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.count = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
-        elif is_plain_byte_level(path):
+        elif is_plain_byte_level(_spec(path)):
             bpe = load(path)
             words = Memory(lambda word: len(bpe.scan(" " + word)) >> 2).__getitem__
 
@@ -65,27 +70,19 @@ class Counter:
             self.count = lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def is_plain_byte_level(path: str) -> bool:
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    pre = spec.get("pre_tokenizer") or {}
-    return (
-        spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        and not spec.get("normalizer") and not spec["model"].get("ignore_merges") and not spec["model"].get("dropout")
-        and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens") or [])
-    )
-
-
 @lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
     return Counter(path)
 
 
 def _stored(spark, store: str, of: str) -> DataFrame | None:
+    """(digest, n_tokens) of a version; None where there is no store yet."""
     try:
-        return spark.read.schema(STORE).parquet(store).where(F.col("version") == of)
-    except AnalysisException:
-        return None
+        return spark.read.schema(STORE).parquet(store).where(F.col("version") == of).select("digest", "n_tokens")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def token_counts(df: DataFrame, path: str, store: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,17 +90,17 @@ def token_counts(df: DataFrame, path: str, store: str | None = None, id_col: str
     spark = df.sparkSession
     ws, of = Workspace(spark, "tokens"), version(path)
     store = store or f"{ws.root}/store"
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    digest = F.sha2(F.encode("text", "UTF-8"), 256)
-    rows = ws.write(docs.select("id", digest.alias("digest"), F.octet_length("text").cast("bigint").alias("n_bytes")), "rows")
+    docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    digest = F.sha2(F.encode("text", "UTF-8"), 256).alias("digest")
+    rows = ws.write(docs.select("row", "id", digest, F.octet_length("text").cast("bigint").alias("n_bytes")), "rows")
+    # One row for each distinct content, found without moving texts.
+    distinct = ws.write(rows.groupBy("digest").agg(F.min("row").alias("row")), "distinct")
     known = _stored(spark, store, of)
-    # One row to encode for each distinct missing digest, found without moving texts.
-    firsts = rows.groupBy("digest").agg(F.min("id").alias("id"))
-    if known is not None:
-        firsts = firsts.join(known.select("digest").distinct(), "digest", "left_anti")
-    firsts = ws.write(firsts, "misses")
-    unnamed = docs.where("id is null").withColumn("digest", digest).join(firsts.where("id is null").select("digest"), "digest", "left_semi")
-    named = only_keys(docs, firsts.where("id is not null").select("id").distinct(), "id").withColumn("digest", digest)
+    if known is None:
+        known = spark.createDataFrame([], "digest string, n_tokens bigint")
+    known = only_keys(known, distinct.select("digest"), "digest").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    known = ws.write(known, "known")
+    misses = ws.write(only_keys(distinct, known.select("digest"), "digest", "left_anti"), "misses")
 
     def run(batches):
         count = counter(path).count
@@ -112,8 +109,22 @@ def token_counts(df: DataFrame, path: str, store: str | None = None, id_col: str
                 part = batch.slice(i, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count(part.column(1).to_pylist()), pa.int64())], ["digest", "n_tokens"])
 
-    encoded = named.select("digest", "text").union(unnamed.select("digest", "text")).mapInArrow(run, "digest string, n_tokens bigint")
-    encoded.select(F.lit(of).alias("version"), "digest", "n_tokens").write.mode("append").parquet(store)
-    known = spark.read.schema(STORE).parquet(store).where(F.col("version") == of)
-    counts = ws.write(known.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
+    def encoded(texts: DataFrame, name: str) -> DataFrame:
+        return ws.write(texts.mapInArrow(run, "digest string, n_tokens bigint"), name)
+
+    def once(of_these: DataFrame) -> DataFrame:
+        """The texts of these digests, each once, by a shuffle of the texts."""
+        return only_keys(docs.select(digest, "text"), of_these.select("digest"), "digest").dropDuplicates(["digest"]).select("digest", "text")
+
+    if misses.count() <= BROADCAST_KEYS:
+        new = encoded(docs.join(F.broadcast(misses.select("row")), "row", "left_semi").select(digest, "text"), "encoded")
+        # Rows of an input that comes in another order each time it is read have other numbers now.
+        left = ws.write(only_keys(misses, new.select("digest").distinct(), "digest", "left_anti"), "left")
+        if left.limit(1).count():
+            new = only_keys(new, misses.select("digest"), "digest").dropDuplicates(["digest"]).union(encoded(once(left), "encoded-left"))
+    else:
+        new = encoded(once(misses), "encoded")
+    new.select(F.lit(of).alias("version"), "digest", "n_tokens").write.mode("append").parquet(store)
+    counts = ws.write(known.union(new), "counts")
+    ws.drop("distinct", "known", "misses", "encoded", "left", "encoded-left")
     return salted_join(rows, counts, "digest").select(F.col("id").alias(id_col), "n_bytes", "digest", "n_tokens")

@@ -121,6 +121,22 @@ def test_url_parts_and_rules(spark):
     assert [g[4] for g in got if g[3]] == ["block", "block", "allow", "block", "allow"]
 
 
+def test_many_rules_and_repeated_pages(spark):
+    rng = random.Random(6)
+    hosts = ["a.b.com", "b.com", "com", "x.org", "org", "q.x.org", "n.net", ""]
+    rules = list({(h, p): url_reputation.Rule(h, p, rng.random() < 0.5) for h in hosts[:6] for p in ["/", "/a", "/a/b", *(f"/{i}" for i in range(300))]}.values())
+    urls = [(i, f"http://{rng.choice(hosts)}/{rng.choice(['', 'a', 'a/b/c', 'ab', '12', '7/x'])}?q") for i in range(200)]
+    urls += [(5, "http://zzz.net/"), (5, "http://aaa.net/"), (6, None)]
+    pages = spark.createDataFrame(urls, "page_id int, url string").withColumn("rules", F.lit(0)).withColumn("host", F.lit(0))
+    got = url_reputation.judge(pages, spark.createDataFrame([(5, 1)], "page_id int, good int"), rules).collect()
+    assert len(got) == len(urls) and url_reputation.judge(pages.limit(0), spark.createDataFrame([(5, 1)], "page_id int, good int"), rules).count() == 0
+    for r in got:
+        fits = [x for x in rules if (r["host"] == x.host or r["host"].endswith("." + x.host)) and r["path"].startswith(x.path)]
+        best = min(fits, key=lambda x: (-len(x.host + x.path), x.host + x.path, x.allow), default=None)
+        assert r["rule"] == (best and best.host + best.path) and (best is None or r["verdict"] == ("allow" if best.allow else "block"))
+    assert {r["n_labelled"] for r in got if r["host"] == "aaa.net"} == {1} and {r["n_labelled"] for r in got if r["host"] == "zzz.net"} == {0}
+
+
 def test_reputation_shrinks(spark):
     pages = [(i, f"http://h{i % 3}.d{i % 3}.net/{i}") for i in range(90)] + [(100, "http://new.d0.net/"), (101, "http://new.d1.net/")]
     good = [(i, int(i % 3 == 0 or i % 3 == 2 and i % 2)) for i in range(90)] + [(500, 1), (1, None)]
@@ -274,19 +290,42 @@ def test_bpe_frame(spark):
     assert sorted((len(r["ids"]), r["decoded"]) for r in got) == [(0, ""), (0, ""), (0, ""), (8, "a b")]
 
 
-def test_token_cache(spark, tmp_path):
+def test_token_cache(spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
     theirs = Tokenizer.from_file(TOKENIZER)
     texts = odd_texts(60)
-    docs = spark.createDataFrame(list(enumerate(texts)) + [(900, None), (901, texts[5]), (901, texts[5]), (None, "no id"), (None, texts[7])], DOC)
+    extra = [(900, None), (901, texts[5]), (901, texts[5]), (None, "no id"), (None, texts[7]), (902, "twice"), (902, "twice"), (None, "no id either"), (None, "no id either"), (3, "no id")]
+    docs = spark.createDataFrame(list(enumerate(texts)) + extra, DOC).withColumn("row", F.lit("clash")).withColumn("digest", F.lit(1))
     store = str(tmp_path / "store")
+    distinct = {(r["text"] or "") for r in docs.collect()}
     want = sorted(len(theirs.encode(r["text"] or "", add_special_tokens=False).ids) for r in docs.collect())
-    for _ in range(2):
-        got = token_cache.token_counts(docs, TOKENIZER, store)
-        assert sorted(r["n_tokens"] for r in got.collect()) == want
-        assert spark.read.parquet(store).count() == len({(r["text"] or "") for r in docs.collect()})  # the second call encodes nothing
+    half = docs.where("doc_id % 2 = 0 or doc_id is null")
+    for batch in (half, docs, docs):
+        got = token_cache.token_counts(batch, TOKENIZER, store)
+        rows = spark.read.parquet(store)
+        # Every distinct content so far is in the store, once, so each was encoded once.
+        so_far = {(r["text"] or "") for r in (half if batch is half else docs).collect()}
+        assert rows.count() == rows.select("digest").distinct().count() == len(so_far)
+    assert sorted(r["n_tokens"] for r in got.collect()) == want
+    # The same by the way of many misses, and for an input in another order at each reading.
+    monkeypatch.setattr(token_cache, "BROADCAST_KEYS", 3)
+    for df, at in ((docs, "many"), (docs.orderBy(F.rand()), "unstable")):
+        got = token_cache.token_counts(df, TOKENIZER, str(tmp_path / at))
+        assert sorted(r["n_tokens"] for r in got.collect()) == want and spark.read.parquet(str(tmp_path / at)).count() == len(distinct)
+        monkeypatch.undo()
     assert token_cache.token_counts(docs.limit(0), TOKENIZER).count() == 0
+    spark.range(3).select(F.col("id").alias("digest")).write.format("json").save(str(tmp_path / "broken"))
+    with pytest.raises(Exception, match="(?i)parquet"):
+        token_cache.token_counts(docs, TOKENIZER, str(tmp_path / "broken")).collect()
+
+
+def test_long_words_are_not_remembered():
+    ours = bpe.ByteBPE(TOKENIZER)
+    ours.encode("x" * 5000 + " " + "y" * 5000 + " short")
+    assert max(map(len, [*ours.tokens, *ours.words])) <= bpe.LONGEST
+    with pytest.raises(ValueError):
+        bpe.ByteBPE(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def test_other_tokenizers():
