@@ -33,9 +33,23 @@ def op2_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(docs, quality.score(docs, model, keep=("doc_id",)), 5, 0, 0.3)
 
 
+#: Speaker markers of system, user and assistant, in the manners of several kinds of chat logs.
+MARKERS = (
+    ("System: ", "User: ", "Assistant: "), ("<|system|>\n", "<|user|>\n", "<|assistant|>\n"), ("### System:\n", "### Instruction:\n", "### Response:\n"), ("[system] ", "Human: ", "AI: "),
+)
+
+
+def as_logged(turns: DataFrame) -> DataFrame:
+    """The conversations as chat logs print them: three of four turns bear a speaker marker, in the manner of their conversation."""
+    kind = F.pmod(text_crc(F.col("conv_id")), F.lit(len(MARKERS)))
+    found = F.coalesce(*(F.when((kind == i) & (F.col("role") == r), F.lit(m)) for i, ms in enumerate(MARKERS) for r, m in zip(chat_format.ROLES, ms)))
+    marked = F.coalesce(F.pmod(F.crc32(F.encode(F.concat_ws(":", "conv_id", "turn"), "UTF-8")), F.lit(4)) != 0, F.lit(False)) & found.isNotNull()
+    return turns.withColumn("text", F.when(marked, F.concat(found, F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+
+
 def op3_chat_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles are learnt from four fifths of the conversations and recovered for all, from texts alone."""
-    turns = table(spark, sf_dir, "conversations")
+    """Roles are learnt from four fifths of the conversations and recovered for all, from markers and texts alone."""
+    turns = as_logged(table(spark, sf_dir, "conversations"))
     model = chat_format.fit(turns, text_crc(F.col("conv_id")) % 5 != 0)
     held_out = F.coalesce(text_crc(F.col("conv_id")) % 5 == 0, F.lit(False)).alias("held_out")
     return chat_format.format_turns(turns, model).select("conv_id", "turn", held_out, "role", "rendered")

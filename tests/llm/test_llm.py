@@ -354,31 +354,108 @@ def test_transcripts():
     assert chat_format.render("user", "Human: hi ") == "<|user|>\nhi\n<|end|>\n"
 
 
+def plain_viterbi(model, seen):
+    """The best score of a conversation's roles, and the roles, over plain lists."""
+    e = [[sum(int(t[r, o]) for t, o in zip(model.emit, row)) for r in range(3)] for row in seen]
+    best = [(model.start[r] + e[0][r], (r,)) for r in range(3)]
+    for row in e[1:]:
+        best = [max((s + model.step[p[-1]][r] + row[r], (*p, r)) for s, p in best) for r in range(3)]
+    return max(best)
+
+
+def score_of(model, seen, roles):
+    total = model.start[roles[0]] + sum(model.step[a][b] for a, b in zip(roles, roles[1:]))
+    return total + sum(int(t[r, o]) for r, row in zip(roles, seen) for t, o in zip(model.emit, row))
+
+
 def test_viterbi_is_best_path():
+    import itertools
+
     model = chat_format.fit_turns([[(1, chat_format.observe("hi?")), (2, chat_format.observe("long answer " * 40))]] * 5)
     seen = np.array([chat_format.observe(t) for t in ("hello?", "answer " * 60, "and?", "User: x")])
-    import itertools
+    paths = list(itertools.product(range(3), repeat=4))
+    assert score_of(model, seen, tuple(model.decode(seen))) == max(score_of(model, seen, p) for p in paths) == plain_viterbi(model, seen)[0]
 
-    def weight(p):
-        total = model.start[p[0]]
-        for i, r in enumerate(p):
-            total += (model.step[p[i - 1], r] if i else 0) + model.marker[r, seen[i, 0]] + model.size[r, seen[i, 1]] + model.lines[r, seen[i, 2]] + model.question[r, seen[i, 3]]
-        return total
 
-    assert tuple(model.decode(seen)) == max(itertools.product(range(3), repeat=4), key=weight)
+def said(rng, role):
+    mark = rng.choice(("", "", {0: "System: ", 1: "User: ", 2: "Assistant: "}[role]))
+    return mark + ("short " * rng.randrange(1, 9) + "?" * rng.randrange(2) if role == 1 else "a long answer, with much text\n" * rng.randrange(1, 30))
 
 
 def test_format_turns(spark):
-    turns = [(c, t, ["user", "assistant"][t % 2], "short?" if t % 2 == 0 else "a long answer, with much text " * 20) for c in range(40) for t in range(6)]
-    turns += [(777, t, ["user", "assistant"][t % 2], "short?" if t % 2 == 0 else "a long answer, with much text " * 20) for t in range(1300)]
-    extra = [(None, 0, None, "alone"), (None, None, None, None), (5, None, "user", "x"), (1, 2, "user", "short?")]
-    df = spark.createDataFrame(turns + extra, "conv_id bigint, turn bigint, role string, text string").withColumn("part", F.lit(1))
+    """Any cut into ranges gives the roles of one Viterbi pass over each whole conversation."""
+    rng, rows = random.Random(5), []
+    for c in range(30):
+        rows += [(c, t, (t + 1) % 2 + 1 if t or c % 3 else 0) for t in range(rng.randrange(1, 9))]
+    rows += [(777, t, rng.choice((1, 2))) for t in range(1300)]
+    turns = [(c, t, chat_format.ROLES[r], said(rng, r)) for c, t, r in rows]
+    extra = [(None, 0, None, "alone"), (None, None, None, None), (None, None, None, "x " * 600_000), (5, None, "user", "x"), (1, 0, "user", "short?"), (1, 0, "user", "short?")]
+    df = spark.createDataFrame(turns + extra, "conv_id bigint, turn bigint, role string, text string").withColumn("part", F.lit(1)).withColumn("N", F.lit(1))
     model = chat_format.fit(df, text_crc(F.col("conv_id")) % 5 != 0)
-    got = chat_format.format_turns(df, model).collect()
-    assert len(got) == len(turns) + len(extra)
-    right = [r["role"] == ["user", "assistant"][r["turn"] % 2] for r in got if r["conv_id"] == 777]
-    assert len(right) == 1300 and all(right) and all(r["rendered"].startswith(f"<|{r['role']}|>") for r in got)
+    learnt = chat_format.fit_turns([
+        [(chat_format.ROLES.index(r), chat_format.observe(x)) for _, _, r, x in own]
+        for c in {r[0] for r in turns + extra if r[0] is not None} if zlib.crc32(str(c).encode()) % 5
+        for own in [in_order([r for r in turns + extra if r[0] == c], spark)]
+    ])
+    assert (model.start, model.step) == (learnt.start, learnt.step) and all((a == b).all() for a, b in zip(model.emit, learnt.emit))
+    texts, want = {}, {}
+    for c in {r[0] for r in turns + extra}:
+        own = in_order([r for r in turns + extra if r[0] == c], spark)
+        texts[c] = [chat_format.observe(r[3]) for r in own]
+        want[c] = plain_viterbi(model, texts[c])[0] if c is not None else None
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("3", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = chat_format.format_turns(df, model).collect()
+        assert len(got) == len(turns) + len(extra) and all(r["rendered"].startswith(f"<|{r['role']}|>") for r in got)
+        for c in want:
+            own = [(r["conv_id"], r["turn"], r["role"], r["rendered"]) for r in got if r["conv_id"] == c]
+            if c in (None, 1):
+                continue
+            own.sort(key=lambda r: -1 if r[1] is None else r[1])
+            assert score_of(model, texts[c], tuple(chat_format.ROLES.index(r[2]) for r in own)) == want[c]
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert chat_format.format_turns(df.limit(0), model).count() == 0
+    assert chat_format.fit(df.limit(0), F.lit(True)).start == chat_format.fit_turns([]).start
+
+
+def in_order(rows, spark):
+    """Rows (conv, turn, role, text) of a conversation in the order in which they are decoded."""
+    tied = len({r[1] for r in rows}) < len(rows)
+    h = {}
+    if tied:
+        h = {r["t"]: r["h"] for r in spark.createDataFrame([(x,) for x in {r[3] for r in rows}], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    return sorted(rows, key=lambda r: (-1 if r[1] is None else r[1], h.get(r[3], 0)))
+
+
+@needs_data
+def test_chat_query(spark):
+    """The query's roles are those of plain Viterbi, and right for held-out turns with and without markers."""
+    got = queries.op3_chat_transcripts(spark, SF).collect()
+    logged = queries.as_logged(spark.read.parquet(f"{SF}/conversations.parquet"))
+    model = chat_format.fit(logged, text_crc(F.col("conv_id")) % 5 != 0)
+    rows = {(r["conv_id"], r["turn"]): r for r in logged.collect()}
+    assert len(got) == len(rows)
+    roles = {(r["conv_id"], r["turn"]): r["role"] for r in got}
+    for c in {k[0] for k in rows}:
+        own = sorted(k for k in rows if k[0] == c)
+        seen = [chat_format.observe(rows[k]["text"]) for k in own]
+        assert score_of(model, seen, tuple(chat_format.ROLES.index(roles[k]) for k in own)) == plain_viterbi(model, seen)[0]
+    held = [r for r in got if r["held_out"]]
+    marked = [chat_format.observe(rows[r["conv_id"], r["turn"]]["text"])[0] > 0 for r in held]
+    right = [r["role"] == rows[r["conv_id"], r["turn"]]["role"] for r in held]
+    assert 0 < sum(marked) < len(held) and sum(right) >= 0.95 * len(right)
+    assert all(not chat_format.MARKER.match(r["rendered"].split("\n", 1)[1]) for r in held)
+
+
+def test_parse_transcripts(spark):
+    df = spark.createDataFrame([(1, "User: hi\nAssistant: yes"), (2, None), (3, " "), (None, "### Instruction:\nDo it\n\n### Response:\nDone"), (1, "User: hi\nAssistant: yes")], "id int, text string").withColumn("role", F.lit(3))
+    got = chat_format.parse_transcripts(df).collect()
+    want = [(None, 0, "user", "Do it"), (None, 1, "assistant", "Done"), *[(1, 0, "user", "hi"), (1, 1, "assistant", "yes")] * 2]
+    assert sorted(map(str, [tuple(r)[:4] for r in got])) == sorted(map(str, want)) and got[0]["rendered"].endswith("<|end|>\n")
+    assert chat_format.parse_transcripts(df.limit(0)).count() == 0
 
 
 ITEM = "A train travels 300 km in 5 hours. How far does Anna Smith think the train will go in 9 hours at the same speed, asked Bob?"
