@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import tempfile
 import uuid
@@ -89,6 +90,16 @@ class Workspace:
             _delete(self.spark, f"{self.root}/{name}")
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables of all workspaces that are opened within."""
+    before = set(_roots)
+    yield
+    for root in _roots - before:
+        _delete(spark, root)
+        _roots.discard(root)
+
+
 def groups(batches, keys: list[str]):
     """Tables of the rows of each key, from batches sorted by it; keys are integers without nulls."""
     held, last = [], None
@@ -126,13 +137,14 @@ def hot_keys(df: DataFrame, key: str, floor: int = 1000) -> list[tuple]:
     return [(r[0], r[1]) for r in df.groupBy(key).count().where(F.col("count") >= least).collect()]
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", chunk: int = 500) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", chunk: int = 500, hot: list[tuple] | None = None) -> DataFrame:
     """left ⋈ right where `right` has few rows a key and a key of `left` may hold most rows.
 
     Hot keys of `left` are dealt over ceil(rows / chunk) salts, and only their `right` rows are
-    copied to each salt. `left` is read twice, so it should be a written table.
+    copied to each salt. `left` should be a written table, as it is read twice unless `hot` has its hot keys.
     """
-    hot = hot_keys(left.where(F.col(key).isNotNull()), key)
+    if hot is None:
+        hot = hot_keys(left.where(F.col(key).isNotNull()), key)
     if not hot:
         return left.join(right, key, how)
     spark = left.sparkSession

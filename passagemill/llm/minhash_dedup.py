@@ -8,14 +8,15 @@
    verified on their whole shingle sets.
 3. Pairs a star leaves open are those of one bucket but of different components. Small buckets
    list them. In crowded ones they are compared inside the tasks that hold the bucket, block by
-   block, on longer signatures; only pairs that survive the posterior test leave a task, each in the
-   first band that its two texts share.
+   block, on longer signatures, each pair in the first band that its two texts share; only pairs that
+   survive the posterior test leave a task.
 4. Components by least-label propagation with pointer jumping.
 
 Nulls and edge cases: a null, empty or blank text has an empty set and links with nothing; fewer
 words than a shingle give one shingle; rows with a null id come back unlinked, with a null
-component, and are kept; repeated rows come back repeated, and rows that share an id are one node;
-an empty table gives an empty result. Columns other than the id and the text are not read.
+component, and are kept; repeated rows come back repeated, and rows that share an id are one node; texts are read
+whole; ties: of equal sets the least id stands for all; an empty table gives an empty result. Columns other than the
+id and the text are not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.llm import bytewords
-from passagemill.llm.common import Workspace, only_keys, salted_join
+from passagemill.llm.common import Workspace, groups, hot_keys, only_keys, salted_join
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,7 @@ class Config:
     small_bucket: int = 32
     long: int = 1024  # hashes of the signatures that crowded buckets compare
     long_batch: int = 64
-    block: int = 500  # members of a crowded bucket that are compared with as many in one task
+    block: int = 2000  # members of a crowded bucket that are compared with as many in one task
 
 
 def _family(n: int) -> np.ndarray:
@@ -173,17 +174,18 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
     """(id, component): the least id reachable, for every id on an edge (a, b)."""
     both = ws.write(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct().toDF("id", "other"), f"{name}-both")
     labels = ws.write(both.groupBy("id").agg(F.min("other").alias("m")).select("id", F.least("id", "m").alias("component")), f"{name}-0")
-    step = 0
+    step, hot = 0, hot_keys(both, "other")
     while True:
         step += 1
-        near = both.join(labels.select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min("component").alias("m"))
+        near = salted_join(both, labels.select(F.col("id").alias("other"), "component"), "other", chunk=50_000, hot=hot).groupBy("id").agg(F.min("component").alias("m"))
         met = labels.join(near, "id").select("id", F.least("component", "m").alias("up"), F.col("component").alias("was"))
-        # A label is an id of the same component: jump to that id's own label.
+        met = ws.write(met, f"{name}-met-{step}")
+        # A label is an id of the same component: jump to that id's own label. Most ids of a large component have one label.
         jump = labels.select(F.col("id").alias("up"), F.col("component").alias("over"))
-        new = met.join(jump, "up", "left").select("id", F.least("up", F.coalesce("over", "up")).alias("component"), "was")
+        new = salted_join(met, jump, "up", "left", chunk=50_000).select("id", F.least("up", F.coalesce("over", "up")).alias("component"), "was")
         new = ws.write(new, f"{name}-{step}")
         changed = new.where("component <> was").limit(1).count()
-        ws.drop(f"{name}-{step - 1}")
+        ws.drop(f"{name}-{step - 1}", f"{name}-met-{step}")
         labels = new.select("id", "component")
         if not changed:
             ws.drop(f"{name}-both")
@@ -227,37 +229,22 @@ def _compare(cfg: Config):
             open_ = near & (comp[rows][:, None] != comp[right]) & ((ids[rows][:, None] < ids[right]) | (i != j))
             x, y = np.nonzero(open_)
             a, b = rows[x], right[y]
+            # A pair that meets in an earlier band is compared there.
+            for k in range(band):
+                new = bands[a, k] != bands[b, k]
+                a, b = a[new], b[new]
             alive, found, done = np.arange(len(a)), np.zeros(len(a), np.int32), 0
             for m, least in tests:
                 found[alive] += (long[a[alive], done:m] == long[b[alive], done:m]).sum(axis=1, dtype=np.int32)
                 alive, done = alive[found[alive] >= least], m
             a, b = a[alive], b[alive]
-            # A pair that meets in an earlier band is compared there.
-            new = ~(bands[a, :band] == bands[b, :band]).any(axis=1)
-            yield np.minimum(ids[a], ids[b])[new], np.maximum(ids[a], ids[b])[new]
-
-    def emit(part: pa.Table):
-        keys = [part[c].to_numpy() for c in ("bucket", "i", "j")]
-        cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-        edges = [0, *cut.tolist(), part.num_rows]
-        for lo, hi in zip(edges, edges[1:]):
-            for a, b in survivors(part.slice(lo, hi - lo)):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
 
     def run(batches):
-        held = None
-        for batch in batches:
-            got = pa.table(batch.columns, batch.schema.names)
-            held = got if held is None else pa.concat_tables([held, got])
-            keys = [held[c].to_numpy() for c in ("bucket", "i", "j")]
-            other = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))
-            n = int(other[-1]) + 1 if len(other) else 0  # the last group may go on in the next batch
-            if n:
-                yield from emit(held.slice(0, n))
-                held = held.slice(n).combine_chunks()
-        if held is not None and held.num_rows:
-            yield from emit(held)
+        for g in groups(batches, ["bucket", "i", "j"]):
+            for a, b in survivors(g):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
@@ -339,7 +326,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = slim.join(top, "digest").select("id", "n_shingles", "found").union(
         slim.where("digest is not null").join(top, "digest", "left_anti").join(named.select("digest", "found"), "digest", "left").select("id", "n_shingles", "found")
     ).union(slim.where("digest is null").select("id", "n_shingles", F.col("id").alias("found")))
-    ws.drop("rows", "nodes", "buckets", "members", "open", "open-mixed", "mixed", "crowd", "crowd-long")
+    ws.drop("rows", "groups", "nodes", "buckets", "crowded", "members", "several", "tied-edges", "star-edges", "open", "open-mixed", "mixed", "crowd", "crowd-ids", "crowd-long", "cross", "cross-edges")
     component = F.when(F.col("id").isNotNull(), F.coalesce("found", "id"))
     return out.select(
         F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
