@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.llm import bpe, decontaminate, minhash_dedup, quality, toxicity
-from passagemill.llm.common import Workspace, only_keys, ship, table, text_crc
+from passagemill.llm.common import Workspace, only_keys, scratch, ship, table, text_crc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -41,17 +41,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each group of near-duplicates (five-word shingles, similarity 0.8), once; rows without an id all stay."""
+    """Keeps one row of each group of near-duplicates (five-word shingles, similarity 0.8): of its rows the one with the least id.
+
+    Rows are told apart by numbers of their own, so rows that share an id, or have none, are judged each by its text.
+    """
     ship(spark)
-    ws = Workspace(spark, "dedup-stage")
-    found = ws.write(minhash_dedup.near_duplicates(docs.select("doc_id", "text")), "found")
-    named = found.where("kept and doc_id is not null")
-    ids = ws.write(named.select("doc_id").distinct(), "ids")
-    own = docs.where("doc_id is not null")
-    own = only_keys(own, ids, "doc_id")
-    if named.count() > ids.count():
-        own = own.dropDuplicates(["doc_id"])
-    return own.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    ws, number = Workspace(spark, "dedup-stage"), fresh("row_number", docs.columns)
+    rows = ws.write(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    found = minhash_dedup.near_duplicates(rows.select(number, "text"), id_col=number)
+    named = found.join(rows.select(number, "doc_id"), number)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", number)).alias("first")
+    kept = ws.write(named.groupBy("component_id").agg(first).select(F.col(f"first.{number}").alias(number)), "kept")
+    return only_keys(rows, kept, number).select(*docs.columns)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +77,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, ws = table(spark, sf_dir, "documents"), Workspace(spark, "pipeline")
+    """The last stage's rows; tables of the stages before are deleted as soon as the next one is written."""
+    docs, ws, before = table(spark, sf_dir, "documents"), Workspace(spark, "pipeline"), []
     for name, stage in STAGES:
-        docs = ws.write(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = ws.write(stage(spark, docs, sf_dir), name)
+        ws.drop(*before)
+        before = [name]
     return docs
