@@ -5,8 +5,10 @@ LZW code streams of any GIF87a/89a, applies local or global palettes, interlacin
 transparency, and gives each frame's samples, timing and the colour histogram of the canvas.
 
 Nulls and edge cases: null or empty content is stored as padding only; content of any length is
-stored whole, over as many frames as it takes; null or broken media read as no frames with the
-reason in `error`; repeated rows give repeated results; an empty table gives an empty result.
+stored whole, over as many frames as it takes; null or broken media, and canvases or frames of more than 2^28 pixels,
+read as no frames with the reason in `error`; ids may be null; ties: equal contents have equal media, and later frames
+are drawn over earlier ones; repeated rows give repeated results; an empty table gives an empty result. Only the named
+columns are read; a kept column may have the name of a column of the result, and both are then there.
 """
 
 from __future__ import annotations
@@ -299,8 +301,10 @@ def frames(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep
                     samples.append(b"".join(planes))
                     errors.append(error)
                 new = [part.column(0), pa.array(found, kind), pa.array(samples, pa.binary()), pa.array(errors, pa.string())]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *new], [*part.schema.names[1:], "media", "frames", "samples", "error"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *new], [f"c{i}" for i in range(len(own) + 4)])
 
     own = [id_col, *keep]
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in own)
-    return df.select(F.col(media_col).alias("media_to_read_"), *own).mapInArrow(run, f"{schema}, media binary, frames array<struct<{FRAME}>>, samples binary, error string")
+    kinds = [*(df.schema[c].dataType.simpleString() for c in own), "binary", f"array<struct<{FRAME}>>", "binary", "string"]
+    schema = ", ".join(f"c{i} {k}" for i, k in enumerate(kinds))
+    sent = df.select(F.col(media_col).alias("s"), *(F.col(f"`{c}`").alias(f"s{i}") for i, c in enumerate(own)))
+    return sent.mapInArrow(run, schema).toDF(*own, "media", "frames", "samples", "error")
