@@ -229,6 +229,94 @@ def test_gif_round_trip(spark):
     assert [(r["error"] is not None, r["frames"]) for r in gif.frames(broken).collect()] == [(True, [])] * 3
 
 
+def test_gif_clashing_columns(spark):
+    df = gif.store(spark.createDataFrame([(1, "a")], DOC).withColumn("media", F.lit(1))).withColumn("frames", F.lit("own"))
+    got = gif.frames(df, keep=("frames",))
+    assert got.columns == ["doc_id", "frames", "media", "frames", "samples", "error"] and got.first()[1] == "own"
+
+
+def test_long_texts_and_empty_tables(spark):
+    from tokenizers import Tokenizer
+
+    long = "".join(f"word{i % 977} é" for i in range(150_000))
+    df = spark.createDataFrame([(1, long), (2, "x" * 1_500_000), (3, long)], DOC)
+    payloads = {r["doc_id"]: bytes(r["samples"]) for r in gif.frames(gif.store(df)).collect()}
+    assert payloads[1] == payloads[3] == gif.padded(long.encode()) and payloads[2].rstrip(b"\0") == b"x" * 1_500_000
+    coded = {r["doc_id"]: r for r in bpe.encode(df.where("doc_id < 3"), TOKENIZER).collect()}
+    assert np.frombuffer(coded[1]["ids"], "<u4").tolist() == Tokenizer.from_file(TOKENIZER).encode(long, add_special_tokens=False).ids and coded[2]["decoded"] == "x" * 1_500_000
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(df).collect()}
+    assert found[1] == found[3] == (len(brute_set(long, 5)), 1) and found[2] == (1, 2)
+    page = "<p>" + "text of a long page " * 60_000 + "</p>"
+    html = html_extract.main_text(spark.createDataFrame([(1, page)], "page_id int, html string"))
+    assert len(html.first()["text"]) == 20 * 60_000 - 1
+    empty = df.limit(0)
+    assert gif.frames(gif.store(empty)).count() == bpe.encode(empty, TOKENIZER).count() == minhash_dedup.near_duplicates(empty).count() == 0
+    assert html_extract.main_text(spark.createDataFrame([], "page_id int, html string")).count() == 0
+
+
+def walked(model, text):
+    """The toxicity score of one text: plain Python features, trees walked node by node."""
+    import re
+
+    data = (text or "").encode()
+    h = lambda w, fold=bytewords.LOWER: int(bytewords.hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]), fold)[0])
+    seed, second = set(model.seed.tolist()), set(model.second.tolist())
+    learnt = dict(zip(model.learnt.words.tolist(), model.learnt.weights.tolist()))
+    words = [h(w) for w in re.findall(rb"[A-Za-z0-9\x80-\xff]+", data)]
+    n, size = max(1, len(words)), max(1, len(data))
+    insult = [w in seed or w in learnt for w in words]
+    near = sum(bad and any(w in second for w in words[max(0, i - 3) : i + 4]) for i, bad in enumerate(insult))
+    leet = re.findall(rb"[A-Za-z0-9\x80-\xff@$]+", data)
+    mixed = [w for w in leet if re.search(rb"[0-9@$]", w) and re.search(rb"[A-Za-z\x80-\xff]", w)]
+    hidden = sum((v := h(w, toxicity.LEET)) in seed or v in learnt for w in mixed)
+    a, b, weight = sum(w in seed for w in words), sum(w in learnt for w in words), sum(learnt.get(w, 0) for w in words)
+    rate = lambda pattern: len(re.findall(pattern, data)) / size
+    x = [
+        a / n, b / n, np.log1p(a), np.log1p(b), weight / n, np.log1p(weight), sum(w in second for w in words) / n, near / n, np.log1p(near), hidden, len(mixed) / n,
+        rate(rb"[A-Z]"), rate(rb"!"), rate(rb"[\x00-\x08\x0e-\x1f!-/:-@\[-`{-\x7f]"), rate(rb"[*#]"), rate(rb"[0-9]"),
+    ]
+    margin = model.trees.base
+    for f, e, leaf in zip(model.trees.feature, model.trees.edge, model.trees.leaf):
+        at = 0
+        while at < len(f):
+            at = 2 * at + (2 if x[f[at]] > e[at] else 1)
+        margin += leaf[at - len(f)]
+    return 0.999 * float(np.interp(margin, *model.knots)) + 0.001 / (1 + np.exp(-margin))
+
+
+def compressed(model, text):
+    """The quality score of one text, from compressors made for it alone."""
+    import zstandard
+
+    data, sizes = (text or "").encode(), []
+    for raw in (model.good, model.bad):
+        c = lambda: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw), level=model.level, write_checksum=False, write_content_size=False, write_dict_id=False)  # noqa: B023, E731
+        sizes.append(sum(len(c().compress(data[i : i + model.block])) for i in range(0, max(1, len(data)), model.block)))
+    good, bad = sizes
+    d, r, s = (bad - good) / max(good, bad), (good + bad) / 2 / (len(data) + 20), np.log1p(len(data) + 20) / 10
+    return 1 / (1 + np.exp(-float(np.dot([1.0, d, r, d * r, d * d, r * r, s, s * d, s * r], model.weights))))
+
+
+@needs_data
+@pytest.mark.parametrize(
+    "name,module,label,folds,fold,least,brute", [("op2_quality_compression", quality, "quality", 5, 0, 0.3, compressed), ("op7_toxicity_trees", toxicity, "toxic", 3, 1, 0.7, walked)]
+)
+def test_classifier_queries(spark, name, module, label, folds, fold, least, brute):
+    """The query's columns against crc32 folds, its scores against brute force on its own model, and held-out labels."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r["doc_id"]: r for r in queries.QUERIES[name](spark, sf).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    model = module.fit(docs.select("doc_id", "text"), labels, text_crc(F.col("doc_id")) % folds != fold)
+    assert got.keys() == texts.keys()
+    for i, r in got.items():
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % folds == fold) and r["predicted"] == int(r["score"] >= least) and 0 <= r["score"] <= 1
+    for i in sorted(texts)[::7]:
+        assert abs(got[i]["score"] - brute(model, texts[i])) < 1e-9
+    held = [r for r in labels.collect() if got[r["doc_id"]]["held_out"]]
+    assert auc([r[label] for r in held], [got[r["doc_id"]]["score"] for r in held]) > 0.9
+
+
 def test_gif_rules():
     """Local palette, transparency, interlacing, offsets and disposal, on a file made by hand."""
 
