@@ -33,7 +33,7 @@ LATIN_STOPWORDS = (
 ).split()
 QUERY_STOPWORDS = (
     "the a an and or of to in on for with about what does do did is are was were be been being say says said tell me please show find explain "
-    "this that these those it its as at from by"
+    "this that these those it its as at from by quran koran"
 ).split()
 STEM_PREFIXES = "وفبكلس"
 STEM_SUFFIXES = ("ه", "ها", "هم", "هن", "كما", "كم", "كن", "نا", "ي", "ية", "ات", "ون", "ين")

@@ -32,12 +32,6 @@ def clamp_limit(asked: Column, most: int) -> Column:
     return F.greatest(F.lit(0), F.least(asked, F.lit(most)))
 
 
-def over_max(c: Column, *keys: str) -> Column:
-    """Scaled by the group's maximum where that is positive."""
-    top = F.max(c).over(W.partitionBy(*keys))
-    return F.when(top > 0, c / top).otherwise(c)
-
-
 def min_max(c: Column, *keys: str) -> Column:
     low, high = F.min(c).over(W.partitionBy(*keys)), F.max(c).over(W.partitionBy(*keys))
     return (c - low) / F.when(high - low < 1e-9, F.lit(1.0)).otherwise(high - low)
@@ -45,8 +39,8 @@ def min_max(c: Column, *keys: str) -> Column:
 
 def seeded_choice(options: Column, key: Column, seed: int) -> Column:
     """One option by a hash of key and seed: stable over runs and partitions (not a Mersenne Twister draw)."""
-    at = F.pmod(F.crc32(F.encode(F.concat_ws(":", F.lit(seed).cast("string"), key), "UTF-8")), F.size(options)) + 1
-    return F.when(F.size(options) > 0, F.element_at(options, at.cast("int")))
+    drawn = F.conv(F.substring(F.md5(F.encode(F.concat_ws(":", F.lit(seed).cast("string"), key), "UTF-8")), 1, 12), 16, 10).cast("bigint")
+    return F.when(F.size(options) > 0, F.element_at(options, (F.pmod(drawn, F.size(options)) + 1).cast("int")))
 
 
 def case_unique(items: Column) -> Column:

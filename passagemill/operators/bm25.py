@@ -1,20 +1,22 @@
 """Fielded BM25 over postings, for whole batches of queries in one plan.
 
-Index tables: tf(field, doc, token, f), doclen(field, doc, dl), idf(field, token, n, idf). The query side is
-small and broadcast behind a check of its size; postings are never broadcast. Scores are summed per (query, field, document), and top
-lists are cut per query by a ranked window, so nothing is sorted globally.
+An index is built once and kept: `kept_index` writes it under a key of the input and the settings, and every later call
+with the same key reads it. Its tables are tf(bucket, field, token, doc, f, dl), cut by a hash of the token so that a
+query reads the buckets of its tokens alone, idf(field, token, n, idf) and stats(field, n_docs, avgdl). Texts are
+tokenised once. The query side is broadcast behind a check of its size; postings never are. Scores are summed per
+(query, field, document), and top lists are cut per query by a ranked window, so nothing is sorted globally.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from passagemill.functions.values import over_max
 from passagemill.operators.sizes import is_small, small
+from passagemill.sources import storage
 
 # Weights of the fields (arabic, english, urdu, mix) by the query's scripts.
 WEIGHTS = {"arabic": (1.0, 0.25, 0.75, 0.85), "latin": (0.25, 0.65, 0.20, 0.90), "mixed": (1.0, 0.65, 0.75, 1.0)}
@@ -42,46 +44,89 @@ class Bm25Config:
     stopword_least_tokens: int = 4
 
 
+#: Postings of a bucket, and most buckets.
+BUCKET, MOST_BUCKETS = 20_000_000, 4096
+
+
 @dataclass(frozen=True)
 class Index:
-    tf: DataFrame
-    doclen: DataFrame
+    tf: DataFrame  # field, token, doc, f, dl; and bucket where it was written
     idf: DataFrame
     stats: DataFrame  # field, n_docs, avgdl
+    buckets: int = 0  # 0: not written
 
-    def persist(self) -> Index:
-        return Index(*(t.persist() for t in (self.tf, self.doclen, self.idf, self.stats)))
-
-    def write(self, path: str) -> Index:
-        """Versioned parquet, tf partitioned by field, in place of an index cache."""
-        spark, out = self.tf.sparkSession, []
-        for name, t in (("tf", self.tf), ("doclen", self.doclen), ("idf", self.idf), ("stats", self.stats)):
-            w = t.write.mode("overwrite")
-            (w.partitionBy("field") if name == "tf" else w).parquet(f"{path}/{name}")
-            out.append(spark.read.parquet(f"{path}/{name}"))
-        return Index(*out)
+    @property
+    def doclen(self) -> DataFrame:
+        """(field, doc, dl) of documents with tokens."""
+        return self.tf.select("field", "doc", "dl").distinct()
 
 
 def postings(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFrame:
     """(field, doc, token, pos) of every token of every field; one scan of the documents."""
+    return _tokens(docs, id_col, fields).select("field", "doc", F.posexplode("tokens").alias("pos", "token")).select("field", "doc", "token", "pos")
+
+
+def _tokens(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFrame:
     lists = F.array(*(F.struct(F.lit(name).alias("field"), tokens.alias("tokens")) for name, tokens in fields.items()))
-    by_field = docs.select(F.col(id_col).alias("doc"), F.explode(lists).alias("x")).select("doc", "x.field", F.posexplode("x.tokens").alias("pos", "token"))
-    return by_field.select("field", "doc", "token", "pos")
+    return docs.select(F.col(id_col).alias("doc"), F.explode(lists).alias("x")).select("doc", "x.field", "x.tokens")
 
 
-def index(docs: DataFrame, id_col: str, fields: dict[str, Column], cfg: Bm25Config = Bm25Config()) -> Index:
+def _tf(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFrame:
+    words = _tokens(docs, id_col, fields).select("field", "doc", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
+    return words.groupBy("field", "doc", "dl", "token").agg(F.count(F.lit(1)).cast("int").alias("f"))
+
+
+def _stats(tf: DataFrame, docs: DataFrame, fields: dict[str, Column]) -> DataFrame:
     """Documents without tokens in a field still count for its size and mean length."""
-    tf = postings(docs, id_col, fields).groupBy("field", "doc", "token").agg(F.count(F.lit(1)).cast("int").alias("f"))
-    sizes = F.array(*(F.struct(F.lit(name).alias("field"), F.size(tokens).alias("dl")) for name, tokens in fields.items()))
-    doclen = docs.select(F.col(id_col).alias("doc"), F.explode(sizes).alias("x")).select("x.field", "doc", "x.dl")
-    stats = doclen.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    names = docs.sparkSession.createDataFrame([(f,) for f in fields], "field string")
+    sums = tf.groupBy("field").agg(F.sum("f").alias("total"))
+    one = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    return names.join(F.broadcast(sums), "field", "left").crossJoin(F.broadcast(one)).select("field", "n_docs", (F.coalesce("total", F.lit(0)) / F.nullif(F.col("n_docs"), F.lit(0))).alias("avgdl"))
+
+
+def _idf(tf: DataFrame, stats: DataFrame, cfg: Bm25Config) -> DataFrame:
     n = tf.groupBy("field", "token").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(stats.select("field", "n_docs")), "field")
     raw = n.withColumn("raw", F.log(F.col("n_docs") - F.col("n") + 0.5) - F.log(F.col("n") + 0.5))
     mean = raw.groupBy("field").agg(F.avg("raw").alias("mean"))
-    idf = raw.join(F.broadcast(mean), "field").select(
-        "field", "token", "n", F.when(F.col("raw") < 0, cfg.epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf")
-    )
-    return Index(tf, doclen, idf, stats)
+    return raw.join(F.broadcast(mean), "field").select("field", "token", "n", F.when(F.col("raw") < 0, cfg.epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+
+def index(docs: DataFrame, id_col: str, fields: dict[str, Column], cfg: Bm25Config = Bm25Config()) -> Index:
+    """An index that lives in the plan alone, for small inputs."""
+    tf = _tf(docs, id_col, fields)
+    stats = _stats(tf, docs, fields)
+    return Index(tf, _idf(tf, stats, cfg), stats)
+
+
+def bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
+
+
+def write_index(docs: DataFrame, id_col: str, fields: dict[str, Column], path: str, cfg: Bm25Config = Bm25Config()) -> None:
+    """Parquet tables under `path`; the statistics come from the written postings, so texts are tokenised once."""
+    spark = docs.sparkSession
+    flat = f"{path}/flat"
+    _tf(docs, id_col, fields).write.parquet(flat)
+    tf = spark.read.parquet(flat)
+    buckets = min(MOST_BUCKETS, tf.count() // BUCKET + 1)
+    rows = tf.select(bucket(buckets).alias("bucket"), "field", "token", "doc", "f", "dl")
+    rows.repartitionByRange("bucket", "field", "token", "doc").sortWithinPartitions("bucket", "field", "token").write.partitionBy("bucket").parquet(f"{path}/tf")
+    _stats(tf, docs, fields).write.parquet(f"{path}/stats")
+    _idf(tf, spark.read.parquet(f"{path}/stats"), cfg).write.parquet(f"{path}/idf")
+    spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{path}/layout")
+    storage.delete(spark, flat)
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    tables = (spark.read.parquet(f"{path}/{t}") for t in ("tf", "idf", "stats"))
+    return Index(*tables, buckets=spark.read.parquet(f"{path}/layout").first()[0])
+
+
+def kept_index(docs: DataFrame, id_col: str, fields: dict[str, Column], key: str, cfg: Bm25Config = Bm25Config()) -> Index:
+    """The index kept under `key`, which names the input's version and the fields; built by the first call."""
+    settings = f"{key}:{sorted(fields)}:{cfg.k1}:{cfg.b}:{cfg.epsilon}:2"
+    spark = docs.sparkSession
+    return read_index(spark, storage.kept(spark, "bm25", settings, lambda path: write_index(docs, id_col, fields, path, cfg)))
 
 
 def score(queries: DataFrame, ix: Index, cfg: Bm25Config = Bm25Config()) -> DataFrame:
@@ -89,13 +134,22 @@ def score(queries: DataFrame, ix: Index, cfg: Bm25Config = Bm25Config()) -> Data
     terms = queries.groupBy("qid", "field", "token").agg(F.count(F.lit(1)).alias("times"))
     # A term has one idf row at most, so the weighted terms are as few as the terms.
     hint = F.broadcast if is_small(terms) else lambda df: df
-    weighted = hint(ix.idf.join(hint(terms), ["field", "token"]).select("qid", "field", "token", "times", "idf"))
-    hits = ix.tf.join(weighted, ["field", "token"]).join(ix.doclen, ["field", "doc"]).join(F.broadcast(ix.stats), "field")
+    weighted = ix.idf.join(hint(terms), ["field", "token"]).join(F.broadcast(ix.stats.select("field", "avgdl")), "field").select("qid", "field", "token", "times", "idf", "avgdl")
+    on = ["field", "token"]
+    if ix.buckets > 1:
+        weighted, on = weighted.withColumn("bucket", bucket(ix.buckets)), ["bucket", *on]
+    hits = ix.tf.join(hint(weighted), on)
     f, dl = F.col("f"), F.col("dl")
     part = F.col("times") * F.col("idf") * f * (cfg.k1 + 1) / (f + cfg.k1 * (1 - cfg.b + cfg.b * dl / F.col("avgdl")))
     return hits.groupBy("qid", "field", "doc").agg(F.sum(part).alias("score"))
 
 
+def over_max(scores: DataFrame, value: str, keys: list[str], out: str) -> DataFrame:
+    """`out`: the value over its group's maximum where that is positive. The maxima are one row a group."""
+    top = scores.groupBy(*keys).agg(F.max(value).alias("_top"))
+    return scores.join(top, keys).withColumn(out, F.when(F.col("_top") > 0, F.col(value) / F.col("_top")).otherwise(F.col(value))).drop("_top")
+
+
 def expand_synonyms(terms: DataFrame, synonyms: dict[str, list[str]] = SYNONYMS) -> DataFrame:
     """(qid, token) with, for each occurrence, all synonyms of a canonical word and the canonical word of a synonym."""
     reverse: dict[str, str] = {}
@@ -125,8 +179,8 @@ def script_fields(queries: DataFrame, tokens: str = "tokens") -> DataFrame:
 
 def combine_fields(scores: DataFrame, weights: DataFrame) -> DataFrame:
     """(qid, doc, base): field scores over their query's maximum, weighted; `weights` has (qid, field, weight)."""
-    scaled = scores.withColumn("scaled", over_max(F.col("score"), "qid", "field"))
-    return scaled.join(F.broadcast(weights), ["qid", "field"]).groupBy("qid", "doc").agg(F.sum(F.col("scaled") * F.col("weight")).alias("base"))
+    scaled = over_max(scores, "score", ["qid", "field"], "scaled")
+    return scaled.join(small(weights), ["qid", "field"]).groupBy("qid", "doc").agg(F.sum(F.col("scaled") * F.col("weight")).alias("base"))
 
 
 def weights_table(queries: DataFrame, weights=WEIGHTS, fields=FIELDS) -> DataFrame:

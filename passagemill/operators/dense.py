@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas import types
 
 from passagemill.functions.values import min_max
 from passagemill.functions.vectors import dot
@@ -23,9 +26,53 @@ class HybridConfig:
     results: int = 300
 
 
-def scan(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(qid, doc, score) of every query vector (qid, q) against every vector (doc, v); the query side is the broadcast one."""
-    return vectors.crossJoin(small(queries)).select("qid", "doc", dot(F.col("q"), F.col("v")).alias("score"))
+#: Bytes of query vectors that go to a task at once.
+QUERY_BLOCK = 16 << 20
+
+
+def scan(queries: DataFrame, vectors: DataFrame, top: int | None = None, digits: int = 6) -> DataFrame:
+    """(qid, doc, score) of every query vector (qid, q) against every vector (doc, v), in blocks of queries.
+
+    Scores are rounded to `digits`. With `top`, a task keeps the best so many of a query and all that tie with the last
+    of them, so what leaves the tasks is bounded by them and not by the vectors; ranks are cut by the caller. Null vectors have no score;
+    one of another length than the queries raises.
+    """
+    kinds = queries.schema["qid"].dataType.simpleString(), vectors.schema["doc"].dataType.simpleString()
+    schema = f"qid {kinds[0]}, doc {kinds[1]}, score double"
+
+    def block(ids: pa.Array, q: np.ndarray):
+        def run(batches):
+            for batch in batches:
+                ok = batch.filter(batch.column(1).is_valid())
+                if not ok.num_rows:
+                    continue
+                flat = ok.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                scores = np.round(q @ flat.reshape(ok.num_rows, -1).T, digits)
+                least = np.full(len(q), -np.inf)
+                if top and ok.num_rows > top:
+                    least = np.partition(scores, ok.num_rows - top, axis=1)[:, ok.num_rows - top]
+                for i in range(0, len(q), 256):
+                    x, y = np.nonzero(scores[i : i + 256] >= least[i : i + 256, None])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(x + i)), ok.column(0).take(pa.array(y)), pa.array(scores[x + i, y])], ["qid", "doc", "score"])
+
+        return run
+
+    found, held, size = None, [], 0
+    source = vectors.select("doc", "v")
+
+    def done() -> DataFrame:
+        ids = pa.array([r["qid"] for r in held], types.to_arrow_type(queries.schema["qid"].dataType))
+        got = source.mapInArrow(block(ids, np.array([r["q"] for r in held], np.float64)), schema)
+        return got if found is None else found.union(got)
+
+    for r in queries.where("q is not null").select("qid", "q").toLocalIterator():
+        held.append(r)
+        size += 8 * len(r["q"])
+        if size >= QUERY_BLOCK:
+            found, held, size = done(), [], 0
+    if held:
+        found = done()
+    return found if found is not None else queries.sparkSession.createDataFrame([], schema)
 
 
 def scan_candidates(queries: DataFrame, vectors: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -46,14 +93,18 @@ def stable_rank(value: str, ties: tuple[str, ...] = ("doc",)) -> Column:
     return F.when(F.col(value).isNotNull(), F.row_number().over(w).cast("bigint"))
 
 
-def rrf(merged: DataFrame, cfg: HybridConfig = HybridConfig()) -> DataFrame:
-    """(qid, doc, bm25, semantic, rrf, rank): weighted reciprocal ranks, a missing side gives 0."""
-    ranked = merged.withColumn("rb", stable_rank("bm25")).withColumn("rs", stable_rank("semantic"))
-    fused = F.coalesce(cfg.lexical / (F.lit(float(cfg.rrf_k)) + F.col("rb")), F.lit(0.0)) + F.coalesce(cfg.semantic / (F.lit(float(cfg.rrf_k)) + F.col("rs")), F.lit(0.0))
-    scored = ranked.withColumn("rrf", F.round(fused, 6)).drop("rb", "rs")
+def fuse(ranked: DataFrame, lexical: Column, semantic: Column, cfg: HybridConfig = HybridConfig()) -> DataFrame:
+    """Weighted reciprocal ranks of rows that have `rb` and `rs`; a missing side gives 0."""
+    part = lambda w, r: F.coalesce(w / (F.lit(float(cfg.rrf_k)) + F.col(r)), F.lit(0.0))
+    scored = ranked.withColumn("rrf", F.round(part(lexical, "rb") + part(semantic, "rs"), 6)).drop("rb", "rs")
     return scored.withColumn("rank", stable_rank("rrf")).where(F.col("rank") <= cfg.results)
 
 
+def rrf(merged: DataFrame, cfg: HybridConfig = HybridConfig()) -> DataFrame:
+    """(qid, doc, bm25, semantic, rrf, rank): weighted reciprocal ranks of both sides."""
+    return fuse(merged.withColumn("rb", stable_rank("bm25")).withColumn("rs", stable_rank("semantic")), F.lit(cfg.lexical), F.lit(cfg.semantic), cfg)
+
+
 def weighted_min_max(merged: DataFrame, cfg: HybridConfig = HybridConfig()) -> DataFrame:
     """(qid, doc, bm25, semantic, fused, rank): both sides scaled to 0..1 within the query, a missing side is 0."""
     filled = merged.fillna(0.0, ["bm25", "semantic"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,21 +18,30 @@ def chunk_ids(rows: DataFrame, file: str, order: str, size: str, limit: int = LI
     """(file, order, chunk): greedy packing of a file's items in order.
 
     A chunk ends when the next item would pass the limit and it is not empty; a single larger item still gets a
-    chunk of its own. The reset depends on what was packed, so a file is one ordered fold of (order, size)
-    pairs; other files run beside it. Texts stay out of the fold.
+    chunk of its own. The reset depends on what was packed, so a file is one ordered pass over its (order, size)
+    pairs, streamed from a sorted partition in constant memory; other files run beside it. Texts stay out of it.
     """
-    items = F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col(size).cast("bigint").alias("size"))))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<at:bigint,chunk:int>>").alias("done"))
-
-    def step(acc: Column, item: Column) -> Column:
-        more = F.when(acc["used"] > 0, item["size"] + comma).otherwise(item["size"])
-        full = (acc["used"] > 0) & (acc["used"] + more + overhead > limit)
-        chunk = acc["chunk"] + full.cast("int")
-        used = F.when(full, item["size"]).otherwise(acc["used"] + more)
-        return F.struct(chunk.alias("chunk"), used.alias("used"), F.concat(acc["done"], F.array(F.struct(item["at"].cast("bigint").alias("at"), chunk.alias("chunk")))).alias("done"))
-
-    folded = rows.groupBy(file).agg(F.aggregate(items, start, step, lambda acc: acc["done"]).alias("done"))
-    return folded.select(file, F.explode("done").alias("d")).select(file, F.col("d.at").alias(order), F.col("d.chunk").alias("chunk"))
+    kinds = ", ".join(f"{n} {rows.schema[c].dataType.simpleString()}" for n, c in (("file", file), ("at", order)))
+
+    def run(batches):
+        last, chunk, used = object(), 0, 0
+        for batch in batches:
+            out = []
+            for f, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                n = n or 0
+                if f != last:
+                    last, chunk, used = f, 0, 0
+                more = n + comma if used > 0 else n
+                if used > 0 and used + more + overhead > limit:
+                    chunk, used = chunk + 1, n
+                else:
+                    used += more
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], ["file", "at", "chunk"])
+
+    pairs = rows.select(F.col(file).alias("file"), F.col(order).alias("at"), F.col(size).cast("bigint").alias("size"))
+    dealt = pairs.repartition("file").sortWithinPartitions("file", "at", "size")
+    return dealt.mapInArrow(run, f"{kinds}, chunk int").withColumnsRenamed({"file": file, "at": order})
 
 
 def write_chunks(rows: DataFrame, chunks: DataFrame, file: str, order: str, json: str, path: str) -> DataFrame:

@@ -134,7 +134,7 @@ def _scan_aliases(queries: DataFrame, aliases: DataFrame, cfg: ReferenceConfig)
 def expand(refs: DataFrame, corpus: DataFrame) -> DataFrame:
     """Rows of `corpus` (major, minor, ...) that each reference names, ranges included; missing ones are skipped."""
     hit = refs.where("ref is not null").select("qid", F.col("ref.major").alias("major"), F.explode(F.sequence("ref.minor", F.coalesce("ref.minor_end", "ref.minor"))).alias("minor"), F.col("ref.confidence").alias("score"))
-    return corpus.join(small(hit), ["major", "minor"])
+    return corpus.join(hit, ["major", "minor"])
 
 
 def expand_targets(targets: DataFrame) -> DataFrame:

@@ -74,8 +74,9 @@ def islands(keys: DataFrame, group: list[str], major: str, minor: str) -> DataFr
 
 def passages_mentions(blocks: DataFrame, group: list[str], major: str, most: int = 6) -> DataFrame:
     """Blocks ranked by length, then first key; the top ones are passages, the rest mentions."""
-    w = W.partitionBy(*group) if group else W.partitionBy(F.lit(1))
-    rank = F.row_number().over(w.orderBy(F.desc("n"), major, "first"))
+    if not group:
+        raise ValueError("blocks are ranked within groups; without one all would go to one task")
+    rank = F.row_number().over(W.partitionBy(*group).orderBy(F.desc("n"), major, "first"))
     return blocks.withColumn("rank", rank).withColumn("kind", F.when(F.col("rank") <= most, "passage").otherwise("mention"))
 
 
@@ -131,10 +132,20 @@ def fill_groups(groups: DataFrame, anchors: DataFrame, cap: int = 3) -> DataFram
     return own.unionByName(lent.select("topic", "group", "major", "minor"))
 
 
+def phrase_hits(phrases: DataFrame, sequences: DataFrame, on: list[str] | None = None, max_gap: int = 2) -> DataFrame:
+    """Rows of `sequences` (seq, ...) joined with the phrases (phrase, ...) that they hold.
+
+    They meet on each phrase's first token, among the distinct tokens of a sequence, so no sequence is tried for a phrase that it cannot hold.
+    """
+    on = on or []
+    firsts = phrases.where(F.size("phrase") > 0).withColumn("_first", F.col("phrase")[0])
+    tokens = sequences.withColumn("_first", F.explode(F.array_distinct("seq")))
+    return tokens.join(small(firsts), [*on, "_first"]).where(phrase_in(F.col("seq"), F.col("phrase"), max_gap)).drop("_first")
+
+
 def prune_phrases(phrases: DataFrame, sequences: DataFrame) -> DataFrame:
     """Phrases (topic, lang, phrase) that some passage (lang, seq) of their language holds."""
-    hits = sequences.join(small(phrases), "lang").where(phrase_in(F.col("seq"), F.col("phrase")))
-    return hits.select("topic", "lang", "phrase").distinct()
+    return phrase_hits(phrases, sequences, ["lang"]).select("topic", "lang", "phrase").distinct()
 
 
 def rule_variants(names: DataFrame) -> DataFrame:

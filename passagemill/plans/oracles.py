@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from passagemill.functions.text import LATIN_STOPWORDS, QUERY_STOPWORDS
 from passagemill.plans import inputs as I
 
 
+# Fixed values, given here again so that the library's own lists are checked.
+LATIN_STOPWORDS = "the a an and or of in on at for from by with is are was were be been being to that this these those as it".split()
+QUERY_STOPWORDS = (
+    "the a an and or of to in on for with about what does do did is are was were be been being say says said tell me please show find explain this that these those it its as at from by "
+    "quran koran"
+).split()
+
+
 def quote(x) -> str:
     if x is None:
         return "NULL"
@@ -170,8 +177,8 @@ SELECT qid, token, count(*) AS n FROM (SELECT qid, token FROM t UNION ALL SELECT
     "stopword_adaptive": f"""WITH t AS (SELECT item_id, {terms('text')} AS t FROM benchmark)
 SELECT item_id, len(t) AS n_before, CASE WHEN len(t) >= 4 THEN len(list_filter(t, lambda x: x NOT IN {words(QUERY_STOPWORDS)})) ELSE len(t) END AS n_after FROM t""",
     "corpus_stats": f"SELECT count(*) AS n_docs, count(DISTINCT source) AS n_sections, sum(len({terms('text')}))::BIGINT AS n_tokens, round(avg(len({terms('text')})), 4) AS avgdl FROM documents",
-    "doc_freq": f"SELECT token, count(DISTINCT doc_id) AS n, count(*) AS cf FROM (SELECT doc_id, unnest({terms('text')}) AS token FROM documents) GROUP BY 1 HAVING n > 1",
-    "idf_table": f"{BASE} SELECT token, n, round(idf, 6) AS idf FROM idf WHERE n > 2",
+    "doc_freq": f"SELECT token, count(DISTINCT doc_id) AS n, count(*) AS cf FROM (SELECT doc_id, unnest({terms('text')}) AS token FROM documents) GROUP BY 1",
+    "idf_table": f"{BASE} SELECT token, n, round(idf, 6) AS idf FROM idf",
     "bm25_topk": f"{BASE} {top(LEX, 20)}",
     "bm25_fielded": "WITH " + bm25(
         {"body": terms("text"), "src": terms("source"), "lng": terms("lang"), "mix": terms("concat_ws(' ', source, lang, text)")},
@@ -207,7 +214,7 @@ SELECT qid, doc, fused FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER
     "lexical_mode": f"{BASE}, lx AS ({top(LEX, 80)}) SELECT qid, doc, round(score, 6) AS bm25, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS rank FROM lx",
     "batch_hybrid": "WITH " + bm25(TEXT, f"SELECT item_id AS qid, 'text' AS field, unnest({terms('text')}) AS token FROM benchmark") + f""",
 lx AS ({top(LEX, 80)}),
-se AS ({top(f"SELECT i.item_id AS qid, b.vec_id AS doc, round({DOT}, 6) AS score FROM benchmark i JOIN embeddings a ON a.vec_id = i.item_id, embeddings b WHERE b.vec_id IN (SELECT doc_id FROM documents)", 80)}),
+se AS ({top(f"SELECT i.item_id AS qid, b.vec_id AS doc, round({DOT}, 6) AS score FROM benchmark i JOIN embeddings a ON a.vec_id = i.item_id, embeddings b WHERE b.vec_id IN (SELECT doc_id FROM documents)", 1000)}),
 merged AS (SELECT coalesce(l.qid, s.qid) AS qid, coalesce(l.doc, s.doc) AS doc, l.score AS bm25, s.score AS semantic FROM lx l FULL JOIN se s ON l.qid = s.qid AND l.doc = s.doc),
 rk AS (SELECT *, CASE WHEN bm25 IS NOT NULL THEN row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC NULLS LAST, doc) END AS rb,
   CASE WHEN semantic IS NOT NULL THEN row_number() OVER (PARTITION BY qid ORDER BY semantic DESC NULLS LAST, doc) END AS rs FROM merged)
@@ -273,8 +280,17 @@ i AS (
 SELECT level, code, count(*) AS n FROM i GROUP BY 1, 2""",
     "manifest_hash": "SELECT doc_id::VARCHAR AS name, strlen(text)::BIGINT AS bytes, sha256(text) AS sha256 FROM documents",
     "manifest_verify": "SELECT doc_id::VARCHAR AS name, CASE WHEN doc_id::VARCHAR LIKE '%13' THEN 'unlisted' ELSE 'bytes' END AS problem FROM documents WHERE doc_id::VARCHAR LIKE '%13' OR doc_id::VARCHAR LIKE '%7'",
-    "display_pick": """SELECT doc_id, coalesce(CASE WHEN lang IN ('de', 'en') AND trim(left(text, 20)) <> '' THEN left(text, 20) END, CASE WHEN trim(left(text, 20)) <> '' THEN left(text, 20) END, source) AS display,
-  coalesce(CASE WHEN lang = 'de' AND trim(left(text, 20)) <> '' THEN left(text, 20) END, source) AS preferred FROM documents""",
+    "display_pick": """WITH t AS (SELECT doc_id, coalesce(CASE WHEN trim(text) <> '' THEN text END, source) AS d, coalesce(CASE WHEN lang = 'de' AND trim(text) <> '' THEN text END, source) AS p FROM documents)
+SELECT doc_id, length(d) AS n_display, sha256(d) AS display, length(p) AS n_preferred, sha256(p) AS preferred FROM t""",
+    "translation_select": """WITH o AS (SELECT doc_id, list_filter([{'k': lang, 'v': text}, {'k': 'src', 'v': source}], lambda e: trim(e.v) <> '') AS o FROM documents),
+t AS (SELECT doc_id, list_sort(o)[(('0x' || substr(md5('1337:' || doc_id), 1, 12))::BIGINT % len(o)) + 1] AS t FROM o)
+SELECT doc_id, t.k AS translator, length(t.v) AS n, sha256(t.v) AS sha FROM t""",
+    "response_struct": f"""{BOTH}, fin AS (SELECT * FROM ({RRF}) WHERE rank <= 5),
+res AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank) - 1 AS place, substr(source, 4, 9) AS sec, doc, text, lang, rrf, bm25, semantic FROM fin JOIN documents ON doc_id = doc),
+qs(qid, raw, intent) AS (VALUES {", ".join(f"('{q}', '{' '.join(t)}', 'hybrid')" for q, t in I.TERMS.items())}, ('none', 'nothing', 'lexical')),
+n AS (SELECT qs.qid, raw, intent, count(doc)::INT AS n FROM qs LEFT JOIN res USING (qid) GROUP BY ALL)
+SELECT n.qid, place, 1 AS version, 'v1' AS packVersion, raw, intent, 'en' AS langHint, 0 AS "offset", n AS "limit", n AS total, NULL::INT AS nextOffset, sec || ':' || doc AS verseKey, sec::INT AS surah, doc::INT AS ayah,
+  sha256(text) AS arabic, lang, sha256(text) AS display, CASE WHEN place IS NOT NULL THEN 0 END AS juz, CASE WHEN place IS NOT NULL THEN 'hybrid' END AS mode, rrf, bm25, semantic FROM n LEFT JOIN res USING (qid)""",
     "row_numbers": "SELECT vec_id, row_number() OVER (ORDER BY vec_id::VARCHAR) - 1 AS row FROM embeddings",
     "split_texts": "SELECT doc_id, part, length(substr(text, (part * 1000 + 1)::BIGINT, 1000)) AS n, sha256(substr(text, (part * 1000 + 1)::BIGINT, 1000)) AS sha FROM (SELECT doc_id, text, unnest(range(greatest(ceil(length(text) / 1000.0), 1)::BIGINT)) AS part FROM documents)",
 }

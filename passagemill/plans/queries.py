@@ -11,6 +11,7 @@ from passagemill.functions import values as V
 from passagemill.operators import bm25, dense, enrich, evaluation, packing, references, response, topics, validation
 from passagemill.operators.sizes import small
 from passagemill.plans import inputs as I
+from passagemill.sources import storage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,8 +87,10 @@ def stopword_adaptive(spark, sf_dir):
 # --- lexical ---------------------------------------------------------------------------------------
 
 
-def _index(spark, sf_dir, fields: dict[str, Column] | None = None) -> bm25.Index:
-    return bm25.index(docs_of(spark, sf_dir), "doc_id", fields or {"text": T.latin_terms(F.col("text"))})
+def _index(spark, sf_dir, fields: dict[str, Column] | None = None, name: str = "text") -> bm25.Index:
+    """Built by the first query that needs it, and read by the others until the documents change."""
+    key = f"{name}:{storage.stamp(spark, f'{sf_dir}/documents.parquet')}"
+    return bm25.kept_index(docs_of(spark, sf_dir), "doc_id", fields or {"text": T.latin_terms(F.col("text"))}, key)
 
 
 def _terms(spark, field: str = "text") -> DataFrame:
@@ -102,12 +105,11 @@ def corpus_stats(spark, sf_dir):
 
 
 def doc_freq(spark, sf_dir):
-    n = bm25.postings(docs_of(spark, sf_dir), "doc_id", {"text": T.latin_terms(F.col("text"))}).groupBy("token").agg(F.countDistinct("doc").alias("n"), F.count(F.lit(1)).alias("cf"))
-    return n.where("n > 1")
+    return _index(spark, sf_dir).tf.groupBy("token").agg(F.countDistinct("doc").alias("n"), F.sum("f").alias("cf"))
 
 
 def idf_table(spark, sf_dir):
-    return rounded(_index(spark, sf_dir).idf.where("n > 2").select("token", "n", "idf"), 6, "idf")
+    return rounded(_index(spark, sf_dir).idf.select("token", "n", "idf"), 6, "idf")
 
 
 def bm25_topk(spark, sf_dir):
@@ -124,8 +126,9 @@ def bm25_fielded(spark, sf_dir):
         "mix": T.latin_terms(F.concat_ws(" ", "source", "lang", "text")),
     }
     queries = spark.createDataFrame([(q, t) for q, ts in I.FIELD_TERMS.items() for t in ts], "qid string, token string")
-    each = queries.crossJoin(spark.createDataFrame([(f, w) for f, w in FIELDED.items()], "field string, weight double"))
-    scores = bm25.score(each.select("qid", "field", "token"), _index(spark, sf_dir, fields))
+    weighed = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight")) for f, w in FIELDED.items()))).alias("x")
+    each = queries.select("qid", "token", weighed).select("qid", "token", "x.*")
+    scores = bm25.score(each.select("qid", "field", "token"), _index(spark, sf_dir, fields, "fielded"))
     base = bm25.combine_fields(scores, each.select("qid", "field", "weight").distinct())
     return bm25.top(rounded(base, 4, "base"), 50, "base").select("qid", "doc", "base", "rank")
 
@@ -138,7 +141,7 @@ def bm25_rerank_boosts(spark, sf_dir):
     docs, items = docs_of(spark, sf_dir), table(spark, sf_dir, "benchmark")
     q = items.select(F.col("item_id").alias("qid"), _norm("text").alias("norm"), T.latin_terms(F.col("text")).alias("tokens"))
     terms = q.select("qid", F.lit("text").alias("field"), F.explode("tokens").alias("token"))
-    scores = bm25.score(terms, _index(spark, sf_dir)).withColumn("base", F.round(V.over_max(F.col("score"), "qid"), 6))
+    scores = rounded(bm25.over_max(bm25.score(terms, _index(spark, sf_dir)), "score", ["qid"], "base"), 6, "base")
     candidates = bm25.top(scores, bm25.Bm25Config.top_candidates, "base").select("qid", "doc", "base")
     d = docs.select(F.col("doc_id").alias("doc"), _norm("text").alias("norm"), T.latin_terms(F.col("text")).alias("tokens"))
     return bm25.top(rounded(bm25.rerank(candidates, q, d), 6, "score"), 10).select("qid", "doc", "score", "rank")
@@ -150,12 +153,14 @@ def phrase_source_lookup(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", norm("text").alias("p")).withColumn("k", F.least(F.lit(5), F.size(F.split("p", " ")) - 2))
     # A passage may start and end inside longer words, so the anchor has neither its first word nor its last.
     anchored = items.where("k > 0").withColumn("anchor", F.concat_ws(" ", F.slice(F.split("p", " "), 2, F.col("k"))))
-    lens = anchored.select("k").distinct()
+    ks = sorted(r[0] for r in anchored.select("k").distinct().collect())  # five at most
     docs = docs_of(spark, sf_dir).select("doc_id", norm("text").alias("n"))
-    d = docs.withColumn("w", F.split("n", " ")).crossJoin(F.broadcast(lens)).where(F.size("w") >= F.col("k"))
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.concat_ws(" ", F.slice("w", i, F.col("k")))))
-    grams = d.select("doc_id", "n", "k", F.explode(starts).alias("anchor"))
-    hits = grams.join(small(anchored), ["anchor", "k"]).where(F.contains(F.col("n"), F.col("p")))
+    grams = lambda k: F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.concat_ws(" ", F.slice("w", i, F.lit(k))))
+    starts = F.array_distinct(F.flatten(F.array(*(F.when(F.size("w") >= k, grams(k)).otherwise(F.array()) for k in ks), F.array().cast("array<string>"))))
+    # Grams leave the scan with ids alone; texts are fetched for what they hit.
+    keys = docs.select("doc_id", F.split("n", " ").alias("w")).select("doc_id", F.explode(starts).alias("anchor"))
+    met = keys.join(small(anchored.select("anchor", "item_id", "p")), "anchor").select("doc_id", "item_id", "p").distinct()
+    hits = docs.join(met, "doc_id").where(F.contains(F.col("n"), F.col("p")))
     # Passages of one or two words have no inner ones, and are sought in all documents.
     short = docs.join(small(items.where("k <= 0")), F.contains(F.col("n"), F.col("p")))
     return hits.select("doc_id", "item_id").union(short.select("doc_id", "item_id")).distinct()
@@ -229,7 +234,7 @@ def _query_vectors(spark, sf_dir) -> DataFrame:
 
 
 def cosine_topk(spark, sf_dir):
-    got = rounded(dense.scan(_query_vectors(spark, sf_dir), _vectors(spark, sf_dir)), 6, "score")
+    got = dense.scan(_query_vectors(spark, sf_dir), _vectors(spark, sf_dir), 10)
     return bm25.top(got, 10).select("qid", "doc", "score", "rank")
 
 
@@ -242,7 +247,7 @@ def _both(spark, sf_dir) -> DataFrame:
     lexical = bm25.top(rounded(bm25.score(_terms(spark), _index(spark, sf_dir)), 4, "score"), dense.HybridConfig.lexical_top)
     known = docs_of(spark, sf_dir).select(F.col("doc_id").alias("doc"))
     vectors = _vectors(spark, sf_dir).join(known, "doc", "left_semi")
-    semantic = bm25.top(rounded(dense.scan(_query_vectors(spark, sf_dir), vectors), 6, "score"), dense.HybridConfig.semantic_top)
+    semantic = bm25.top(dense.scan(_query_vectors(spark, sf_dir), vectors, dense.HybridConfig.semantic_top), dense.HybridConfig.semantic_top)
     return dense.merge(lexical, semantic)
 
 
@@ -267,7 +272,7 @@ def batch_hybrid(spark, sf_dir):
     vectors = _vectors(spark, sf_dir)
     q = vectors.join(F.broadcast(items.select(F.col("item_id").alias("doc"))), "doc", "left_semi").select(F.col("doc").alias("qid"), F.col("v").alias("q"))
     known = vectors.join(docs_of(spark, sf_dir).select(F.col("doc_id").alias("doc")), "doc", "left_semi")
-    semantic = bm25.top(rounded(dense.scan(q, known), 6, "score"), dense.HybridConfig.lexical_top)
+    semantic = bm25.top(dense.scan(q, known, dense.HybridConfig.semantic_top), dense.HybridConfig.semantic_top)
     return dense.rrf(dense.merge(lexical, semantic)).where("rank <= 5").select("qid", "doc", "rrf", "rank")
 
 
@@ -382,8 +387,7 @@ def variant_mining(spark, sf_dir):
 
 def phrase_gap_match(spark, sf_dir):
     phrases = spark.createDataFrame(I.PHRASES, "pid int, phrase array<string>")
-    d = docs_of(spark, sf_dir).select("doc_id", T.latin_terms(F.col("text")).alias("seq")).crossJoin(F.broadcast(phrases))
-    return d.where(topics.phrase_in(F.col("seq"), F.col("phrase"))).select("pid", "doc_id")
+    return topics.phrase_hits(phrases, docs_of(spark, sf_dir).select("doc_id", T.latin_terms(F.col("text")).alias("seq"))).select("pid", "doc_id")
 
 
 def gap_islands(spark, sf_dir):
@@ -402,7 +406,7 @@ def passages_mentions(spark, sf_dir):
 
 def _grades(spark, sf_dir) -> DataFrame:
     judged = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("doc"), (F.col("quality") + 2 * F.col("toxic")).cast("double").alias("grade"))
-    return judged.crossJoin(F.broadcast(spark.createDataFrame([(q,) for q in I.TERMS], "qid string")))
+    return judged.withColumn("qid", F.explode(F.array(*map(F.lit, I.TERMS))))
 
 
 def _run(spark, sf_dir) -> DataFrame:
@@ -424,14 +428,13 @@ def latency_percentiles(spark, sf_dir):
 
 
 def best_config(spark, sf_dir):
-    merged, grades = _both(spark, sf_dir).persist(), _grades(spark, sf_dir)
-    runs = None
-    for w in I.GRID:
-        cfg = dense.HybridConfig(lexical=1 - w, semantic=w)
-        got = evaluation.summary(evaluation.metrics(dense.rrf(merged, cfg).select("qid", "doc", "rank"), grades, 10))
-        row = got.select(F.lit(w).alias("run"), F.round("accuracy", 6).alias("accuracy"), F.round("mean_rr", 6).alias("mrr"), F.lit(0.0).alias("latency"))
-        runs = row if runs is None else runs.unionByName(row)
-    return evaluation.best_run(runs)
+    """All weights of the grid in one plan: ranks of both sides are taken once, and the weight is part of the query's name."""
+    each = lambda df: df.withColumn("w", F.explode(F.array(*map(F.lit, I.GRID)))).withColumn("qid", F.concat_ws("|", "w", "qid"))
+    ranked = _both(spark, sf_dir).withColumn("rb", dense.stable_rank("bm25")).withColumn("rs", dense.stable_rank("semantic"))
+    runs = dense.fuse(each(ranked), 1 - F.col("w"), F.col("w")).select("qid", "doc", "rank")
+    got = evaluation.metrics(runs, each(_grades(spark, sf_dir)).drop("w"), 10).withColumn("run", F.split("qid", "\\|")[0].cast("double"))
+    rows = evaluation.summary(got, ["run"]).select("run", F.round("accuracy", 6).alias("accuracy"), F.round("mean_rr", 6).alias("mrr"), F.lit(0.0).alias("latency"))
+    return evaluation.best_run(rows)
 
 
 def judgment_pool(spark, sf_dir):
@@ -491,13 +494,15 @@ def chunk_manifest(spark, sf_dir):
 
 def display_pick(spark, sf_dir):
     d = docs_of(spark, sf_dir)
-    texts = F.create_map("lang", F.left("text", F.lit(20)), F.lit("zz"), F.lit(" "))
-    return d.select("doc_id", V.display_pick(texts, ["de", "en"], F.col("source")).alias("display"), V.preferred(texts, ["de"], F.col("source")).alias("preferred"))
+    texts = F.create_map("lang", F.col("text"), F.lit("zz"), F.lit(" "))
+    hashed = lambda name, c: [F.length(c).cast("bigint").alias(f"n_{name}"), V.sha256(c).alias(name)]
+    return d.select("doc_id", *hashed("display", V.display_pick(texts, ["de", "en"], F.col("source"))), *hashed("preferred", V.preferred(texts, ["de"], F.col("source"))))
 
 
 def translation_select(spark, sf_dir):
-    texts = F.create_map("lang", F.left("text", F.lit(20)), F.lit("src"), F.col("source"))
-    return docs_of(spark, sf_dir).select("doc_id", packing.choose_translation(texts, F.col("doc_id").cast("string"), seed=1337).alias("t")).select("doc_id", "t.translator", "t.text")
+    texts = F.create_map("lang", "text", F.lit("src"), F.col("source"))
+    t = docs_of(spark, sf_dir).select("doc_id", packing.choose_translation(texts, F.col("doc_id").cast("string"), seed=1337).alias("t"))
+    return t.select("doc_id", "t.translator", F.length("t.text").cast("bigint").alias("n"), V.sha256(F.col("t.text")).alias("sha"))
 
 
 def row_numbers(spark, sf_dir):
@@ -515,15 +520,23 @@ def split_texts(spark, sf_dir):
 
 
 def response_struct(spark, sf_dir):
+    """Results and envelopes, read field by field from the response's JSON."""
     ranked = hybrid_rrf(spark, sf_dir).where("rank <= 5").join(docs_of(spark, sf_dir).withColumnRenamed("doc_id", "doc"), "doc")
     place = F.row_number().over(W.partitionBy("qid").orderBy("rank"))
     one = response.result(
-        F.concat_ws(":", F.substring("source", 4, 9), "doc"), F.substring("source", 4, 9), F.col("doc"), F.left("text", F.lit(80)), F.col("lang"), F.left("text", F.lit(40)),
+        F.concat_ws(":", F.substring("source", 4, 9), "doc"), F.substring("source", 4, 9), F.col("doc"), F.col("text"), F.col("lang"), F.col("text"),
         F.lit("hybrid"), F.col("rrf"), F.col("bm25"), F.col("semantic"),
     )
     results = ranked.select("qid", place.alias("rank"), one.alias("result"))
-    queries = spark.createDataFrame([(q, " ".join(t), " ".join(t), "hybrid") for q, t in I.TERMS.items()], "qid string, raw string, normalized string, intent string")
-    return response.envelope(results, queries).select("qid", response.to_json(F.col("response")).alias("response"))
+    queries = spark.createDataFrame([*((q, " ".join(t), " ".join(t), "hybrid") for q, t in I.TERMS.items()), ("none", "nothing", "nothing", "lexical")], "qid string, raw string, normalized string, intent string")
+    got = response.envelope(results, queries)
+    kind = got.schema["response"].dataType.simpleString()
+    read = got.select("qid", F.from_json(response.to_json(F.col("response")), kind).alias("r")).select("qid", "r", F.posexplode_outer("r.results").alias("place", "x"))
+    score = [F.col(f"x.score.{c}").alias(c) for c in ("mode", "rrf", "bm25", "semantic")]
+    return read.select(
+        "qid", F.col("place").cast("bigint").alias("place"), "r.version", "r.packVersion", "r.query.raw", "r.query.intent", "r.query.langHint", "r.page.offset", "r.page.limit", "r.page.total", "r.page.nextOffset",
+        "x.verseKey", "x.surah", "x.ayah", V.sha256(F.col("x.arabic")).alias("arabic"), F.col("x.display.lang").alias("lang"), V.sha256(F.col("x.display.text")).alias("display"), "x.meta.juz", *score,
+    )
 
 
 QUERIES = {
