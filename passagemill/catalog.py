@@ -1,4 +1,6 @@
 """Every query of the library with its oracle SQL."""
 
-from passagemill.plans.oracles import ORACLE_SQL  # noqa: F401
-from passagemill.plans.queries import QUERIES  # noqa: F401
+from passagemill.plans import formats, formats_sql, oracles, queries
+
+QUERIES = queries.QUERIES | formats.QUERIES
+ORACLE_SQL = oracles.ORACLE_SQL | formats_sql.ORACLE_SQL

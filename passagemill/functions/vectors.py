@@ -24,6 +24,13 @@ def unit(v: Column, least: float = 1e-12) -> Column:
     return F.transform(v, lambda x: (x.cast("double") / norm).cast("float"))
 
 
+def closeness(a: Column, b: Column) -> Column:
+    """struct(cosine, most): cosine of two vectors and their greatest difference at one place."""
+    norms = F.greatest(l2_norm(a) * l2_norm(b), F.lit(1e-12))
+    most = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda acc, x: F.greatest(acc, x))
+    return F.struct((dot(a, b) / norms).alias("cosine"), most.alias("most"))
+
+
 def mean_pool(vectors: Column, mask: Column) -> Column:
     """Mean of the vectors whose mask is 1; zeros where none is."""
     size = F.size(vectors[0])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,33 @@ class HybridConfig:
     results: int = 300
 
 
+def encode(rows: DataFrame, id_col: str, text: Column, encoder: Callable[[list[str]], np.ndarray], dim: int, prefix: str = "passage: ", batch: int = 128, unit: bool = True) -> DataFrame:
+    """(id, v): vectors of texts by any encoder of lists of texts, which is made or loaded once a task where it is a factory's result.
+
+    Null texts are encoded as empty ones. Vectors are of unit length unless told otherwise; a zero vector stays one.
+    """
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, batch):
+                part = b.slice(i, batch)
+                got = np.asarray(encoder([prefix + (t or "") for t in part.column(1).to_pylist()]), np.float32)
+                if got.shape != (part.num_rows, dim):
+                    raise ValueError(f"the encoder gave {got.shape}, not {(part.num_rows, dim)}")
+                if unit:
+                    got /= np.maximum(np.linalg.norm(got, axis=1, keepdims=True), 1e-12)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(got), pa.list_(pa.float32()))], ["id", "v"])
+
+    return rows.select(F.col(id_col).alias("id"), text.alias("text")).mapInArrow(run, f"id {kind}, v array<float>").withColumnRenamed("id", id_col)
+
+
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """An encoder without a model: how often each of a to z occurs, in either case."""
+    codes = [np.frombuffer(t.encode(), np.uint8) | 32 for t in texts]
+    return np.stack([np.bincount(c[(c >= 97) & (c <= 122)] - 97, minlength=26) for c in codes])
+
+
 #: Bytes of query vectors that go to a task at once.
 QUERY_BLOCK = 16 << 20
 

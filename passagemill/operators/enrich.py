@@ -86,3 +86,40 @@ def gaps(ranges: DataFrame, partition: list[str], order: str, lo: str, hi: str)
     """Ranges that do not start right after the one before."""
     before = F.lag(hi).over(W.partitionBy(*partition).orderBy(order))
     return ranges.withColumn("before", before).where(F.col("before").isNotNull() & (F.col(lo) != F.col("before") + 1))
+
+
+def key_at(positions: DataFrame, at: str, sections: DataFrame, major: str, size: str) -> DataFrame:
+    """The inverse of `position`: (major, minor) of places in the corpus, by a range join on the sections' offsets."""
+    spans = offsets(sections.select(major, size), major, size)
+    ranges = spans.select(F.col(major).cast("string").alias("name"), (F.col("offset") + 1).alias("lo"), (F.col("offset") + F.col(size)).alias("hi"), F.col(major).alias("ord"))
+    got = with_ranges(positions, at, ranges.where("lo <= hi"), 1000).withColumn(major, F.col("name").try_cast("int"))
+    return got.join(F.broadcast(spans.select(major, "offset")), major, "left").withColumn("minor", F.col(at) - F.col("offset")).drop("name", "offset")
+
+
+def build(passages: DataFrame, sections: DataFrame, ranges: DataFrame, long: DataFrame, preferred: dict[str, list[str]]) -> DataFrame:
+    """The unified passages with their 18 fields.
+
+    `passages` has (major, minor, text, transliteration, transliteration_alt, en, ur, merit), `sections` (major, name_ar, name_en, name_tr, kind, units),
+    `ranges` (name, lo, hi, ord) over places in the corpus, `long` (key, lang, translator, text). Missing texts are '', missing maps empty.
+    """
+    from passagemill.functions.values import preferred as pick
+
+    key = F.concat_ws(":", "major", "minor")
+    places = offsets(sections.select("major", "units"), "major", "units")
+    rows = with_sections(passages.withColumn("key", key), sections, "major", ["name_ar", "name_en", "name_tr", "kind"])
+    rows = rows.join(small(places.select("major", "offset")), "major", "left").withColumn("at", position(F.col("major"), F.col("minor"), F.col("offset")))
+    rows = with_ranges(rows, "at", ranges, 1000).withColumn("range", F.col("name").try_cast("int")).drop("name")
+    texts = translations(long)
+    empty = F.create_map().cast("map<string,string>")
+    for lang in ("en", "ur"):
+        own = texts.where(F.col("lang") == lang).select("key", F.col("texts").alias(f"texts_{lang}"))
+        rows = rows.join(own, "key", "left").withColumn(f"texts_{lang}", F.coalesce(f"texts_{lang}", empty))
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    best = [pick(F.col(f"texts_{lang}"), preferred.get(lang, [])) for lang in ("ur", "en")]
+    return rows.select(
+        F.col("key").alias("id"), F.col("key").alias("verse_key"), F.col("major").alias("surah"), F.col("minor").alias("ayah"), F.col("name_ar").alias("surah_name_arabic"), F.col("name_en").alias("surah_name_english"),
+        F.col("name_tr").alias("surah_name_transliteration"), F.col("kind").alias("revelation_type"), blank("text").alias("arabic"), blank("transliteration").alias("transliteration"),
+        blank("transliteration_alt").alias("transliteration_alt"), blank("en").alias("translation_en_builtin"), blank("ur").alias("translation_ur_builtin"), F.col("texts_ur").alias("translations_urdu"),
+        F.col("texts_en").alias("translations_english"), F.col("range").alias("juz"), F.col("merit").cast("int").alias("hasanat"),
+        searchable(F.col("text"), F.col("transliteration"), F.col("en"), F.col("ur"), F.col("name_ar"), F.col("name_en"), *best).alias("searchable_text"),
+    )

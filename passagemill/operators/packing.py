@@ -68,6 +68,25 @@ def manifest(files: DataFrame, name: str = "path", content: str = "content") ->
     return files.select(F.col(name).alias("name"), F.length(content).cast("bigint").alias("bytes"), F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))
 
 
+def manifest_map(listed: DataFrame, matrix: str | None = None, dtype: str = "float16", rows: int = 0, dim: int = 0) -> DataFrame:
+    """One row `files`: name -> (bytes, sha256, dtype, shape, row_major); the last three for the matrix file alone. A row a file is gathered."""
+    is_matrix = F.col("name") == F.lit(matrix)
+    entry = F.struct(
+        "bytes", "sha256", F.when(is_matrix, F.lit(dtype)).alias("dtype"), F.when(is_matrix, F.array(F.lit(rows), F.lit(dim))).alias("shape"), F.when(is_matrix, F.lit(True)).alias("row_major"),
+    )
+    return listed.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", entry.alias("entry"))))).alias("files"))
+
+
+def pack_manifest(listed: DataFrame, version: str, model: str, dim: int, rows: int, matrix_sha: str, policy: str, seed: int, most_chars: int = 1600) -> DataFrame:
+    """One row: version, counts, and blocks on the matrix, the choice of translations and the search text, with the files sorted by name."""
+    files = F.sort_array(F.collect_list(F.struct("name", "bytes", "sha256"))).alias("files")
+    return listed.agg(files).select(
+        F.lit(version).alias("pack_version"), F.lit(rows).alias("verse_count"),
+        F.struct(F.lit(model).alias("model"), F.lit(dim).alias("dim"), F.lit(rows).alias("rows"), F.lit("float16").alias("dtype"), F.lit(matrix_sha).alias("sha256_array")).alias("embedding"),
+        F.struct(F.lit(policy).alias("mode"), F.lit(seed).alias("seed")).alias("translation_policy"), F.struct(F.lit(most_chars).alias("max_chars")).alias("searchable_text"), "files",
+    )
+
+
 def verify_manifest(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """(name, problem) of files that are missing, unlisted, listed twice, or differ in bytes or hash."""
     twice = expected.groupBy("name").count().where("count > 1").select("name", F.lit("duplicate").alias("problem"))

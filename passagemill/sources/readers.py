@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import io
+import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.classic.dataframe import DataFrame
 
 SECTIONS = "number int, name_arabic string, name_english string, name_transliteration string, total_verses int, revelation_type string"
 METADATA = f"schema_version int, surahs array<struct<{SECTIONS.replace(' int', ':int').replace(' string', ':string')}>>, juz_mappings array<struct<juz:int,start:string,end:string>>"
@@ -79,27 +81,66 @@ def key_list(spark: SparkSession, path: str) -> DataFrame:
     return raw
 
 
+def records(spark: SparkSession, path: str, length: int) -> DataFrame:
+    """(pos, bytes) of a file's records of fixed length, in splits, so a file is read by many tasks and never by Python."""
+    sc = spark._jsc.sc()
+    raw = sc.binaryRecords(path, length, sc.hadoopConfiguration())
+    jdf = spark._jsparkSession.createDataset(raw, spark._jvm.org.apache.spark.sql.Encoders.BINARY()).toDF()
+    rows = DataFrame(jdf, spark).toDF("bytes").withColumn("id", F.monotonically_increasing_id())
+    part = F.shiftright("id", 33).alias("part")
+    counts = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a split
+    base = counts.select("part", before.alias("base"))
+    return rows.withColumn("part", part).join(F.broadcast(base), "part").select((F.col("base") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).alias("pos"), "bytes")
+
+
+def npy_header(spark: SparkSession, path: str) -> tuple[int, np.dtype, tuple[int, int]]:
+    """(bytes before the data, dtype, shape) of a .npy file of two dimensions in row order."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        head = bytearray()
+        while len(head) < 1 << 16 and (b := stream.read()) >= 0:
+            head.append(b)
+            if len(head) >= 10 and len(head) >= 10 + int.from_bytes(head[8:10], "little"):
+                break
+    finally:
+        stream.close()
+    buf = io.BytesIO(bytes(head))
+    if np.lib.format.read_magic(buf) != (1, 0):
+        raise ValueError("not a .npy file of version 1.0")
+    shape, by_column, dtype = np.lib.format.read_array_header_1_0(buf)
+    if len(shape) != 2 or by_column:
+        raise ValueError("matrix must have two dimensions, in row order")
+    return buf.tell(), dtype, shape
+
+
 def matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(row, vector) of .npy files of two dimensions; each file is decoded by one Arrow task."""
+    """(row, vector) of a .npy file of two dimensions, read in splits.
+
+    Records are as long as the greatest common divisor of header and row, and a row's records are put together again.
+    """
+    header, dtype, (n, dim) = npy_header(spark, path)
+    length = dim * dtype.itemsize
+    size = math.gcd(header, length)
+    parts = records(spark, path, size).where(F.col("pos") >= header // size).withColumn("pos", F.col("pos") - header // size)
+    each = length // size
+    pieces = F.sort_array(F.collect_list(F.struct("pos", "bytes")))
+    rows = parts.groupBy(F.floor(F.col("pos") / each).alias("row")).agg(F.aggregate(pieces, F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["bytes"])).alias("bytes"))
 
-    def decode(frames):
-        for f in frames:
-            for content in f["content"]:
-                got = np.load(io.BytesIO(content), allow_pickle=False)
-                if got.ndim != 2:
-                    raise ValueError("matrix must have two dimensions")
-                yield pd.DataFrame({"row": np.arange(len(got)), "vector": list(got.astype(np.float32))})
+    def decode(batches):
+        for batch in batches:
+            got = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype).reshape(batch.num_rows, -1).astype(np.float32) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(got), pa.list_(pa.float32()))], ["row", "vector"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, "row bigint, vector array<float>")
+    return rows.where(F.col("row") < n).mapInArrow(decode, "row bigint, vector array<float>")
 
 
 def half_matrix(spark: SparkSession, path: str, dim: int) -> DataFrame:
     """(row, vector) of a row-major half-precision file, read in fixed records, so it splits over tasks."""
-    raw = spark.sparkContext.binaryRecords(path, 2 * dim).zipWithIndex().map(lambda x: (x[1], bytearray(x[0])))
-    rows = spark.createDataFrame(raw, T.StructType([T.StructField("row", T.LongType()), T.StructField("bytes", T.BinaryType())]))
     from passagemill.functions.vectors import from_half_bytes
 
-    return rows.select("row", from_half_bytes("bytes").alias("vector"))
+    return records(spark, path, 2 * dim).select(F.col("pos").alias("row"), from_half_bytes("bytes").alias("vector"))
 
 
 def yaml_rows(spark: SparkSession, path: str, schema: str, root: str) -> DataFrame:
@@ -123,3 +164,9 @@ def files(spark: SparkSession, pattern: str) -> DataFrame:
     """(name, bytes, sha256) of files; a large file must fit into one row of an executor."""
     raw = spark.read.format("binaryFile").load(pattern)
     return raw.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def counted(spark: SparkSession, rows: DataFrame, expected: int, code: str = "W_ROW_COUNT") -> DataFrame:
+    """An issue row (level, code, message, path) where a base table has another number of rows; a warning, so nothing fails."""
+    n = rows.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != expected)
+    return n.select(F.lit("warning").alias("level"), F.lit(code).alias("code"), F.concat(F.col("n"), F.lit(f" rows, expected {expected}")).alias("message"), F.lit("rows").alias("path"))
