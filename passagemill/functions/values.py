@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 
 
 def round6(c: Column) -> Column:
-    return F.round(c.cast("double"), 6)
+    """Six digits, by the exact binary value, half to even; the product's rounding error is told by splitting the factor."""
+    x = c.cast("double")
+    p, big = x * 1e6, x * 134217729.0
+    high = big - (big - x)
+    error = (high * 1e6 - p) + (x - high) * 1e6
+    low = F.floor(p).cast("double")
+    rest = p - low
+    odd = F.pmod(low, F.lit(2.0)) == 1
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & odd)))
+    return F.when(F.abs(x) < 4e9, (low + F.when(up, 1.0).otherwise(0.0)) / 1e6).otherwise(x)
 
 
 def filled(*options: Column) -> Column:
@@ -53,3 +62,8 @@ def case_unique(items: Column) -> Column:
 
 def sha256(c: Column) -> Column:
     return F.sha2(F.encode(c, "UTF-8"), 256)
+
+
+def utc_now() -> Column:
+    """The time of the query as ISO 8601 in UTC; equal in all rows."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas import types
 
-from passagemill.functions.values import min_max
+from passagemill.functions.values import min_max, round6
 from passagemill.functions.vectors import dot
 from passagemill.operators.sizes import small
 
@@ -110,8 +110,8 @@ def scan_candidates(queries: DataFrame, vectors: DataFrame, candidates: DataFram
 
 def merge(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
     """(qid, doc, bm25, semantic): keys of either side, rounded to 6 places, the missing side null."""
-    a = lexical.select("qid", "doc", F.round("score", 6).alias("bm25"))
-    b = semantic.select("qid", "doc", F.round("score", 6).alias("semantic"))
+    a = lexical.select("qid", "doc", round6(F.col("score")).alias("bm25"))
+    b = semantic.select("qid", "doc", round6(F.col("score")).alias("semantic"))
     return a.join(b, ["qid", "doc"], "full_outer")
 
 
@@ -124,7 +124,7 @@ def stable_rank(value: str, ties: tuple[str, ...] = ("doc",)) -> Column:
 def fuse(ranked: DataFrame, lexical: Column, semantic: Column, cfg: HybridConfig = HybridConfig()) -> DataFrame:
     """Weighted reciprocal ranks of rows that have `rb` and `rs`; a missing side gives 0."""
     part = lambda w, r: F.coalesce(w / (F.lit(float(cfg.rrf_k)) + F.col(r)), F.lit(0.0))
-    scored = ranked.withColumn("rrf", F.round(part(lexical, "rb") + part(semantic, "rs"), 6)).drop("rb", "rs")
+    scored = ranked.withColumn("rrf", round6(part(lexical, "rb") + part(semantic, "rs"))).drop("rb", "rs")
     return scored.withColumn("rank", stable_rank("rrf")).where(F.col("rank") <= cfg.results)
 
 
@@ -137,12 +137,12 @@ def weighted_min_max(merged: DataFrame, cfg: HybridConfig = HybridConfig()) -> D
     """(qid, doc, bm25, semantic, fused, rank): both sides scaled to 0..1 within the query, a missing side is 0."""
     filled = merged.fillna(0.0, ["bm25", "semantic"])
     fused = cfg.lexical * min_max(F.col("bm25"), "qid") + cfg.semantic * min_max(F.col("semantic"), "qid")
-    scored = filled.withColumn("fused", F.round(fused, 6))
+    scored = filled.withColumn("fused", round6(fused))
     return scored.withColumn("rank", stable_rank("fused")).where(F.col("rank") <= cfg.results)
 
 
 def lexical_only(lexical: DataFrame, cfg: HybridConfig = HybridConfig()) -> DataFrame:
-    scored = lexical.select("qid", "doc", F.round("score", 6).alias("bm25"))
+    scored = lexical.select("qid", "doc", round6(F.col("score")).alias("bm25"))
     return scored.withColumn("rank", stable_rank("bm25")).where(F.col("rank") <= cfg.results)
 
 

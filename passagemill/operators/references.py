@@ -164,6 +164,14 @@ def lookup_aliases(queries: DataFrame, targets: DataFrame, compat: bool = True)
     return q.join(small(expand_targets(known)), "alias").select("qid", "major", "minor").distinct()
 
 
+def structural_order(keys: DataFrame) -> DataFrame:
+    """(qid, major, minor, ord): each key of a query once, in numeric order."""
+    from pyspark.sql import Window as W
+
+    place = F.row_number().over(W.partitionBy("qid").orderBy("major", "minor"))
+    return keys.select("qid", "major", "minor").distinct().withColumn("ord", place)
+
+
 def route(parsed: DataFrame, resolved: DataFrame, aliased: DataFrame, has_vectors: bool = True) -> DataFrame:
     """(qid, intent): structural where a reference or an alias resolves to rows, else hybrid or lexical; empty queries are lexical."""
     hit = resolved.select("qid").union(aliased.select("qid")).distinct().withColumn("hit", F.lit(True))

@@ -80,17 +80,27 @@ def passages_mentions(blocks: DataFrame, group: list[str], major: str, most: int
     return blocks.withColumn("rank", rank).withColumn("kind", F.when(F.col("rank") <= most, "passage").otherwise("mention"))
 
 
-def mine_variants(seeds: DataFrame, surfaces: DataFrame, cap: int = 12) -> DataFrame:
-    """(canonical, variant, ord): seed variants and surface forms with the canonical's normalized form.
+def mine_variants(seeds: DataFrame, surfaces: DataFrame, cap: int = 12, rules: bool = False) -> DataFrame:
+    """(canonical, variant, ord): seed variants and surface forms with the canonical's normalized form, and with `rules` those of `rule_variants`.
 
     `seeds` has (canonical, variant), `surfaces` (norm, surface). The canonical itself and empty forms go.
     """
     names = seeds.select("canonical").distinct()
     mined = surfaces.join(small(names.withColumn("norm", F.lower("canonical"))), "norm").select("canonical", F.col("surface").alias("variant"))
+    mined = mined.union(rule_variants(names)) if rules else mined
     both = seeds.select("canonical", "variant").union(mined).where("variant <> canonical and trim(variant) <> ''").distinct()
     return capped(both, cap, ["canonical"], [F.lower("variant"), F.col("variant")], "ord")
 
 
+def corpus_variants(seeds: DataFrame, surfaces: DataFrame, cap: int = 16) -> DataFrame:
+    """(canonical, variant, ord): seed variants that the corpus has, and its surface forms; of spellings that differ by case alone the first."""
+    own = seeds.withColumn("norm", F.lower("variant")).join(surfaces.select("norm").distinct(), "norm", "left_semi").select("canonical", "variant")
+    names = seeds.select("canonical").distinct()
+    mined = surfaces.join(small(names.withColumn("norm", F.lower("canonical"))), "norm").select("canonical", F.col("surface").alias("variant"))
+    both = own.union(mined).where("variant <> canonical").groupBy("canonical", F.lower("variant").alias("low")).agg(F.min("variant").alias("variant"))
+    return capped(both, cap, ["canonical"], [F.col("low")], "ord").select("canonical", "variant", "ord")
+
+
 def prune_triggers(triggers: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Triggers that occur in their language's vocabulary; topics without one vanish."""
     return triggers.join(vocabulary.select("lang", "token").distinct(), ["lang", "token"], "left_semi")
@@ -124,6 +134,25 @@ def compile_topics(postings: DataFrame, triggers: DataFrame, negatives: DataFram
     return without_negatives(found, matches(postings, negatives))
 
 
+def build_ontology(triggers: DataFrame, entities: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(topic, kind, lang, token): topics with their triggers, and an entity and a story of each of `entities` (entity, lang, token).
+
+    Triggers that the corpus lacks in their language go, and topics without any vanish.
+    """
+    named = lambda kind: entities.select(F.concat(F.lit(f"{kind}_"), "entity").alias("topic"), F.lit(kind).alias("kind"), "lang", "token")
+    every = triggers.select("topic", F.lit("topic").alias("kind"), "lang", "token").unionByName(named("entity")).unionByName(named("story"))
+    return prune_triggers(every.distinct(), vocabulary).select("topic", "kind", "lang", "token")
+
+
+def build_groups(found: DataFrame, anchors: DataFrame, cap: int = 40) -> DataFrame:
+    """(topic, group, major, minor, is_anchor): a group's anchors always, then what its triggers match, in key order, up to the cap."""
+    name = F.to_json(F.struct("topic", "group"))
+    none = found.limit(0).select(F.lit("").alias("topic"), "major", "minor")
+    got = build_topics(found.withColumn("topic", name), anchors.withColumn("topic", name), none, cap)
+    key = F.from_json("topic", "topic string, group string")
+    return got.select(key["topic"].alias("topic"), key["group"].alias("group"), "major", "minor", "is_anchor")
+
+
 def fill_groups(groups: DataFrame, anchors: DataFrame, cap: int = 3) -> DataFrame:
     """(topic, group, major, minor): each group's own keys up to the cap; an empty group borrows its topic's anchors."""
     own = capped(groups.where("major is not null"), cap, ["topic", "group"], [F.col("major"), F.col("minor")]).select("topic", "group", "major", "minor")

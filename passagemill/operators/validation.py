@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -124,6 +127,15 @@ def compare_counts(local: DataFrame, other: DataFrame) -> DataFrame:
     return issue(both.where("not (a <=> b)"), "error", "E_ONLINE_SURAH_VERSECOUNT_MISMATCH", F.concat_ws(" vs ", F.coalesce(F.col("a").cast("string"), F.lit("none")), F.coalesce(F.col("b").cast("string"), F.lit("none"))), F.col("major"))
 
 
+def compare_ranges(local: DataFrame, other: DataFrame) -> DataFrame:
+    """Ranges (number, start, end) against a second source; one that the source lacks is a warning."""
+    both = local.select("number", F.struct("start", "end").alias("a")).join(other.select("number", F.struct("start", "end").alias("b")), "number", "left")
+    return report(
+        issue(both.where("b is null"), "warning", "W_ONLINE_JUZ_MISSING", F.lit("not in the other source"), F.col("number")),
+        issue(both.where("b is not null and a <> b"), "error", "E_ONLINE_JUZ_BOUNDARY_MISMATCH", F.concat_ws(" ", "a.start", "a.end", F.lit("vs"), "b.start", "b.end"), F.col("number")),
+    )
+
+
 def topic_pack(keys: DataFrame, topics: DataFrame, corpus: DataFrame, topic: str, key: str, most: int, kind: str) -> DataFrame:
     """Key lists of topics or groups: not empty, at most `most`, unique, known."""
     n = keys.groupBy(topic).agg(F.count(F.lit(1)).alias("n"))
@@ -195,3 +207,67 @@ def root_keys(spark, path: str) -> DataFrame:
     found = [rule("E_MISSING_SURAHS", "no list of sections")] if got[1] else [rule("E_SURAHS_TYPE", got[3][:100])] if not got[3].startswith("ARRAY") else []
     found += [rule("E_MISSING_JUZ", "no list of ranges")] if got[2] else []
     return report(*found) if found else spark.createDataFrame([], ", ".join(f"{c} string" for c in ISSUE))
+
+
+# --- JSON Schema -----------------------------------------------------------------------------------
+
+_KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+
+
+def _is(value, kind: str) -> bool:
+    if kind == "integer":
+        return isinstance(value, int) and not isinstance(value, bool) or isinstance(value, float) and value.is_integer()
+    if kind == "number":
+        return isinstance(value, (int, float)) and not isinstance(value, bool)
+    return isinstance(value, _KINDS[kind])
+
+
+def schema_errors(value, schema: dict | bool, at: str = "") -> list[tuple[str, str]]:
+    """(pointer, keyword) of every rule of a JSON Schema that a value breaks, sorted; rules of types, numbers, texts, lists and objects."""
+    if schema is True:
+        return []
+    if schema is False:
+        return [(at, "false")]
+    step = lambda k: f"{at}/{str(k).replace('~', '~0').replace('/', '~1')}"
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(_is(value, k) for k in kinds):
+        return [(at, "type")]
+    out = [(at, k) for k, bad in (("enum", "enum" in schema and value not in schema["enum"]), ("const", "const" in schema and value != schema["const"])) if bad]
+    if _is(value, "number"):
+        out += [(at, k) for k, bad in (("minimum", value < schema.get("minimum", value)), ("maximum", value > schema.get("maximum", value))) if bad]
+    if isinstance(value, str):
+        out += [(at, "minLength")] * (len(value) < schema.get("minLength", 0)) + [(at, "pattern")] * ("pattern" in schema and not re.search(schema["pattern"], value))
+    if isinstance(value, list):
+        out += [(at, "minItems")] * (len(value) < schema.get("minItems", 0)) + [(at, "maxItems")] * (len(value) > schema.get("maxItems", len(value)))
+        if schema.get("uniqueItems") and len({json.dumps(x, sort_keys=True) for x in value}) < len(value):
+            out.append((at, "uniqueItems"))
+        if "items" in schema:
+            out += [e for i, x in enumerate(value) for e in schema_errors(x, schema["items"], step(i))]
+    if isinstance(value, dict):
+        out += [(at, "required") for k in schema.get("required", []) if k not in value]
+        known = schema.get("properties", {})
+        more = schema.get("additionalProperties", True)
+        out += [(at, "additionalProperties")] * (more is False and any(k not in known for k in value))
+        out += [e for k, x in value.items() if k in known or more is not False for e in schema_errors(x, known.get(k, more), step(k))]
+    return sorted(out)
+
+
+def json_schema(rows: DataFrame, id_col: str, json_col: str, schema: dict) -> DataFrame:
+    """Issues (id, level, code, message, path) of JSON texts: every broken rule by its pointer; a text that is no JSON has one issue, null none."""
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                if text is None:
+                    continue
+                try:
+                    out += [(i, "E_SCHEMA", rule, at or "/") for at, rule in schema_errors(json.loads(text), schema)]
+                except ValueError:
+                    out.append((i, "E_JSON_PARSE", "not JSON", "/"))
+            at = pa.array([x[0] for x in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(["error"] * len(out), pa.string()), *(pa.array([x[k] for x in out], pa.string()) for k in (1, 2, 3))], ["id", *ISSUE])
+
+    return rows.select(F.col(id_col).alias("id"), F.col(json_col).alias("j")).mapInArrow(run, f"id {kind}, " + ", ".join(f"{c} string" for c in ISSUE)).withColumnRenamed("id", id_col)

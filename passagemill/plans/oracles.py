@@ -73,8 +73,15 @@ rk AS (SELECT *, CASE WHEN bm25 IS NOT NULL THEN row_number() OVER (PARTITION BY
   CASE WHEN semantic IS NOT NULL THEN row_number() OVER (PARTITION BY qid ORDER BY semantic DESC NULLS LAST, doc) END AS rs FROM merged)"""
 
 
+def r6(x: str) -> str:
+    """Six digits by the exact binary value, half to even."""
+    p, h = "(v * 1e6)", "(v * 134217729::DOUBLE - (v * 134217729::DOUBLE - v))"
+    rest, error = f"({p} - floor({p}))", f"(({h} * 1e6 - {p}) + (v - {h}) * 1e6)"
+    return f"list_transform([({x})::DOUBLE], lambda v: (floor({p}) + CASE WHEN {rest} > 0.5 OR ({rest} = 0.5 AND ({error} > 0 OR ({error} = 0 AND floor({p}) % 2 = 1))) THEN 1 ELSE 0 END) / 1e6)[1]"
+
+
 def rrf(source: str = "rk", a: float = 0.7, b: float = 0.3) -> str:
-    return f"SELECT qid, doc, bm25, semantic, round(coalesce({a!r} / (60.0::DOUBLE + rb), 0) + coalesce({b!r} / (60.0::DOUBLE + rs), 0), 6) AS rrf FROM {source}"
+    return f"SELECT qid, doc, bm25, semantic, {r6(f"coalesce({a!r}::DOUBLE / (60.0::DOUBLE + rb), 0) + coalesce({b!r}::DOUBLE / (60.0::DOUBLE + rs), 0)")} AS rrf FROM {source}"
 
 
 RRF = f"SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, doc) AS rank FROM ({rrf()}) QUALIFY rank <= 300"
@@ -209,7 +216,7 @@ SELECT qid::INT AS qid, CASE WHEN qid IN (SELECT qid FROM hit) THEN 'structural'
     "hybrid_rrf": f"{BOTH} {RRF}",
     "hybrid_minmax": f"""{BOTH}, z AS (SELECT qid, doc, coalesce(bm25, 0) AS b, coalesce(semantic, 0) AS s FROM merged),
 m AS (SELECT *, min(b) OVER w AS b0, max(b) OVER w AS b1, min(s) OVER w AS s0, max(s) OVER w AS s1 FROM z WINDOW w AS (PARTITION BY qid)),
-f AS (SELECT qid, doc, round(0.7 * ((b - b0) / CASE WHEN b1 - b0 < 1e-9 THEN 1 ELSE b1 - b0 END) + 0.3 * ((s - s0) / CASE WHEN s1 - s0 < 1e-9 THEN 1 ELSE s1 - s0 END), 6) AS fused FROM m)
+f AS (SELECT qid, doc, {r6("0.7::DOUBLE * ((b - b0) / CASE WHEN b1 - b0 < 1e-9 THEN 1 ELSE b1 - b0 END) + 0.3::DOUBLE * ((s - s0) / CASE WHEN s1 - s0 < 1e-9 THEN 1 ELSE s1 - s0 END)")} AS fused FROM m)
 SELECT qid, doc, fused FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY fused DESC, doc) <= 300""",
     "lexical_mode": f"{BASE}, lx AS ({top(LEX, 80)}) SELECT qid, doc, round(score, 6) AS bm25, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS rank FROM lx",
     "batch_hybrid": "WITH " + bm25(TEXT, f"SELECT item_id AS qid, 'text' AS field, unnest({terms('text')}) AS token FROM benchmark") + f""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from passagemill.functions import text as T
 from passagemill.functions import values as V
+from passagemill.functions import vectors
 from passagemill.operators import bm25, dense, enrich, evaluation, packing, references, response, topics, validation
 from passagemill.operators.sizes import small
 from passagemill.plans import inputs as I
@@ -70,7 +71,7 @@ def lang_hint(spark, sf_dir):
 
 
 def nfkc_fold(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", V.sha256(T.normalize(F.col("html"))).alias("sha"), F.length(T.nfkc(F.col("html"))).alias("n"))
+    return table(spark, sf_dir, "pages").select("page_id", V.sha256(T.normalize(F.col("html"))).alias("sha"), F.length(T.nfkc(F.col("html"))).cast("bigint").alias("n"))
 
 
 def synonym_expand(spark, sf_dir):
@@ -510,8 +511,10 @@ def row_numbers(spark, sf_dir):
 
 
 def half_matrix(spark, sf_dir):
-    rows = packing.half_matrix(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return rows.select("row", "vec_id", F.sha2("bytes", 256).alias("sha256"), F.length("bytes").alias("n"))
+    """Half-precision rows: their place, length, and whether they read as the vectors to within half precision."""
+    rows = packing.half_matrix(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").join(table(spark, sf_dir, "embeddings"), "vec_id")
+    off = F.zip_with(vectors.from_half_bytes("bytes"), "embedding", lambda a, b: F.abs(a - b) <= 0.0005)
+    return rows.select("row", "vec_id", F.length("bytes").cast("bigint").alias("n"), F.forall(off, lambda x: x).alias("near"))
 
 
 def split_texts(spark, sf_dir):

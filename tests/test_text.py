@@ -73,3 +73,12 @@ def test_vectors(spark):
     df = spark.sql("select array(cast(3 as float), cast(4 as float)) as v, array(array(cast(1 as float)), array(cast(5 as float))) as m, array(1, 0) as k")
     got = df.select(vectors.dot("v", "v").alias("d"), vectors.unit(F.col("v")).alias("u"), vectors.from_half_bytes(vectors.half_bytes("v")).alias("h"), vectors.mean_pool(F.col("m"), F.col("k")).alias("p")).first()
     assert got["d"] == 25 and [round(x, 6) for x in got["u"]] == [0.6, 0.8] and got["h"] == [3, 4] and got["p"] == [1]
+
+
+def test_round6_is_exact(spark):
+    import random
+
+    rng = random.Random(4)
+    xs = [0.1234565, 2.0000005, -0.1234565, 0.5e-6, 1.5e-6, 0.0146875, 1e9 + 0.1234565, 5e12, 0.0, -0.0000005] + [rng.randrange(-(10**9), 10**9) / 1e7 * 10 ** rng.randrange(0, 3) + rng.choice((0, 0.5e-6)) for _ in range(3000)]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", V.round6(F.col("x")).alias("r")).collect()
+    assert all(r["r"] == round(xs[r["i"]], 6) for r in got)
