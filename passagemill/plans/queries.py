@@ -271,7 +271,7 @@ def batch_hybrid(spark, sf_dir):
     terms = items.select(F.col("item_id").alias("qid"), F.lit("text").alias("field"), F.explode(T.latin_terms(F.col("text"))).alias("token"))
     lexical = bm25.top(rounded(bm25.score(terms, _index(spark, sf_dir)), 4, "score"), dense.HybridConfig.lexical_top)
     vectors = _vectors(spark, sf_dir)
-    q = vectors.join(F.broadcast(items.select(F.col("item_id").alias("doc"))), "doc", "left_semi").select(F.col("doc").alias("qid"), F.col("v").alias("q"))
+    q = vectors.join(small(items.select(F.col("item_id").alias("doc"))), "doc", "left_semi").select(F.col("doc").alias("qid"), F.col("v").alias("q"))
     known = vectors.join(docs_of(spark, sf_dir).select(F.col("doc_id").alias("doc")), "doc", "left_semi")
     semantic = bm25.top(dense.scan(q, known, dense.HybridConfig.semantic_top), dense.HybridConfig.semantic_top)
     return dense.rrf(dense.merge(lexical, semantic)).where("rank <= 5").select("qid", "doc", "rrf", "rank")
