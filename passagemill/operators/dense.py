@@ -14,7 +14,7 @@ from pyspark.sql.pandas import types
 
 from passagemill.functions.values import min_max, round6
 from passagemill.functions.vectors import dot
-from passagemill.operators.sizes import small
+from passagemill.operators.sizes import is_small, small
 
 
 @dataclass(frozen=True)
@@ -93,7 +93,8 @@ def scan(queries: DataFrame, vectors: DataFrame, top: int | None = None, digits:
         got = source.mapInArrow(block(ids, np.array([r["q"] for r in held], np.float64)), schema)
         return got if found is None else found.union(got)
 
-    for r in queries.where("q is not null").select("qid", "q").toLocalIterator():
+    asked = queries.where("q is not null").select("qid", "q")
+    for r in asked.collect() if is_small(asked, most_bytes=QUERY_BLOCK) else asked.toLocalIterator():
         held.append(r)
         size += 8 * len(r["q"])
         if size >= QUERY_BLOCK:
