@@ -43,16 +43,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near-duplicates (five-word shingles, similarity 0.8): of its rows the one with the least id.
 
-    Rows are told apart by numbers of their own, so rows that share an id, or have none, are judged each by its text.
+    Rows are told apart by numbers of their own, given in the order of ids, so rows that share an id, or have none, are
+    judged each by its text, and the least number of a group is that of its least id.
     """
     ship(spark)
     ws, number = Workspace(spark, "dedup-stage"), fresh("row_number", docs.columns)
-    rows = ws.write(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    order = [F.col("doc_id").asc_nulls_last(), F.col(number)]
+    rows = docs.withColumn(number, F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = ws.write(rows.withColumn(number, F.monotonically_increasing_id()), "rows")
     found = minhash_dedup.near_duplicates(rows.select(number, "text"), id_col=number)
-    named = found.join(rows.select(number, "doc_id"), number)
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", number)).alias("first")
-    kept = ws.write(named.groupBy("component_id").agg(first).select(F.col(f"first.{number}").alias(number)), "kept")
-    return only_keys(rows, kept, number).select(*docs.columns)
+    return only_keys(rows, ws.write(found.where("kept").select(number), "kept"), number).select(*docs.columns)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
