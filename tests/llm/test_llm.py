@@ -824,11 +824,27 @@ def test_pipeline(spark):
     clean = "Here are some plain words of a text that nobody would mind to read on an evening by the fire with a cup of tea"
     odd = spark.createDataFrame([(None, None, None, None, None, None), (None, "", "en", None, 0, "s"), (7777, None, None, None, None, None), (3, clean, "en", "x", 9, "s"), (None, clean, "en", "x", 9, "s")], base.schema)
     docs = base.union(odd).union(base.limit(2))
+    labels, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
+    told = {"toxicity": (toxicity, 3, 1, walked, lambda x: x < 0.7), "quality": (quality, 5, 0, compressed, lambda x: x >= 0.3)}
+    every = lambda df: sorted((str(r["doc_id"]), str(r["text"])) for r in df.collect())
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, stage(spark, docs, SF).persist()
         assert docs.count() <= before.count()
         if name != "bpe":
             assert docs.columns == before.columns
+        if name in told:
+            module, folds, fold, brute, keeps = told[name]
+            model = module.fit(before.select("doc_id", "text"), labels, text_crc(F.col("doc_id")) % folds != fold)
+            assert every(docs) == sorted((str(r["doc_id"]), str(r["text"])) for r in before.collect() if keeps(brute(model, r["text"])))
+        if name == "decontamination":
+            hit = {r["doc_id"] for r in before.collect() if any(i["text"] in (r["text"] or "") for i in items.collect())}
+            assert every(docs) == sorted((str(r["doc_id"]), str(r["text"])) for r in before.collect() if r["doc_id"] not in hit)
+        if name == "bpe":
+            from tokenizers import Tokenizer
+
+            theirs = Tokenizer.from_file(TOKENIZER)
+            want = sorted((str(r["doc_id"]), np.array(theirs.encode(r["text"] or "", add_special_tokens=False).ids, "<u4").tobytes()) for r in before.collect())
+            assert sorted((str(r["doc_id"]), bytes(r["ids"])) for r in docs.collect()) == want
         if name == "near_dedup":
             # One row of every group, the one with the least id; equal ids with other texts are other documents.
             rows = [(i, r["text"]) for i, r in enumerate(before.collect())]
