@@ -78,6 +78,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/work-{label}-{uuid.uuid4().hex}"
+        _roots.add(self.root)  # here, so that a scratch opened later leaves this workspace alone
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"

@@ -16,7 +16,7 @@ import public_tokenizers  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from passagemill.llm import bpe, bytewords, chat_format, decontaminate, gif, html_extract, minhash_dedup, quality, queries, token_cache, toxicity, url_reputation  # noqa: E402
-from passagemill.llm.common import salted_join, ship, text_crc  # noqa: E402
+from passagemill.llm.common import Workspace, salted_join, scratch, ship, text_crc  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
@@ -856,3 +856,24 @@ def test_pipeline(spark):
         if name == "decontamination":
             assert not decontaminate.contaminated(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).count()
     assert docs.count() > 50 and docs.where("not round_trip").count() == 0
+
+
+@needs_data
+def test_pipeline_run(spark):
+    """`run` returns the rows of its stages one after another, and leaves its result alone."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF).persist()
+    every = lambda df: sorted((r["doc_id"], r["n_tokens"], bytes(r["ids"]), r["round_trip"]) for r in df.collect())
+    got = corpus_pipeline.run(spark, SF)
+    assert got.columns == docs.columns and every(got) == every(docs) and len(every(got)) > 50
+    assert {f.split("/")[-2] for f in got.inputFiles()} == {"bpe"}
+
+
+def test_scratch_spares_workspaces_opened_before(spark):
+    ws = Workspace(spark, "outer")
+    with scratch(spark):
+        kept, inner = ws.write(spark.range(3), "kept"), Workspace(spark, "inner")
+        inner.write(spark.range(3), "gone")
+    assert kept.count() == 3 and not os.path.exists(inner.root.removeprefix("file:"))
