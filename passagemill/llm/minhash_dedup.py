@@ -10,7 +10,8 @@
    list them. In crowded ones they are compared inside the tasks that hold the bucket, block by
    block, on longer signatures, each pair in the first band that its two texts share; only pairs that
    survive the posterior test leave a task.
-4. Components by least-label propagation with pointer jumping.
+4. Components by least-label propagation with pointer jumping: over written tables, or, where there
+   are at most `local_edges` links, in the driver's arrays, as each step over tables is a dozen stages.
 
 Nulls and edge cases: a null, empty or blank text has an empty set and links with nothing; fewer
 words than a shingle give one shingle; rows with a null id come back unlinked, with a null
@@ -45,6 +46,7 @@ class Config:
     long: int = 1024  # hashes of the signatures that crowded buckets compare
     long_batch: int = 64
     block: int = 2000  # members of a crowded bucket that are compared with as many in one task
+    local_edges: int = 1_000_000  # links, 16 bytes each, whose components the driver finds; beyond it Spark does
 
 
 def _family(n: int) -> np.ndarray:
@@ -170,8 +172,25 @@ def verified(ws: Workspace, pairs: DataFrame, sketches: DataFrame, texts: DataFr
     return out
 
 
-def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
-    """(id, component): the least id reachable, for every id on an edge (a, b)."""
+def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids on the edges (a, b), ascending, and the least id that each reaches."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, label = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while True:
+        x, y = label[a], label[b]
+        if not (x != y).any():
+            return ids, ids[label]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def components(ws: Workspace, edges: DataFrame, name: str, local: int = Config.local_edges) -> DataFrame:
+    """(id, component): the least id reachable, for every id on an edge (a, b); `edges` is written."""
+    if edges.count() <= local:
+        found = edges.select("a", "b").where("a <> b").toArrow()
+        ids, labels = least_labels(found["a"].to_numpy(), found["b"].to_numpy())
+        return ws.write(ws.spark.createDataFrame(pa.table({"id": ids, "component": labels}), "id bigint, component bigint"), f"{name}-0")
     both = ws.write(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct().toDF("id", "other"), f"{name}-both")
     labels = ws.write(both.groupBy("id").agg(F.min("other").alias("m")).select("id", F.least("id", "m").alias("component")), f"{name}-0")
     step, hot = 0, hot_keys(both, "other")
@@ -300,7 +319,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         own = ids.join(several.hint("merge"), "id", "left_semi").select("id", "digest").distinct().join(groups, "digest").select("id", F.col("rep").alias("b"))
         least = own.groupBy("id").agg(F.min("b").alias("a"))
         edges = ws.write(edges.union(own.join(least, "id").select("a", "b")), "tied-edges")
-    labels = components(ws, edges, "first")
+    labels = components(ws, edges, "first", cfg.local_edges)
 
     left = members.where("members > 2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     left = ws.write(left, "open")
@@ -314,7 +333,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cross = ws.write(cross, "cross")
     if cross.limit(1).count():
         edges = edges.union(verified(ws, cross, sketches, texts, cfg, "cross"))
-        labels = components(ws, edges, "second")
+        labels = components(ws, edges, "second", cfg.local_edges)
 
     # Rows of the largest groups of copies find their component by broadcast, so none crowds one task.
     named = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("found"))

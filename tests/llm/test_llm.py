@@ -92,6 +92,46 @@ def test_near_duplicates(spark, cfg):
     assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"]) for r in rows)
 
 
+def linked(seed):
+    """A long chain, a star, loops, repeated and scattered links, in no order."""
+    rng = random.Random(seed)
+    name = rng.sample(range(-(10**12), 10**12), 400)
+    links = [(name[i], name[i + 1]) for i in range(80)] + [(name[100], name[i]) for i in range(101, 200)] + [(name[7], name[7]), (name[399], name[399])]
+    links += [(name[rng.randrange(200, 390)], name[rng.randrange(200, 390)]) for _ in range(90)]
+    links += [(b, a) for a, b in links[:30]]
+    rng.shuffle(links)
+    return links
+
+
+@pytest.mark.parametrize("local", [0, minhash_dedup.Config.local_edges])
+@pytest.mark.parametrize("links", [[], [(5, 5)], linked(1), linked(2)], ids=["none", "loop", "one", "two"])
+def test_components(spark, local, links):
+    reach = {x: {x} for link in links for x in link}
+    for a, b in links:
+        for x in (both := reach[a] | reach[b]):
+            reach[x] = both
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(group := f"components-{local}-{len(links)}-{links[:1]}", "")
+    ws = Workspace(spark, "components")
+    edges = ws.write(spark.createDataFrame(links, "a bigint, b bigint"), "edges")
+    seen = len(jobs.getJobIdsForGroup(group))
+    got = minhash_dedup.components(ws, edges, "some", **({"local": 0} if not local else {}))
+    # A few links must not cost the steps of a large graph.
+    assert not local or len(jobs.getJobIdsForGroup(group)) - seen <= 4
+    assert sorted(map(tuple, got.collect())) == sorted((x, min(r)) for x, r in reach.items() if len(r) > 1)
+    spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_near_duplicates_over_tables(spark):
+    """The components of more links than the driver takes."""
+    rng = random.Random(4)
+    docs = [(i, t) for i, t in enumerate([t for _ in range(6) for t in family(rng, 5, 60, 3)] + [None, "", "one two"])]
+    cfg = minhash_dedup.Config(shingle=4, local_edges=0)
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(docs, DOC), cfg=cfg).collect()
+    want = brute_components(docs, 4)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(want)
+
+
 def test_prune_bounds():
     tests = minhash_dedup.least_matches(minhash_dedup.Config())
     assert [m for m, _ in tests] == [40, 80, 120, 160, 200, 240] and all(0 < k < 0.8 * m for m, k in tests)
