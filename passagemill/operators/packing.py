@@ -96,14 +96,30 @@ def verify_manifest(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return both.select("name", problem.alias("problem")).where("problem is not null").union(twice)
 
 
+#: Rows that a task numbers at most, near enough, and most ranges.
+RANGE, MOST_RANGES = 100_000, 1000
+
+
 def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """Row numbers from 0 in string order of the key, by range partitions, so no task holds all rows."""
-    ordered = rows.withColumn("_k", F.col(key).cast("string")).repartitionByRange("_k").withColumn("_p", F.spark_partition_id())
-    counts = ordered.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    base = counts.select("_p", before.alias("_base"))
+    """Row numbers from 0 in string order of the key, by ranges of keys, so no task holds all rows.
+
+    The ranges' bounds are values in the plan and not the sample that Spark draws anew wherever a range partitioning is
+    evaluated: with those, the rows before a range were counted over other ranges than the rows were numbered in.
+    """
+    keyed = rows.withColumn("_k", F.col(key).cast("string"))
+    n = keyed.count()
+    ranges = min(MOST_RANGES, n // RANGE + 1)
+    place, before = F.lit(0), F.lit(0)
+    if ranges > 1:
+        # Bounds only deal the rows; every one is numbered.
+        drawn = F.pmod(F.xxhash64("_k"), F.lit(max(1, n // (ranges * 100)))) == 0
+        sample = sorted(r[0] for r in keyed.where(drawn & F.col("_k").isNotNull()).select("_k").collect())
+        bounds = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
+        place = F.size(F.filter(F.lit(bounds).cast("array<string>"), lambda b: b <= F.col("_k")))
+        counts = dict(keyed.groupBy(place.alias("_p")).count().collect())
+        before = F.get(F.lit([sum(counts.get(j, 0) for j in range(i)) for i in range(len(bounds) + 1)]).cast("array<bigint>"), F.col("_p"))
     local = F.row_number().over(W.partitionBy("_p").orderBy("_k"))
-    return ordered.join(F.broadcast(base), "_p").withColumn("row", (F.col("_base") + local - 1).cast("bigint")).drop("_p", "_base", "_k")
+    return keyed.withColumn("_p", place).withColumn("row", (before + local - 1).cast("bigint")).drop("_p", "_k")
 
 
 def choose_translation(texts: Column, key: Column, order: list[str] | None = None, builtin: Column | None = None, seed: int | None = None) -> Column:

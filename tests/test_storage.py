@@ -102,3 +102,21 @@ def test_schema_errors():
     schema = {"type": ["object", "null"], "properties": {"a": {"enum": [1, 2]}, "b": {"const": "x"}, "c": {"type": "number", "maximum": 3}, "d": {"type": "array", "maxItems": 1}}}
     assert validation.schema_errors(None, schema) == [] and validation.schema_errors({"a": 3, "b": "y", "c": True, "d": [1, 2]}, schema) == [("/a", "enum"), ("/b", "const"), ("/c", "type"), ("/d", "maxItems")]
     assert validation.schema_errors({"c": 4}, schema) == [("/c", "maximum")] and validation.schema_errors(1, False) == [("", "false")]
+
+
+def test_numbered_over_ranges(spark, monkeypatch):
+    """Rows of ranges whose bounds come from a sample; a plan that draws or joins its ranges twice gives rows twice or not at all."""
+    n, whole = 30_000, "spark.sql.adaptive.coalescePartitions.enabled"
+    v = spark.range(n, numPartitions=6).select(F.col("id").alias("key"), F.array_repeat(F.rand(3).cast("float"), 64).alias("v"))
+    want = {str(k): i for i, k in enumerate(sorted(map(str, range(n))))}
+    spark.conf.set(whole, "false")
+    try:
+        for ranges in (packing.RANGE, 2_000):
+            monkeypatch.setattr(packing, "RANGE", ranges)
+            got = packing.half_matrix(v, "key", "v").join(v.select("key"), "key").select("row", "key", F.length("bytes").alias("n")).collect()
+            assert len(got) == n and {str(r["key"]): r["row"] for r in got} == want and {r["n"] for r in got} == {128}
+    finally:
+        spark.conf.unset(whole)
+    odd = spark.createDataFrame([(None,), ("b",), (None,), ("a",), ("b",)], "key string")
+    monkeypatch.setattr(packing, "RANGE", 1)
+    assert sorted(((r["row"], r["key"]) for r in packing.numbered(odd, "key").collect()), key=lambda x: x[0]) == [(0, None), (1, None), (2, "a"), (3, "b"), (4, "b")]
