@@ -142,10 +142,12 @@ def bm25_rerank_boosts(spark, sf_dir):
     docs, items = docs_of(spark, sf_dir), table(spark, sf_dir, "benchmark")
     q = items.select(F.col("item_id").alias("qid"), _norm("text").alias("norm"), T.latin_terms(F.col("text")).alias("tokens"))
     terms = q.select("qid", F.lit("text").alias("field"), F.explode("tokens").alias("token"))
-    scores = rounded(bm25.over_max(bm25.score(terms, _index(spark, sf_dir)), "score", ["qid"], "base"), 6, "base")
-    candidates = bm25.top(scores, bm25.Bm25Config.top_candidates, "base").select("qid", "doc", "base")
-    d = docs.select(F.col("doc_id").alias("doc"), _norm("text").alias("norm"), T.latin_terms(F.col("text")).alias("tokens"))
-    return bm25.top(rounded(bm25.rerank(candidates, q, d), 6, "score"), 10).select("qid", "doc", "score", "rank")
+    most = bm25.Bm25Config.top_candidates
+    scores = rounded(bm25.over_max(bm25.best(terms, _index(spark, sf_dir), most, 6, scaled=True), "score", ["qid"], "base", few=True), 6, "base")
+    candidates = bm25.top(scores, most, "base").select("qid", "doc", "base")
+    d = docs.select(F.col("doc_id").alias("doc"), "text")
+    got = bm25.rerank(candidates, q, d, norm=_norm("text"), tokens=T.latin_terms(F.col("text")))
+    return bm25.top(rounded(got, 6, "score"), 10).select("qid", "doc", "score", "rank")
 
 
 def phrase_source_lookup(spark, sf_dir):
@@ -269,7 +271,7 @@ def batch_hybrid(spark, sf_dir):
     """Every benchmark item as a query, in one plan; its vector is the one with its number."""
     items = table(spark, sf_dir, "benchmark")
     terms = items.select(F.col("item_id").alias("qid"), F.lit("text").alias("field"), F.explode(T.latin_terms(F.col("text"))).alias("token"))
-    lexical = bm25.top(rounded(bm25.score(terms, _index(spark, sf_dir)), 4, "score"), dense.HybridConfig.lexical_top)
+    lexical = bm25.top(rounded(bm25.best(terms, _index(spark, sf_dir), dense.HybridConfig.lexical_top, 4), 4, "score"), dense.HybridConfig.lexical_top)
     vectors = _vectors(spark, sf_dir)
     q = vectors.join(small(items.select(F.col("item_id").alias("doc"))), "doc", "left_semi").select(F.col("doc").alias("qid"), F.col("v").alias("q"))
     known = vectors.join(docs_of(spark, sf_dir).select(F.col("doc_id").alias("doc")), "doc", "left_semi")
@@ -524,7 +526,7 @@ def split_texts(spark, sf_dir):
 
 def response_struct(spark, sf_dir):
     """Results and envelopes, read field by field from the response's JSON."""
-    ranked = hybrid_rrf(spark, sf_dir).where("rank <= 5").join(docs_of(spark, sf_dir).withColumnRenamed("doc_id", "doc"), "doc")
+    ranked = docs_of(spark, sf_dir).withColumnRenamed("doc_id", "doc").join(F.broadcast(hybrid_rrf(spark, sf_dir).where("rank <= 5")), "doc")  # five a query
     place = F.row_number().over(W.partitionBy("qid").orderBy("rank"))
     one = response.result(
         F.concat_ws(":", F.substring("source", 4, 9), "doc"), F.substring("source", 4, 9), F.col("doc"), F.col("text"), F.col("lang"), F.col("text"),

@@ -120,3 +120,48 @@ def test_numbered_over_ranges(spark, monkeypatch):
     odd = spark.createDataFrame([(None,), ("b",), (None,), ("a",), ("b",)], "key string")
     monkeypatch.setattr(packing, "RANGE", 1)
     assert sorted(((r["row"], r["key"]) for r in packing.numbered(odd, "key").collect()), key=lambda x: x[0]) == [(0, None), (1, None), (2, "a"), (3, "b"), (4, "b")]
+
+
+def _random_docs(spark, repeat=False):
+    rng = np.random.default_rng(5)
+    texts = [(i // 2 if repeat else i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, int(rng.integers(0, 30))) % 60)) for i in range(300)]
+    return spark.createDataFrame([*texts, (None, "w1 w2 w2"), (7000, None), (7001, "")], "id int, text string").repartition(5)
+
+
+@pytest.mark.parametrize("repeat", [False, True])
+def test_counts_stay_with_their_documents(spark, tmp_path, monkeypatch, repeat):
+    """The written index has a row a document, and its postings, idf and means are those of grouping all tokens."""
+    monkeypatch.setattr(bm25, "COUNTED", 50)
+    docs, fields = _random_docs(spark, repeat), {"t": F.filter(F.split("text", " "), lambda t: t != ""), "u": F.slice(F.split("text", " "), 1, 2)}
+    bm25.write_index(docs, "id", fields, str(tmp_path / "ix"), cut=False)
+    ix, plain = bm25.read_index(spark, str(tmp_path / "ix")), bm25.index(docs, "id", fields)
+    rows = lambda df: sorted(tuple(str(round(x, 9) if isinstance(x, float) else x) for x in r) for r in df.collect())
+    for name in ("tf", "idf", "stats"):
+        columns = getattr(plain, name).columns
+        assert rows(getattr(ix, name).select(*columns)) == rows(getattr(plain, name))
+    assert rows(ix.doclen) == rows(plain.doclen) and ix.buckets == 1
+    if not repeat:
+        assert ix.docs.count() == ix.docs.select("field", "doc").distinct().count()
+
+
+@pytest.mark.parametrize(("queries", "cells"), [(256, 4_000_000), (3, 100)])
+def test_best_of_a_batch(spark, tmp_path, monkeypatch, queries, cells):
+    """Blocks of documents and of queries give the best rows that scoring all pairs gives, ties at the last place included."""
+    monkeypatch.setattr(bm25, "QUERIES", queries)
+    monkeypatch.setattr(bm25, "CELLS", cells)
+    docs = _random_docs(spark)
+    docs = docs.union(docs.withColumn("id", F.col("id") + 10_000))  # every text twice: ties everywhere
+    bm25.write_index(docs, "id", {"t": F.filter(F.split("text", " "), lambda t: t != "")}, str(tmp_path / "ix"), cut=False)
+    ix = bm25.read_index(spark, str(tmp_path / "ix"))
+    rng = np.random.default_rng(6)
+    asked = [(q, "t", f"w{int(t)}") for q in range(10) for t in rng.integers(0, 70, 4)] + [(90, "t", "none"), (91, "t", "w59"), (92, "u", "w1")]
+    q = spark.createDataFrame(asked, "qid int, field string, token string")
+    ranked = lambda df, k, by: sorted((r["qid"], r["rank"], r["doc"], round(r[by], 6)) for r in bm25.top(df, k, by).collect())
+    for k in (3, 40, 2000):
+        few = bm25.best(q, ix, k, 4)
+        every = bm25.score(q, ix)
+        assert ranked(few.withColumn("score", F.round("score", 4)), k, "score") == ranked(every.withColumn("score", F.round("score", 4)), k, "score")
+        over = lambda df, few: bm25.over_max(df, "score", ["qid"], "base", few).withColumn("base", F.round("base", 6))
+        assert ranked(over(bm25.best(q, ix, k, 6, scaled=True), True), k, "base") == ranked(over(every, False), k, "base")
+    assert bm25.best(q, ix, 3, 4).count() < every.count() / 4
+    assert bm25.best(q.where("qid = 90"), ix, 3, 4).count() == 0 and bm25.best(q.limit(0), ix, 3, 4).count() == 0
