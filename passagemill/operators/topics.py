@@ -103,7 +103,9 @@ def corpus_variants(seeds: DataFrame, surfaces: DataFrame, cap: int = 16) -> Dat
 
 def prune_triggers(triggers: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Triggers that occur in their language's vocabulary; topics without one vanish."""
-    return triggers.join(vocabulary.select("lang", "token").distinct(), ["lang", "token"], "left_semi")
+    asked = small(triggers.select("lang", "token").distinct())
+    met = vocabulary.select("lang", "token").join(asked, ["lang", "token"], "left_semi").distinct()  # no more rows than triggers
+    return triggers.join(met, ["lang", "token"], "left_semi")
 
 
 def merge_triggers(base: DataFrame, localized: DataFrame, strict: bool = True) -> DataFrame:
@@ -161,14 +163,22 @@ def fill_groups(groups: DataFrame, anchors: DataFrame, cap: int = 3) -> DataFram
     return own.unionByName(lent.select("topic", "group", "major", "minor"))
 
 
+#: Most first tokens of phrases that are sought in a sequence before it is copied for each.
+MOST_FIRSTS = 10_000
+
+
 def phrase_hits(phrases: DataFrame, sequences: DataFrame, on: list[str] | None = None, max_gap: int = 2) -> DataFrame:
     """Rows of `sequences` (seq, ...) joined with the phrases (phrase, ...) that they hold.
 
-    They meet on each phrase's first token, among the distinct tokens of a sequence, so no sequence is tried for a phrase that it cannot hold.
+    They meet on each phrase's first token, among the distinct tokens of a sequence, so no sequence is tried for a phrase
+    that it cannot hold; and a sequence is copied only for first tokens of some phrase.
     """
     on = on or []
     firsts = phrases.where(F.size("phrase") > 0).withColumn("_first", F.col("phrase")[0])
-    tokens = sequences.withColumn("_first", F.explode(F.array_distinct("seq")))
+    names = [r[0] for r in firsts.where("_first is not null").select("_first").distinct().limit(MOST_FIRSTS + 1).collect()]
+    known = F.lit(names).cast(sequences.schema["seq"].dataType)
+    held = F.array_intersect("seq", known) if len(names) <= MOST_FIRSTS else F.array_distinct("seq")
+    tokens = sequences.withColumn("_first", F.explode(held))
     return tokens.join(small(firsts), [*on, "_first"]).where(phrase_in(F.col("seq"), F.col("phrase"), max_gap)).drop("_first")
 
 

@@ -189,3 +189,36 @@ def test_phrase_source_lookup_inside_words(spark, tmp_path):
     want = set(con.sql(catalog.ORACLE_SQL["phrase_source_lookup"]).fetchall())
     assert want == {(0, 0), (1, 0), (2, 1), (3, 2), (4, 3), (5, 4), (9, 3)}
     assert {tuple(r) for r in catalog.QUERIES["phrase_source_lookup"](spark, str(tmp_path)).collect()} == want
+
+
+def test_phrases_copy_few_sequences(spark, monkeypatch):
+    """A sequence is copied for first tokens of phrases alone; hits are those of trying every pair."""
+    import random
+
+    rng = random.Random(4)
+    seqs = [(i, "ab"[i % 2], [f"t{rng.randrange(40)}" for _ in range(30)]) for i in range(60)] + [(100, "a", []), (101, "a", None)]
+    phrases = [(p, "ab"[p % 2], [f"t{rng.randrange(42)}" for _ in range(1 + p % 3)]) for p in range(12)] + [(50, "a", [])]
+    s, p = spark.createDataFrame(seqs, "doc int, lang string, seq array<string>"), spark.createDataFrame(phrases, "pid int, lang string, phrase array<string>")
+    want = rows(s.crossJoin(p.withColumnRenamed("lang", "l")).where("lang = l").where(topics.phrase_in(F.col("seq"), F.col("phrase"))).select("pid", "doc"))
+    assert want and rows(topics.phrase_hits(p, s, ["lang"]).select("pid", "doc")) == want
+    plan = topics.phrase_hits(p, s, ["lang"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" in plan and rows(topics.phrase_hits(p.limit(0), s, ["lang"])) == []
+    monkeypatch.setattr(topics, "MOST_FIRSTS", 2)
+    assert rows(topics.phrase_hits(p, s, ["lang"]).select("pid", "doc")) == want
+
+
+def test_pruning_meets_triggers_first(spark):
+    """Only vocabulary that some trigger asks for is made distinct."""
+    t = spark.createDataFrame([("x", "en", "a"), ("x", "en", "z"), ("y", "de", "a")], "topic string, lang string, token string")
+    v = spark.createDataFrame([("en", "a"), ("en", "a"), ("en", "b"), ("fr", "a")], "lang string, token string")
+    got = topics.prune_triggers(t, v)
+    assert rows(got.select("topic", "lang", "token")) == [("x", "en", "a")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
+
+
+def test_recall_grid_reads_relevant_once(spark):
+    run = spark.createDataFrame([(1, 7, 2), (1, 8, 1), (2, 9, 4), (3, 5, 1), (4, 4, 11)], "qid int, doc int, rank bigint")
+    relevant = spark.createDataFrame([(1, 7), (1, 7), (1, 6), (2, 9), (4, 4), (5, 1)], "qid int, doc int")
+    got = evaluation.recall_grid(run, relevant)
+    assert rows(got) == [(4, 0.0, 0.25, 0.5, 0.5, (1 / 2 + 1 / 4) / 4)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
