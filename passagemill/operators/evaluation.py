@@ -56,8 +56,8 @@ def metrics(run: DataFrame, grades: DataFrame, k: int = 5, true_recall: bool = F
 
 def recall_grid(run: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10), mrr_at: int = 10) -> DataFrame:
     """One row: over all queries of `relevant` (qid, doc), the share with a relevant document in the top k for each k, and the mean reciprocal rank, in one pass."""
-    first = run.where(F.col("rank") <= max(*ks, mrr_at)).join(relevant.select("qid", "doc").distinct(), ["qid", "doc"]).groupBy("qid").agg(F.min("rank").alias("first"))
-    every = relevant.select("qid").distinct().join(first, "qid", "left")
+    found = run.where(F.col("rank") <= max(*ks, mrr_at)).select("qid", "doc", "rank")
+    every = relevant.select("qid", "doc").distinct().join(found, ["qid", "doc"], "left").groupBy("qid").agg(F.min("rank").alias("first"))  # `relevant` is made once
     shares = [F.avg(F.coalesce((F.col("first") <= k).cast("double"), F.lit(0.0))).alias(f"recall_{k}") for k in ks]
     return every.agg(F.count(F.lit(1)).alias("n"), *shares, F.avg(F.when(F.col("first") <= mrr_at, 1.0 / F.col("first")).otherwise(0.0)).alias("mrr"))
 
