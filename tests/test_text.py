@@ -82,3 +82,14 @@ def test_round6_is_exact(spark):
     xs = [0.1234565, 2.0000005, -0.1234565, 0.5e-6, 1.5e-6, 0.0146875, 1e9 + 0.1234565, 5e12, 0.0, -0.0000005] + [rng.randrange(-(10**9), 10**9) / 1e7 * 10 ** rng.randrange(0, 3) + rng.choice((0, 0.5e-6)) for _ in range(3000)]
     got = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", V.round6(F.col("x")).alias("r")).collect()
     assert all(r["r"] == round(xs[r["i"]], 6) for r in got)
+
+
+def test_unicode_forms_hold_few_texts(spark):
+    """Of a batch only some texts are Python strings at a time."""
+    import pyarrow as pa
+
+    assert T.AT_ONCE < 100
+    texts = pa.array(["ﬁ Straße", None, ""] * 70)
+    assert T._nfkc.func(texts).to_pylist() == ["fi Straße", None, ""] * 70 and T._casefold.func(texts.slice(3)).to_pylist() == ["fi strasse", None, ""] * 69
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(["ﬁ Straße", None, "", "plain"] * 70)], "id int, t string")
+    assert [r[0] for r in df.orderBy("id").select(T.casefold(T.nfkc(F.col("t")))).collect()] == ["fi strasse", None, "", "plain"] * 70
